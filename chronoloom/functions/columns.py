@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 # Formats tried, in this order, when a time column arrives as text.
 TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd",
     "MM/dd/yyyy",
     "yyyy/MM/dd",

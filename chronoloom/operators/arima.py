@@ -12,8 +12,6 @@ each other. All orders that share a number of differences share the state.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,7 +90,7 @@ def _chunk_states(rows: DataFrame, tasks: DataFrame, shape: _Shape) -> DataFrame
     """``(series_id, chunk, d, state)``: Gram and head rows of everything before the chunk."""
     def reduce_chunk(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         if task.empty or part.empty:
-            return pd.DataFrame({"series_id": [], "chunk": [], "d": [], "state": []})
+            return pd.DataFrame()
         part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
         ds, states = sorted({o["d"] for o in task["orders"].iloc[0]}), []
         for d in ds:
@@ -216,13 +214,9 @@ def _score(series: str, order, grams, history, heads, x, y, seq) -> pd.DataFrame
                          "forecast": np.where(np.isfinite(forecast), forecast, np.nan), "error": errors})
 
 
-_COLUMNS = [c.strip().split(" ")[0] for c in STEP_SCHEMA.split(",")]
-
-
-def _frame(parts: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(parts)
+def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
     if not parts:
-        return pd.DataFrame({c: [] for c in _COLUMNS})
+        return pd.DataFrame()
     out = pd.concat(parts, ignore_index=True)
     out["forecast"] = out["forecast"].astype(object).where(out["forecast"].notna(), None)
     return out
@@ -241,7 +235,7 @@ def arima_fit(df: DataFrame, orders: DataFrame, *, max_p: int, max_d: int, max_q
 
     def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         if task.empty or part.empty:
-            return pd.DataFrame({c.split(" ")[0]: [] for c in MODEL_SCHEMA.split(", ")})
+            return pd.DataFrame()
         part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
         out = []
         for o in task["orders"].iloc[0]:

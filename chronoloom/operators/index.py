@@ -65,7 +65,8 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, longest: int | None
     """
     if longest is None:
         longest = longest_series(df)
-    order = ["ts", *tie]
+    # rows equal in all of these are interchangeable, so a recomputed task numbers them alike
+    order = ["ts", *tie, "value"]
     if longest <= rows_per_task:
         whole = Window.partitionBy("series_id")
         out = df.withColumn("seq", F.row_number().over(whole.orderBy(*order)).cast("bigint"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import absolute_percentage
+from ..session import checkpointed
 from . import arima
 from .correlation import acf, immediate_range, pacf
 from .difference import difference_by
@@ -150,7 +151,10 @@ def order_search(df: DataFrame, grid: OrderGrid, *, max_d: int = MAX_D, **option
     suggestions = None if grid.explicit else suggest_orders(df, max_d)
     candidates = candidate_grid(df, grid, suggestions)
     orders = None
-    if grid.explicit:
+    if suggestions is not None:
+        # a few rows per series that took two passes over the data and are read again below
+        candidates = checkpointed(candidates)
+    else:
         orders = sorted({(p, d, q) for p in grid.p for d in grid.d for q in grid.q})
     scored = score_candidates(df, candidates, orders=orders, **options)
     return select_best(scored, df)
