@@ -6,3 +6,10 @@ table shape is ``series_id STRING, ts, value DOUBLE`` and, once indexed,
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# The small functions that run inside tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

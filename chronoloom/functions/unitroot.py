@@ -1,8 +1,8 @@
 """Augmented Dickey-Fuller statistic from sums of lagged products.
 
-``ChunkSums`` is what one chunk of a series contributes; the contributions add
-up over chunks (Spark does that), and ``adf_from_sums`` turns the total into the
-statistic and p-value. Regression: first difference on a constant, the lagged
+``chunk_sums`` gives what each chunk of a series contributes; the contributions
+add up over chunks (Spark does that), and ``adf_from_sums`` turns the total into
+the statistic and p-value. Regression: first difference on a constant, the lagged
 level and L lagged differences.
 
 The products of two lagged differences depend on the pair of lags only through
@@ -16,6 +16,8 @@ import math
 
 import numpy as np
 
+from .segments import group_numbers, lag_sums
+
 # Response surface of MacKinnon (1994), one series, constant only.
 TAU_MAX = 2.74
 TAU_MIN = -18.83
@@ -38,34 +40,31 @@ def mackinnon_p(tau: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
-def sums_length(lags: int) -> int:
-    return 2 * (lags + 1) + 2 + 2 * (lags + 2)
-
+def chunk_sums(y: np.ndarray, seq: np.ndarray, own: np.ndarray, n: np.ndarray, lags: np.ndarray,
+               starts: np.ndarray) -> list[np.ndarray]:
+    """Per group: dd[0..L], yd[0..L], sum y, sum y^2, head[L+2], tail[L+2].
 
-def chunk_sums(y: np.ndarray, seq: np.ndarray, own: np.ndarray, n: int, lags: int) -> np.ndarray:
-    """One chunk's part of: dd[0..L], yd[0..L], sum y, sum y^2, head[L+2], tail[L+2].
-
-    ``y`` is in order and starts with up to ``lags + 2`` carried-over rows. Sums run
-    over own rows with ``seq >= lags + 2``.
+    Rows are in order; a group starts with up to L + 2 carried-over rows. ``n``
+    and ``lags`` are given per row. Sums run over own rows with seq >= L + 2.
     """
-    out = np.zeros(sums_length(lags))
-    k = lags + 1
-    dy = np.diff(y, prepend=np.nan)
-    at = np.flatnonzero(own & (seq >= lags + 2))
-    if at.size:
-        a, b = at[0], at[-1] + 1
-        d, level = dy[a:b], y[a - 1:b - 1]
-        for j in range(k):
-            lagged = dy[a - j:b - j]
-            out[j] = d @ lagged
-            out[k + j] = level @ lagged
-        out[2 * k] = level.sum()
-        out[2 * k + 1] = level @ level
-    head = own & (seq <= lags + 2)
-    out[2 * k + 2 + seq[head] - 1] = y[head]
-    tail = own & (seq > n - lags - 2)
-    out[2 * k + 2 + lags + 2 + seq[tail] - (n - lags - 1)] = y[tail]
-    return out
+    first = np.zeros(len(y), dtype=bool)
+    first[starts] = True
+    level = np.where(first, 0.0, np.concatenate([[0.0], y[:-1]]))
+    dy = np.where(first, 0.0, y - level)
+    use = own & (seq >= lags + 2)
+    most = int(max(lags[starts].max(), 0))
+    dd = lag_sums(np.where(use, dy, 0.0), dy, starts, most)
+    yd = lag_sums(np.where(use, level, 0.0), dy, starts, most)
+    level = np.where(use, level, 0.0)
+    sy, syy = np.add.reduceat(level, starts), np.add.reduceat(level**2, starts)
+    group = group_numbers(len(y), starts)
+    ends = np.zeros((2, len(starts), most + 2))
+    for side, place in enumerate((seq - 1, seq - (n - lags - 1))):
+        at = own & (place >= 0) & (place <= lags + 1)
+        ends[side, group[at], place[at]] = y[at]
+    return [np.zeros(0) if k < 0 else np.concatenate(
+        [dd[g, :k + 1], yd[g, :k + 1], [sy[g], syy[g]], ends[0, g, :k + 2], ends[1, g, :k + 2]])
+        for g, k in enumerate(lags[starts])]
 
 
 def _gram(sums: np.ndarray, n: int, lags: int):

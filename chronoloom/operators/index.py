@@ -158,6 +158,26 @@ def in_chunk() -> Window:
     return Window.partitionBy("series_id", "chunk").orderBy("seq")
 
 
+def in_group_order(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """``series_id`` (NULL except on the first row of each (series, chunk)) and ``columns``.
+
+    The window also brings the rows of a group together, in time order, for a
+    ``mapInArrow`` that follows; rows already clustered by series stay put.
+    """
+    first = F.row_number().over(in_chunk()) == 1
+    return df.withColumn("_first", first).select(
+        F.when(F.col("_first"), F.col("series_id")).alias("series_id"), *columns)
+
+
+def add_arrays(parts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Sum equal-length arrays of the same ``keys`` element by element."""
+    spots = parts.select(*keys, F.posexplode_outer(column).alias("pos", "v"))
+    sums = spots.groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    # the number of elements depends on lag counts, not on the number of rows
+    pairs = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "v"))))
+    return sums.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias(column))
+
+
 def attach(rows: DataFrame, per_series: DataFrame, how: str = "inner") -> DataFrame:
     """Join a per-series table to the rows of an indexed table.
 

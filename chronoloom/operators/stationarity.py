@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.segments import to_batch, whole_groups
 from ..functions.unitroot import adf_from_sums, adf_lags, chunk_sums
 from .difference import with_differences
-from .index import longest_of, with_series_mean
+from .index import add_arrays, in_group_order, longest_of, single_chunk, with_series_mean
 
 # Fixed value: a series counts as stationary at or below this p-value.
 STATIONARY_P = 0.05
@@ -19,35 +20,26 @@ MAX_D = 3
 def adf_sums(df: DataFrame, max_d: int = 0) -> DataFrame:
     """``(series_id, d, n, sums)``: the test's sums for the series differenced 0..max_d times.
 
-    One pass over (series, chunk) groups of bounded size; their short arrays are
-    added up element by element.
+    One pass in which each (series, chunk) gives a short array; arrays of the
+    chunks of a series are added up element by element.
     """
     lags = max(adf_lags(longest_of(df)), 0)
     rows = with_differences(df.select("series_id", "seq", "n", "chunk", "value"), max_d, extra_halo=lags + 2)
-    rows = with_series_mean(rows)
-    rows = rows.withColumn("v0", F.col("v0") - F.col("mean"))  # the constant absorbs it
+    rows = with_series_mean(rows).withColumn("v0", F.col("v0") - F.col("mean"))  # the constant absorbs it
     names = [f"v{d}" for d in range(max_d + 1)]
-    rows = rows.select("series_id", "chunk", "seq", "n", "own", *names)
-
-    def reduce_chunk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        seq, own, n = part["seq"].to_numpy(), part["own"].to_numpy(), int(part["n"].iloc[0])
-        used = adf_lags(n)
-        if used < 0:
-            sums = [[] for _ in names]
-        else:
-            sums = [chunk_sums(part[v].to_numpy(dtype=float), seq, own, n, used) for v in names]
-        return pd.DataFrame({"series_id": key[0], "n": n, "d": np.arange(len(names), dtype=np.int32), "sums": sums})
-
-    parts = rows.groupBy("series_id", "chunk").applyInPandas(
-        reduce_chunk, "series_id string, n bigint, d int, sums array<double>")
-    spots = parts.select("series_id", "d", "n", F.posexplode_outer("sums").alias("pos", "v"))
-    added = spots.groupBy("series_id", "d", "pos").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
-    # the array of one series is as long as its lag count asks, whatever its number of rows
-    return added.groupBy("series_id", "d").agg(
-        F.max("n").alias("n"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "v")))),
-                    lambda s: s["v"]).alias("sums"))
+    rows = in_group_order(rows, "seq", "n", "own", *names)
+
+    def reduce_chunks(batches):
+        for part, ids, starts in whole_groups(batches):
+            n = part["n"][starts]
+            used = np.array([adf_lags(int(v)) for v in n])
+            lags = np.repeat(used, np.diff(np.append(starts, len(part["n"]))))
+            for d, name in enumerate(names):
+                sums = chunk_sums(part[name].astype(float), part["seq"], part["own"], part["n"], lags, starts)
+                yield to_batch(ids, sums, d=np.full(len(ids), d, dtype=np.int32), n=n)
+
+    parts = rows.mapInArrow(reduce_chunks, "series_id string, d int, n bigint, sums array<double>")
+    return parts if single_chunk(df) else add_arrays(parts, ["series_id", "d", "n"], "sums")
 
 
 def adf_test(df: DataFrame, max_d: int = 0) -> DataFrame:

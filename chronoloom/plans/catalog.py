@@ -348,7 +348,7 @@ ACF_EVENTS = f"{EVENTS_IDX}, {LAGS.format(rows='idx')}, {ACF}"
        "SELECT series_id, CAST(lag AS INTEGER) AS lag, round(s, 3) AS s FROM sums")
 def acf_sums(spark, sf):
     sums = correlation.lag_products(events(spark, sf))
-    sums = sums.select("series_id", "n", F.posexplode("s").alias("lag", "s"))
+    sums = sums.select("series_id", "n", F.posexplode("sums").alias("lag", "s"))
     return sums.where(F.col("lag") <= correlation.acf_lags(F.col("n"))).select("series_id", "lag", rounded("s", 3))
 
 
