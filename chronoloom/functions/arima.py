@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_STEPS = 60
-TOLERANCE = 1e-10
+MAX_STEPS = 100
+TOLERANCE = 1e-12
 
 
 def burn_in(p: int, q: int) -> int:
@@ -60,30 +60,61 @@ def _regress(a: np.ndarray, y: int, on: list[int]) -> np.ndarray:
     return solve(a[:, on[:, None], on[None, :]], a[:, on, y])
 
 
-def _divide(series: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """Coefficients of series(B) / theta(B), theta(B) = 1 + theta_1 B + ..."""
-    out = series.copy()
-    for j in range(1, out.shape[1]):
-        for i in range(1, min(j, theta.shape[1]) + 1):
+def _inverse(theta: np.ndarray, length: int) -> np.ndarray:
+    """First coefficients of 1 / (1 + theta_1 B + ... + theta_k B^k).
+
+    After L coefficients the rest of the division is B^L r(B) / theta(B) with r of
+    degree k - 1, so the next L coefficients are k shifted copies of the first L.
+    """
+    b, k = theta.shape
+    out = np.zeros((b, length))
+    out[:, 0] = 1.0
+    if k == 0:
+        return out
+    have = min(max(k, 2), length)
+    for j in range(1, have):
+        for i in range(1, min(j, k) + 1):
             out[:, j] -= theta[:, i - 1] * out[:, j - i]
+    while have < length:
+        take = min(have, length - have)
+        block = out[:, have:have + take]
+        for i in range(min(k, take)):
+            rest = -sum(theta[:, j - 1] * out[:, have + i - j] for j in range(i + 1, k + 1))
+            block[:, i:] += rest[:, None] * out[:, :take - i]
+        have += take
+    return out
+
+
+def _filter(phi: np.ndarray, series: np.ndarray) -> np.ndarray:
+    """Coefficients of (1 - phi_1 B - ...) * series(B)."""
+    out = series.copy()
+    for i in range(1, phi.shape[1] + 1):
+        out[:, i:] -= phi[:, i - 1, None] * series[:, :-i]
     return out
 
 
+def _square(theta: np.ndarray) -> np.ndarray:
+    """Coefficients 1..2k of (1 + theta_1 B + ...)^2."""
+    b, k = theta.shape
+    full = np.concatenate([np.ones((b, 1)), theta], axis=1)
+    out = np.zeros((b, 2 * k + 1))
+    for i in range(k + 1):
+        out[:, i:i + k + 1] += full[:, i, None] * full
+    return out[:, 1:]
+
+
 def _weights(params: np.ndarray, p: int, q: int, constant: bool, memory: int, slopes: bool):
     """v with e_t = v . x_t, and its derivatives (B, M+2, parameters)."""
     b = len(params)
     phi, theta = params[:, :p], params[:, p:p + q]
-    one = np.zeros((b, memory + 1))
-    one[:, 0] = 1.0
-    ar = one.copy()
-    ar[:, 1:p + 1] = -phi
-    pi = _divide(ar, theta)
-    v = np.concatenate([np.zeros((b, 1)), pi], axis=1)
+    psi = _inverse(theta, memory + 1)
+    v = np.zeros((b, memory + 2))
+    v[:, 1:] = _filter(phi, psi)
     if constant:
         v[:, 0] = -params[:, -1]
     if not slopes:
         return v, None
-    psi, chi = _divide(one, theta), _divide(pi, theta)
+    chi = _filter(phi, _inverse(_square(theta), memory + 1))
     dv = np.zeros((b, memory + 2, params.shape[1]))
     for i in range(1, p + 1):
         dv[:, 1 + i:, i - 1] = -psi[:, :memory + 1 - i]
@@ -96,15 +127,24 @@ def _weights(params: np.ndarray, p: int, q: int, constant: bool, memory: int, sl
 
 def _quadratic(a: np.ndarray, v: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
-        s = np.einsum("bi,bij,bj->b", v, a, v, optimize=True)
+        s = (v[:, None, :] @ (a @ v[:, :, None]))[:, 0, 0]
     return np.where(np.isfinite(s), s, np.inf)
 
 
 def _start(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool, memory: int) -> np.ndarray:
-    """Hannan-Rissanen: residuals of a long autoregression become regressors."""
-    shortest = int(n_obs.min())
-    room = max(memory - q, 1)
-    long = int(min(room, max(p + q + 1, 10 * np.log10(max(shortest, 2))), max(shortest // 3, 1)))
+    """Hannan-Rissanen start values; the length of the first autoregression follows the history."""
+    n = np.maximum(n_obs, 2)
+    long = np.minimum(np.maximum(10 * np.log10(n), p + q + 1), np.maximum(n // 3, 1))
+    long = np.minimum(long, max(memory - q, 1)).astype(int)
+    out = np.empty((len(a), p + q + constant))
+    for size in np.unique(long):
+        at = long == size
+        out[at] = _two_step(a[at], int(size), p, q, constant, memory)
+    return out
+
+
+def _two_step(a: np.ndarray, long: int, p: int, q: int, constant: bool, memory: int) -> np.ndarray:
+    """Residuals of a long autoregression become regressors of a second regression."""
     ones = [0] if constant else []
     coefficients = _regress(a, 1, ones + list(range(2, 2 + long)))
     resid = np.zeros((len(a), memory + 2))
@@ -162,7 +202,7 @@ def fit(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool):
             break
         av = a[active] @ dv[active]
         hess = dv[active].transpose(0, 2, 1) @ av
-        slope = np.einsum("bik,bi->bk", av, v[active])
+        slope = (v[active][:, None, :] @ av)[:, 0]
         diag = np.einsum("bii->bi", hess)
         damped = hess.copy()
         np.einsum("bii->bi", damped)[...] += damping[active][:, None] * diag

@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arima import burn_in, fit, lagged_rows
-from ..functions.columns import HOLDOUT_RATIO
-from .index import longest_of, rechunk, single_chunk, with_halo
-from .split import holdout_split
+from ..functions.columns import HOLDOUT_RATIO, holdout_point
+from .index import chunk_rows_of, longest_of, rechunk, single_chunk, with_halo
 
 # Lags kept when an order has a moving-average part.
 MEMORY = 64
-# Smaller than elsewhere: a row here costs a fit.
-FIT_CHUNK_ROWS = 8_192
+# Chunks are smaller than elsewhere, because a row here costs a fit: a long series
+# is cut into about FIT_CHUNKS pieces, none outside these sizes.
+FIT_CHUNKS = 64
+FIT_CHUNK_ROWS = (512, 8_192)
 
 STEP_SCHEMA = ("series_id string, p int, d int, q int, seq bigint, actual double, forecast double, error string")
 MODEL_SCHEMA = ("series_id string, p int, d int, q int, n bigint, const double, ar array<double>, "
@@ -62,20 +63,22 @@ def _differenced(part: pd.DataFrame, d: int):
     return y, seq, w, part["own"].to_numpy() & (seq > d)
 
 
-def _prepare(df: DataFrame, candidates: DataFrame, shape: _Shape, max_d: int, chunk_rows: int):
+def _prepare(df: DataFrame, candidates: DataFrame, shape: _Shape, max_d: int, ratio: float, chunk_rows: int | None):
     """Rows with carried-over history, and one task row per (series, chunk)."""
-    rows = rechunk(df, min(chunk_rows, FIT_CHUNK_ROWS))
-    rows = holdout_split(rows.select("series_id", "seq", "n", "chunk", "value"))
+    if chunk_rows is None:
+        least, most = FIT_CHUNK_ROWS
+        chunk_rows = min(max(longest_of(df) // FIT_CHUNKS, least), most)
+    rows = rechunk(df.select("series_id", "seq", "n", "chunk", "value"), chunk_rows)
     per_series = Window.partitionBy("series_id")
-    train = F.when(~F.col("scored"), F.col("value"))
+    train = F.when(F.col("seq") <= holdout_point(F.col("n"), ratio), F.col("value"))
     chunks = rows.groupBy("series_id", "chunk").agg(
-        F.sum(train).alias("_s"), F.count(train).alias("_c"), F.max("n").alias("n"), F.max("seq").alias("last"))
-    chunks = chunks.select("series_id", "chunk", "n", "last", F.coalesce(
+        F.sum(train).alias("_s"), F.count(train).alias("_c"), F.max("n").alias("n"))
+    chunks = chunks.select("series_id", "chunk", "n", F.coalesce(
         F.try_divide(F.sum("_s").over(per_series), F.sum("_c").over(per_series)), F.lit(0.0)).alias("pivot"))
     orders = candidates.groupBy("series_id").agg(
         F.sort_array(F.collect_set(F.struct("d", "p", "q"))).alias("orders"))
     tasks = chunks.join(orders, "series_id")
-    return with_halo(rows.drop("k", "scored"), shape.memory + max_d), tasks
+    return with_halo(rows, shape.memory + max_d), tasks
 
 
 def _cogrouped(rows: DataFrame, tasks: DataFrame):
@@ -83,6 +86,9 @@ def _cogrouped(rows: DataFrame, tasks: DataFrame):
     tasks = tasks.withColumnsRenamed({"series_id": "_id", "chunk": "_chunk"})
     tasks = tasks.select(F.col("_id").alias("series_id"), F.col("_chunk").alias("chunk"),
                          *[c for c in tasks.columns if c not in ("_id", "_chunk")])
+    # a set number of partitions: their size says nothing about the work, so they must not be merged for it
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, tasks = (t.repartition(spread, "series_id", "chunk") for t in (rows, tasks))
     return rows.groupBy("series_id", "chunk").cogroup(tasks.groupBy("series_id", "chunk"))
 
 
@@ -154,14 +160,15 @@ def _head_grams(state: np.ndarray, shape: _Shape) -> np.ndarray:
 
 def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: int, max_q: int,
                   memory: int = MEMORY, ratio: float = HOLDOUT_RATIO,
-                  chunk_rows: int = FIT_CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int | None = None) -> DataFrame:
     """Refit before every scored row and forecast it: ``STEP_SCHEMA`` rows.
 
     ``candidates`` has ``series_id, p, d, q`` with values up to the given maxima.
     """
     shape = _Shape(longest_of(df), max_p, max_q, memory)
-    rows, tasks = _prepare(df, candidates, shape, max_d, chunk_rows)
-    tasks = _with_states(rows, tasks, shape)
+    rows, tasks = _prepare(df, candidates, shape, max_d, ratio, chunk_rows)
+    scored = (F.col("chunk") + 1) * chunk_rows_of(rows) > holdout_point(F.col("n"), ratio)
+    tasks, rows = _with_states(rows, tasks, shape).where(scored), rows.where(scored)
 
     def replay(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         if task.empty or part.empty:
@@ -223,15 +230,16 @@ def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
 
 
 def arima_fit(df: DataFrame, orders: DataFrame, *, max_p: int, max_d: int, max_q: int,
-              memory: int = MEMORY, chunk_rows: int = FIT_CHUNK_ROWS) -> DataFrame:
+              memory: int = MEMORY, chunk_rows: int | None = None) -> DataFrame:
     """Fit each ``(series_id, p, d, q)`` on the whole series: ``MODEL_SCHEMA`` rows.
 
     ``const`` is the intercept of the regression form (0 when d > 0) and
     ``next_value`` the forecast of the row after the last.
     """
     shape = _Shape(longest_of(df), max_p, max_q, memory)
-    rows, tasks = _prepare(df, orders, shape, max_d, chunk_rows)
-    tasks = _with_states(rows, tasks, shape).where(F.col("last") == F.col("n"))
+    rows, tasks = _prepare(df, orders, shape, max_d, HOLDOUT_RATIO, chunk_rows)
+    final = (F.col("chunk") + 1) * chunk_rows_of(rows) >= F.col("n")
+    tasks, rows = _with_states(rows, tasks, shape).where(final), rows.where(final)
 
     def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         if task.empty or part.empty:

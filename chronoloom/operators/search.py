@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import absolute_percentage
 from ..session import checkpointed
 from . import arima
-from .correlation import acf, immediate_range, pacf
+from .correlation import acf_pairs, immediate_run, lag_products, pacf_pairs
 from .difference import difference_by
 from .evaluate import ORDER, mape, select_best
 from .forecast import CLOSED_FORM, closed_form_forecasts, order_name
+from .index import attach
 from .stationarity import MAX_D, get_d
 
 
@@ -38,15 +39,10 @@ def suggest_orders(df: DataFrame, max_d: int = MAX_D) -> DataFrame:
     ``d`` is NULL, and the ranges empty, for a series without an answer
     (constant, too short, or not stationary within ``max_d`` differences).
     """
-    d = get_d(df, max_d)
-    with_d = df.join(d.where("d IS NOT NULL"), "series_id") if max_d else df.withColumn("d", F.lit(0))
-    flat = difference_by(with_d, max_d).drop("d")
-    empty = F.array().cast("array<int>")
-    return (
-        d.join(immediate_range(pacf(flat), "p_values"), "series_id", "left")
-        .join(immediate_range(acf(flat), "q_values"), "series_id", "left")
-        .select("series_id", "d", F.coalesce("p_values", empty).alias("p_values"),
-                F.coalesce("q_values", empty).alias("q_values")))
+    flat = difference_by(attach(df, get_d(df, max_d)), max_d)
+    products = pacf_pairs(acf_pairs(lag_products(flat, keep="d")))
+    return products.select("series_id", "d", immediate_run(F.col("pacf")).alias("p_values"),
+                           immediate_run(F.col("acf")).alias("q_values"))
 
 
 def candidate_grid(series: DataFrame, grid: OrderGrid, suggestions: DataFrame | None = None) -> DataFrame:
