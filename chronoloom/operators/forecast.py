@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import in_chunk, prefix_before_chunk, single_chunk, with_halo, with_series_mean
+from .index import in_chunk, prefix_before_chunk, single_chunk, small_side, with_halo, with_series_mean
 from .split import holdout_split
 
 # Orders (p, d, q) with a closed form.
@@ -36,7 +36,7 @@ def _running(df: DataFrame, columns: list[str]) -> DataFrame:
                                                     for c, v in zip(columns, own)])
     before = prefix_before_chunk(totals, columns)
     before = before.select("series_id", "chunk", *[F.col(c).alias(f"_before_{c}") for c in columns])
-    out = out.join(before, ["series_id", "chunk"])
+    out = out.join(small_side(before, df), ["series_id", "chunk"])
     out = out.withColumns({c: F.col(f"_in_{c}") + F.col(f"_before_{c}") for c in columns})
     return out.drop(*[f"{side}_{c}" for c in columns for side in ("_in", "_before")])
 

@@ -27,6 +27,9 @@ from ..session import checkpointed
 SERIES_ROWS_PER_TASK = 4_000_000
 CHUNK_ROWS = 65_536
 
+# A joined table is broadcast only when counts prove it has no more rows than this (a few MB).
+BROADCAST_ROWS = 100_000
+
 ONE_SERIES = "all"
 
 
@@ -48,13 +51,14 @@ def as_series(df: DataFrame, columns: Sequence[str], series: str | Column | None
                      F.col(value).cast("double").alias("value"), *tie)
 
 
-def longest_series(df: DataFrame) -> int:
-    """Rows of the longest series: one pre-aggregated count over a single column."""
-    row = df.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
-    return int(row["n"] or 0)
+def series_sizes(df: DataFrame) -> dict[str, int]:
+    """Rows of the longest series, number of series and of rows: one pre-aggregated count."""
+    counts = df.groupBy("series_id").agg(F.count("*").alias("n"))
+    row = counts.agg(F.max("n").alias("longest"), F.count("*").alias("series"), F.sum("n").alias("rows")).first()
+    return {k: int(v or 0) for k, v in row.asDict().items()}
 
 
-def index_series(df: DataFrame, tie: Sequence[str] = (), *, longest: int | None = None,
+def index_series(df: DataFrame, tie: Sequence[str] = (), *, sizes: dict[str, int] | None = None,
                  rows_per_task: int = SERIES_ROWS_PER_TASK,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``seq``, ``n`` and ``chunk``; the ``tie`` columns are consumed.
@@ -63,22 +67,22 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, longest: int | None
     than ``rows_per_task`` the rows are range-partitioned instead, see
     ``_ranged_index``; both give the same numbers.
     """
-    if longest is None:
-        longest = longest_series(df)
+    if sizes is None:
+        sizes = series_sizes(df)
     # rows equal in all of these are interchangeable, so a recomputed task numbers them alike
     order = ["ts", *tie, "value"]
-    if longest <= rows_per_task:
+    if sizes["longest"] <= rows_per_task:
         whole = Window.partitionBy("series_id")
         out = df.withColumn("seq", F.row_number().over(whole.orderBy(*order)).cast("bigint"))
         out = out.withColumn("n", F.count("*").over(whole))
     else:
-        out = _ranged_index(df, order)
+        out = _ranged_index(df, order, sizes["series"])
     out = out.select("series_id", "ts", "value",
-                     F.col("seq").alias("seq", metadata={"longest": longest}), "n")
+                     F.col("seq").alias("seq", metadata=sizes), "n")
     return rechunk(out, chunk_rows)
 
 
-def _ranged_index(df: DataFrame, order: list[str]) -> DataFrame:
+def _ranged_index(df: DataFrame, order: list[str], series: int) -> DataFrame:
     """Row numbers without gathering a series in one task.
 
     Rows are range-partitioned on (series, time, tie), so a long series spreads
@@ -87,7 +91,8 @@ def _ranged_index(df: DataFrame, order: list[str]) -> DataFrame:
     small (series, partition) table supplies the offset of each piece.
     """
     keys = ["series_id", *order]
-    rows = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_part", F.shiftright("_row", 33))
     per_series = Window.partitionBy("series_id")
@@ -100,9 +105,27 @@ def _ranged_index(df: DataFrame, order: list[str]) -> DataFrame:
                 F.sum("_rows").over(per_series).alias("n"))
     )
     seq = F.col("_row") - F.col("_first") + F.col("_offset") + F.lit(1)
+    pieces = _broadcast_if(series + parts <= BROADCAST_ROWS, pieces)
     return rows.join(pieces, ["series_id", "_part"]).withColumn("seq", seq)
 
 
+def _broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def small_side(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Broadcast a table with one row per (series, chunk) of ``rows`` if there are few of those.
+
+    The number is bounded by the counts made when the rows were indexed. Beyond
+    the bound (or without counts) the join is left to Spark, which shuffles on
+    keys that no chunk can make hot.
+    """
+    series, total = (_metadata(rows, "seq", k) for k in ("series", "rows"))
+    if series is None or total is None:
+        return table
+    return _broadcast_if(series + total // chunk_rows_of(rows) <= BROADCAST_ROWS, table)
+
+
 def _metadata(df: DataFrame, column: str, key: str) -> int | None:
     return df.schema[column].metadata.get(key)
 
@@ -181,14 +204,13 @@ def add_arrays(parts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def attach(rows: DataFrame, per_series: DataFrame, how: str = "inner") -> DataFrame:
     """Join a per-series table to the rows of an indexed table.
 
-    No hint is given: Spark broadcasts the table when its measured size allows.
     With long series the table is first spread over the chunks, so that a
     shuffled join is keyed on (series, chunk) and has no hot key.
     """
     if single_chunk(rows):
-        return rows.join(per_series, "series_id", how)
+        return rows.join(small_side(per_series, rows), "series_id", how)
     chunks = rows.select("series_id", "chunk").distinct().join(per_series, "series_id", how)
-    return rows.join(chunks, ["series_id", "chunk"], how)
+    return rows.join(small_side(chunks, rows), ["series_id", "chunk"], how)
 
 
 def with_series_mean(df: DataFrame, name: str = "mean", value: Column | None = None) -> DataFrame:
@@ -203,7 +225,7 @@ def with_series_mean(df: DataFrame, name: str = "mean", value: Column | None = N
         .select("series_id", "chunk",
                 F.try_divide(F.sum("_s").over(per_series), F.sum("_c").over(per_series)).alias(name))
     )
-    return df.join(chunks, ["series_id", "chunk"])
+    return df.join(small_side(chunks, df), ["series_id", "chunk"])
 
 
 def prefix_before_chunk(chunks: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.arima import arima_fit
 from ..operators.evaluate import select_best
-from ..operators.index import as_series, index_series, longest_series
+from ..operators.index import as_series, index_series
 from ..operators.prepare import check_schema, fill_missing, truncate_value
 from ..operators.scale import ScaleStep, apply_scaler, scale_fit
 from ..operators.search import OrderGrid, order_search, score_candidates, suggest_orders
@@ -67,7 +67,7 @@ def prepared(df: DataFrame, truncate: bool = False, tie: Sequence[str] = ()) ->
     df = fill_missing(df)
     if truncate:
         df = truncate_value(df).withColumn("value", F.col("value").cast("double"))
-    return index_series(df, tie, longest=longest_series(df))
+    return index_series(df, tie)
 
 
 @contextmanager
