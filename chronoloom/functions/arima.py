@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_STEPS = 100
-TOLERANCE = 1e-12
+MAX_STEPS = 60
+TOLERANCE = 1e-10
 
 
 def burn_in(p: int, q: int) -> int:
@@ -180,6 +180,15 @@ def _two_step(a: np.ndarray, long: int, p: int, q: int, constant: bool, memory:
     return best
 
 
+def _products(a: np.ndarray, v: np.ndarray, dv: np.ndarray):
+    """Sum of squares, its half gradient and the Gauss-Newton matrix from one pass over A."""
+    with np.errstate(all="ignore"):
+        both = np.concatenate([v[:, :, None], dv], axis=2)
+        form = both.transpose(0, 2, 1) @ (a @ both)
+    s = np.where(np.isfinite(form[:, 0, 0]), form[:, 0, 0], np.inf)
+    return s, form[:, 0, 1:], form[:, 1:, 1:]
+
+
 def fit(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool):
     """Parameters (phi, theta, level), residual weights v and residual variance."""
     memory = a.shape[-1] - 2
@@ -194,28 +203,28 @@ def fit(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool):
         return found, v, _quadratic(a, v) / n_obs
     params = _start(a, n_obs, p, q, constant, memory)
     v, dv = _weights(params, p, q, constant, memory, True)
-    s = _quadratic(a, v)
+    s, slope, hess = _products(a, v, dv)
     damping = np.full(len(a), 1e-4)
-    active = np.flatnonzero(np.isfinite(s))
+    active, part = np.arange(len(a)), a
     for _ in range(MAX_STEPS):
+        keep = np.isfinite(s[active]) & (s[active] > 0) & (damping[active] < 1e8)
+        if not keep.all():
+            active, part = active[keep], part[keep]
         if not active.size:
             break
-        av = a[active] @ dv[active]
-        hess = dv[active].transpose(0, 2, 1) @ av
-        slope = (v[active][:, None, :] @ av)[:, 0]
-        diag = np.einsum("bii->bi", hess)
-        damped = hess.copy()
-        np.einsum("bii->bi", damped)[...] += damping[active][:, None] * diag
-        trial = params[active] - solve(damped, slope)
+        damped = hess[active]
+        np.einsum("bii->bi", damped)[...] *= 1.0 + damping[active][:, None]
+        trial = params[active] - solve(damped, slope[active])
         with np.errstate(all="ignore"):
             v_new, dv_new = _weights(trial, p, q, constant, memory, True)
-        s_new = _quadratic(a[active], v_new)
+        s_new, slope_new, hess_new = _products(part, v_new, dv_new)
         gain = s[active] - s_new
         better = gain > 0
         up = active[better]
-        params[up], v[up], dv[up], s[up] = trial[better], v_new[better], dv_new[better], s_new[better]
+        params[up], v[up], s[up] = trial[better], v_new[better], s_new[better]
+        slope[up], hess[up] = slope_new[better], hess_new[better]
         damping[active] = np.where(better, damping[active] * 0.2, damping[active] * 8.0)
         settled = better & (gain <= TOLERANCE * s[active])
-        stuck = ~better & (damping[active] > 1e8)
-        active = active[~(settled | stuck | (s[active] <= 0))]
+        if settled.any():
+            active, part = active[~settled], part[~settled]
     return params, v, s / n_obs

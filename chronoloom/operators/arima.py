@@ -190,12 +190,16 @@ def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: in
             past = x[use & ~target]
             run = run + past.T @ past
             spots = np.flatnonzero(target)
-            size = int(max(16, min(1024, 1_000_000 // shape.width**2)))
+            size = max(16, min(1024, 800_000 // shape.width**2))
             for lo in range(0, len(spots), size):
                 at = spots[lo:lo + size]
                 xs = np.where(use[at][:, None], x[at], 0.0)
-                grams = np.cumsum(xs[:, :, None] * xs[:, None, :], axis=0)
-                grams, run = np.concatenate([run[None], run + grams[:-1]]), run + grams[-1]
+                # history before row i: what came before the stack plus the rows above i
+                grams = np.empty((len(at) + 1, shape.width, shape.width))
+                grams[0] = run
+                np.multiply(xs[:, :, None], xs[:, None, :], out=grams[1:])
+                np.cumsum(grams, axis=0, out=grams)
+                grams, run = grams[:-1], grams[-1].copy()
                 history = np.maximum(seq[at] - 1 - d, 0)
                 for p, q in orders:
                     out.append(_score(key[0], (p, d, q), grams, history, heads, x[at], y[at], seq[at]))
