@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arima import burn_in, fit, lagged_rows
 from ..functions.columns import HOLDOUT_RATIO, holdout_point
-from .index import chunk_rows_of, longest_of, rechunk, single_chunk, with_halo
+from .index import (chunk_rows_of, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
+                    with_halo)
 
 # Lags kept when an order has a moving-average part.
 MEMORY = 64
@@ -87,7 +88,8 @@ def _cogrouped(rows: DataFrame, tasks: DataFrame):
     tasks = tasks.select(F.col("_id").alias("series_id"), F.col("_chunk").alias("chunk"),
                          *[c for c in tasks.columns if c not in ("_id", "_chunk")])
     # a set number of partitions: their size says nothing about the work, so they must not be merged for it
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = most_chunks(rows)
+    spread = shuffle_partitions(rows) if groups is None else min(shuffle_partitions(rows), 4 * groups + 1)
     rows, tasks = (t.repartition(spread, "series_id", "chunk") for t in (rows, tasks))
     return rows.groupBy("series_id", "chunk").cogroup(tasks.groupBy("series_id", "chunk"))
 

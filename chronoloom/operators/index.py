@@ -76,13 +76,17 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, sizes: dict[str, int
         out = df.withColumn("seq", F.row_number().over(whole.orderBy(*order)).cast("bigint"))
         out = out.withColumn("n", F.count("*").over(whole))
     else:
-        out = _ranged_index(df, order, sizes["series"])
+        out = _ranged_index(df, order, sizes)
     out = out.select("series_id", "ts", "value",
                      F.col("seq").alias("seq", metadata=sizes), "n")
     return rechunk(out, chunk_rows)
 
 
-def _ranged_index(df: DataFrame, order: list[str], series: int) -> DataFrame:
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _ranged_index(df: DataFrame, order: list[str], sizes: dict[str, int]) -> DataFrame:
     """Row numbers without gathering a series in one task.
 
     Rows are range-partitioned on (series, time, tie), so a long series spreads
@@ -91,7 +95,7 @@ def _ranged_index(df: DataFrame, order: list[str], series: int) -> DataFrame:
     small (series, partition) table supplies the offset of each piece.
     """
     keys = ["series_id", *order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(shuffle_partitions(df), 1 + sizes["rows"] // 1_000)
     rows = checkpointed(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_part", F.shiftright("_row", 33))
@@ -105,7 +109,7 @@ def _ranged_index(df: DataFrame, order: list[str], series: int) -> DataFrame:
                 F.sum("_rows").over(per_series).alias("n"))
     )
     seq = F.col("_row") - F.col("_first") + F.col("_offset") + F.lit(1)
-    pieces = _broadcast_if(series + parts <= BROADCAST_ROWS, pieces)
+    pieces = _broadcast_if(sizes["series"] + parts <= BROADCAST_ROWS, pieces)
     return rows.join(pieces, ["series_id", "_part"]).withColumn("seq", seq)
 
 
@@ -113,17 +117,20 @@ def _broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def most_chunks(rows: DataFrame) -> int | None:
+    """Upper bound for the (series, chunk) groups, from the counts made when the rows were indexed."""
+    series, total = (_metadata(rows, "seq", k) for k in ("series", "rows"))
+    return None if series is None or total is None else series + total // chunk_rows_of(rows)
+
+
 def small_side(table: DataFrame, rows: DataFrame) -> DataFrame:
     """Broadcast a table with one row per (series, chunk) of ``rows`` if there are few of those.
 
-    The number is bounded by the counts made when the rows were indexed. Beyond
-    the bound (or without counts) the join is left to Spark, which shuffles on
-    keys that no chunk can make hot.
+    Beyond the bound (or without counts) the join is left to Spark, which shuffles
+    on keys that no chunk can make hot.
     """
-    series, total = (_metadata(rows, "seq", k) for k in ("series", "rows"))
-    if series is None or total is None:
-        return table
-    return _broadcast_if(series + total // chunk_rows_of(rows) <= BROADCAST_ROWS, table)
+    bound = most_chunks(rows)
+    return _broadcast_if(bound is not None and bound <= BROADCAST_ROWS, table)
 
 
 def _metadata(df: DataFrame, column: str, key: str) -> int | None:
