@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arima import burn_in, fit, lagged_rows
 from ..functions.columns import HOLDOUT_RATIO, holdout_point
-from .index import (chunk_rows_of, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
+from .index import (chunk_rows_of, few_series, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
                     with_halo)
 
 # Lags kept when an order has a moving-average part.
@@ -78,7 +78,7 @@ def _prepare(df: DataFrame, candidates: DataFrame, shape: _Shape, max_d: int, ra
         F.try_divide(F.sum("_s").over(per_series), F.sum("_c").over(per_series)), F.lit(0.0)).alias("pivot"))
     orders = candidates.groupBy("series_id").agg(
         F.sort_array(F.collect_set(F.struct("d", "p", "q"))).alias("orders"))
-    tasks = chunks.join(orders, "series_id")
+    tasks = chunks.join(few_series(orders, df), "series_id")
     return with_halo(rows, shape.memory + max_d), tasks
 
 

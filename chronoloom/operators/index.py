@@ -67,6 +67,8 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, sizes: dict[str, int
     than ``rows_per_task`` the rows are range-partitioned instead, see
     ``_ranged_index``; both give the same numbers.
     """
+    if df.schema["series_id"].nullable:
+        df = df.withColumn("series_id", F.coalesce("series_id", F.lit("")))
     if sizes is None:
         sizes = series_sizes(df)
     # rows equal in all of these are interchangeable, so a recomputed task numbers them alike
@@ -208,6 +210,12 @@ def add_arrays(parts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias(column))
 
 
+def few_series(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Broadcast a table with one row per series if the counts say there are few series."""
+    series = _metadata(rows, "seq", "series")
+    return _broadcast_if(series is not None and series <= BROADCAST_ROWS, table)
+
+
 def attach(rows: DataFrame, per_series: DataFrame, how: str = "inner") -> DataFrame:
     """Join a per-series table to the rows of an indexed table.
 

@@ -22,6 +22,11 @@ def filter_seq(df: DataFrame, k: int | Column, keep: str = "first") -> DataFrame
     return df.where(F.col("seq") <= bound if keep == "first" else F.col("seq") > bound)
 
 
+def order_by_time(df: DataFrame) -> DataFrame:
+    """Rows in time order for a sink (a range sort); inside the engine ``seq`` carries the order."""
+    return df.orderBy("ts", *[c for c in ("series_id", "seq", "value") if c in df.columns])
+
+
 def drop_helper(df: DataFrame) -> DataFrame:
     """Back to (series_id, ts, value)."""
     return df.select("series_id", "ts", "value")

@@ -177,6 +177,12 @@ def filter_date_range(spark, sf):
     return prepare.filter_date_range(rows, "2024-01-10 00:00:00", "2024-01-20 12:00:00")
 
 
+@query("SELECT o_orderpriority AS series_id, o_orderdate AS ts, o_totalprice AS value FROM orders ORDER BY 2, 1, 3")
+def order_by_time(spark, sf):
+    rows = as_series(table(spark, sf, "orders"), ["o_orderdate", "o_totalprice"], "o_orderpriority")
+    return prepare.order_by_time(rows)
+
+
 @query(f"WITH {EVENTS_IDX} SELECT series_id, ts, value FROM idx WHERE seq > 100")
 def filter_seq(spark, sf):
     return prepare.drop_helper(prepare.filter_seq(events(spark, sf), 100, "rest"))
