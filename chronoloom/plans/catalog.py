@@ -709,7 +709,41 @@ def train(spark, sf):
     return stages.train(monthly_rows(spark, sf), store.Layout(scratch(spark)), "s", GRID).drop("run_ts")
 
 
-@query()
+BEST_STORED = f"""WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST}
+SELECT 's' AS session_id, series_id, mape, p, d, q, ref_mape, ref_p, ref_d, ref_q, n_candidates, 'STAGE' AS stage FROM best"""
+
+
+def _stored_stage(spark, layout, stage) -> DataFrame:
+    rows = store.read_results(spark, layout).where(F.col("stage") == stage).drop("run_ts")
+    return _rounded_best(rows).withColumn("stage", F.col("stage").cast("string"))
+
+
+@query(BEST_STORED.replace("STAGE", "tune"))
+def tune_closed_form(spark, sf):
+    """The result table as ``tune`` leaves it."""
+    layout = store.Layout(scratch(spark))
+    stages.tune(monthly_rows(spark, sf), layout, "s", CLOSED_GRID)
+    return _stored_stage(spark, layout, "tune")
+
+
+@query(BEST_STORED.replace("STAGE", "train"))
+def train_closed_form(spark, sf):
+    layout = store.Layout(scratch(spark))
+    stages.train(monthly_rows(spark, sf), layout, "s", CLOSED_GRID)
+    return _stored_stage(spark, layout, "train")
+
+
+@query(f"""WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST},
+part AS (SELECT * FROM monthly WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2001-12-31'),
+part_idx AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS seq,
+  count(*) OVER (PARTITION BY series_id) AS n FROM part),
+late AS (SELECT series_id, value, seq, count(*) OVER (PARTITION BY series_id) AS n FROM part_idx
+  WHERE seq <= CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT)),
+{HIST.replace("h AS", "h2 AS").replace("FROM idx", "FROM late")},
+{CLOSED.replace("FROM h ", "FROM h2 ").replace("e AS", "e2 AS").replace("FROM e ", "FROM e2 ").replace("mape AS (", "mape2 AS (")}
+SELECT b.series_id, round(m.mape, 4) AS mape, m.p, m.d, m.q, CASE WHEN m.mape < 100 THEN round(m.mape, 4) ELSE 100.0 END AS ref_mape,
+  m.p AS ref_p, CASE WHEN m.mape < 100 THEN m.d ELSE 0 END AS ref_d, m.q AS ref_q, CAST(1 AS BIGINT) AS n_candidates
+FROM best b JOIN mape2 m ON b.series_id = m.series_id AND b.ref_d = m.d""")
 def retrain(spark, sf):
     """Train on all order months, then read a later date window again and score the stored orders."""
     folder = scratch(spark)
@@ -719,4 +753,4 @@ def retrain(spark, sf):
     monthly_source = table_sources.TableSource("parquet", {"path": f"{folder}/tables"})
     stages.train(spark.read.parquet(f"{folder}/tables/monthly.parquet"), layout, "s", CLOSED_GRID)
     return stages.retrain(spark, monthly_source, "monthly", ["ts", "value"], layout, "s",
-                          "1996-01-01", "2001-12-31", series="series_id").drop("run_ts")
+                          "1996-01-01", "2001-12-31", series="series_id").drop("run_ts").transform(_rounded_best)

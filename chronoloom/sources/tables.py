@@ -88,14 +88,22 @@ def reader_options(source: TableSource, table: str, ts_column: str, *, partition
     return options
 
 
+def time_bounds(spark: SparkSession, source: TableSource, table: str, ts_column: str) -> tuple[str, str] | None:
+    """First and last time of a table, asked of the database itself; None when it has none."""
+    text = f"SELECT MIN({check_identifier(ts_column)}) AS lo, MAX({ts_column}) AS hi FROM {check_identifier(table)}"
+    row = run_query(spark, source, text).first()
+    return None if row is None or row[0] is None else (str(row[0]), str(row[1]))
+
+
 def read_table(spark: SparkSession, source: TableSource, table: str, columns: Sequence[str], *,
                extra: Sequence[str] = (), partitions: int | None = None,
                bounds: tuple[str, str] | None = None, boundaries: Sequence[str] = ()) -> DataFrame:
     """A time and a value column (plus ``extra`` id or tie columns) of a table.
 
-    ``bounds`` cut a JDBC read into equal steps of the time column. Where rows
-    crowd in a few periods, ``boundaries`` names the cuts instead, so that no one
-    read task gets them all.
+    ``partitions`` cuts a JDBC read into equal steps of the time column between
+    ``bounds`` (asked of the database if not given). Where rows crowd in a few
+    periods, ``boundaries`` names the cuts instead, so that no one read task gets
+    them all.
     """
     if len(columns) != 2:
         raise ValueError(f"expected exactly two columns (time, value), got {len(columns)}")
@@ -108,6 +116,8 @@ def read_table(spark: SparkSession, source: TableSource, table: str, columns: Se
         df = spark.read.jdbc(source.options["url"], check_identifier(table),
                              predicates=range_predicates(columns[0], boundaries), properties=options)
     else:
+        if partitions and bounds is None and source.kind in JDBC_KINDS:
+            bounds = time_bounds(spark, source, table, columns[0])
         options = reader_options(source, table, columns[0], partitions=partitions, bounds=bounds)
         df = spark.read.format(source.format).options(**options).load()
     return df.select(*wanted)
