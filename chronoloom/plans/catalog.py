@@ -653,26 +653,24 @@ def load_model(spark, sf):
                         rounded("next_value", 5))
 
 
-def _stored_results(spark, sf) -> DataFrame:
+def _stored_results(spark, sf, stage: str) -> DataFrame:
     """Two runs of the closed-form search in a result table; the later one counts."""
     layout = store.Layout(scratch(spark))
     rows = monthly(spark, sf)
-    for stage in ("tune", "train"):
-        first = search.order_search(rows, search.OrderGrid(p=(0,), d=(2,), q=(0,)))
-        store.write_result(first, layout, "s1", stage)
-        store.write_result(search.order_search(rows, CLOSED_GRID), layout, "s1", stage)
+    for grid in (search.OrderGrid(p=(0,), d=(2,), q=(0,)), CLOSED_GRID):
+        store.write_result(search.order_search(rows, grid), layout, "s1", stage)
     return store.read_results(spark, layout)
 
 
 @query(f"""WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_mape AS "MAPE", CAST(ref_p AS DOUBLE) AS "P",
   CAST(ref_d AS DOUBLE) AS "D", CAST(ref_q AS DOUBLE) AS "Q" FROM best""")
 def best_hyperparameters(spark, sf):
-    return store.best_hyperparameters(_stored_results(spark, sf), "s1").withColumn("MAPE", F.round("MAPE", 4))
+    return store.best_hyperparameters(_stored_results(spark, sf, "tune"), "s1").withColumn("MAPE", F.round("MAPE", 4))
 
 
 @query(f"WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_p AS p, ref_d AS d, ref_q AS q FROM best")
 def load_trained_order(spark, sf):
-    return store.load_trained_order(_stored_results(spark, sf), "s1")
+    return store.load_trained_order(_stored_results(spark, sf, "train"), "s1")
 
 
 @query(f"WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_mape AS mape, ref_p AS p, ref_d AS d, ref_q AS q FROM best")
