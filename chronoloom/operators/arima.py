@@ -28,6 +28,8 @@ MEMORY = 64
 # is cut into about FIT_CHUNKS pieces, none outside these sizes.
 FIT_CHUNKS = 64
 FIT_CHUNK_ROWS = (512, 8_192)
+# Numbers in one stack of Gram matrices: bounds the memory of a task.
+STACK_VALUES = 800_000
 
 STEP_SCHEMA = ("series_id string, p int, d int, q int, seq bigint, actual double, forecast double, error string")
 MODEL_SCHEMA = ("series_id string, p int, d int, q int, n bigint, const double, ar array<double>, "
@@ -192,7 +194,7 @@ def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: in
             past = x[use & ~target]
             run = run + past.T @ past
             spots = np.flatnonzero(target)
-            size = max(16, min(1024, 800_000 // shape.width**2))
+            size = max(16, min(1024, STACK_VALUES // shape.width**2))
             for lo in range(0, len(spots), size):
                 at = spots[lo:lo + size]
                 xs = np.where(use[at][:, None], x[at], 0.0)
