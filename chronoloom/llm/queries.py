@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, tokens
+from . import decontaminate, packing, simhash, tokens
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizer("byte_bpe_50k.json"))
