@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, tokens
+from . import decontaminate, langid, packing, simhash, tokens
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
+@query()
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = langid.identify(table(spark, sf, "documents"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf, "documents"))
