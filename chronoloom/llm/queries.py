@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, simhash, tokens
+from . import decontaminate, langid, lines, packing, secrets, simhash, tokens
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def query(sql: str | None = None):
     return register
 
 
+@query("""
+    WITH l AS (SELECT doc_id, md5(text) AS h, source, unnest(string_split(text, chr(10))) AS line,
+                      generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+    common AS (SELECT line, min((doc_id, h, place)) AS at FROM l WHERE length(line) >= 20
+               GROUP BY line HAVING count(DISTINCT source) >= 5),
+    marked AS (SELECT l.*, common.line IS NOT NULL AND (l.doc_id, l.h, l.place) <> common.at AS gone FROM l LEFT JOIN common USING (line))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+""")
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf, "documents"), counts=("n_lines", "n_removed"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizer("word_bpe_49k.json"))
@@ -50,3 +65,17 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE],
+                        F.sha2(joined(of(*secrets.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -1,30 +1,63 @@
-"""The corpus pipeline: documents through language ID, line dedup, near-dedup, decontamination and packing."""
+"""The corpus pipeline: documents through language ID, line dedup, near-dedup, decontamination and packing.
+
+Each stage takes the rows that its predecessor kept and returns the columns of documents; the last one returns the
+packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoloom.llm import simhash
-from chronoloom.llm.common import table
+from chronoloom.llm import decontaminate, langid, lines, packing, simhash
+from chronoloom.llm.common import checkpointed, public_tokenizer, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the learned languages, go."""
+    return langid.known_language(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that spread over many sites stay only where they come first; n_chars follows the text."""
+    kept = lines.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts as pieces of sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Language ID is a trained model: SQL can't express it.
+#: Language ID is a trained model, which SQL cannot express; the tests hold the stages against direct computations.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, checkpointed between them."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, checkpointed(docs) if k else docs, sf_dir)
     return docs
