@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, secrets, simhash, tokens
+from . import decontaminate, langid, lines, packing, secrets, simhash, tokens, topk
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,20 @@ def query(sql: str | None = None):
     return register
 
 
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
+          FROM e q JOIN e d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op2_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").where(topk.usable("embedding")).select("vec_id", topk.scaled("embedding").alias("v"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return topk.top_k(queries, rows)
+
+
 @query("""
     WITH l AS (SELECT doc_id, md5(text) AS h, source, unnest(string_split(text, chr(10))) AS line,
                       generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
