@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, secrets, simhash, tokens, topk
+from . import decontaminate, langid, lines, packing, secrets, simhash, tokens, toolcalls, topk
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,36 @@ def query(sql: str | None = None):
     return register
 
 
+@query("""
+    WITH RECURSIVE c AS (
+        SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, turn, text, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
+               CAST(CASE WHEN turn >= 2 THEN turn - 2 WHEN turn = 1 THEN 0 END AS VARCHAR) AS parent_id
+        FROM conversations WHERE role IN ('user', 'system')),
+    a AS (SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, text AS content FROM conversations WHERE role IN ('assistant', 'tool')),
+    d AS (SELECT conv_id, call_id, 0 AS depth FROM c
+          WHERE parent_id IS NULL OR (conv_id, parent_id) NOT IN (SELECT (conv_id, call_id) FROM c)
+          UNION ALL SELECT c.conv_id, c.call_id, d.depth + 1 FROM c JOIN d ON c.conv_id = d.conv_id AND c.parent_id = d.call_id),
+    l AS (SELECT c.*, d.depth, a.call_id IS NULL AS lone, content, p.call_id IS NULL AND c.parent_id IS NOT NULL AS lost
+          FROM c JOIN d USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id)
+          LEFT JOIN c p ON p.conv_id = c.conv_id AND p.call_id = c.parent_id),
+    u AS (SELECT conv_id, call_id, parent_id, name, CAST(depth AS BIGINT) AS depth, 1 AS copies, CASE WHEN lone THEN 0 ELSE 1 END AS n_results,
+                 concat_ws(',', CASE WHEN length(text) < 1 OR length(text) > (CASE name WHEN 'reply' THEN 1000 ELSE 8000 END) THEN 'prompt:range' END,
+                                CASE WHEN name = 'configure' AND turn <> 0 THEN 'turn:range' END,
+                                CASE WHEN lost THEN 'no parent' END, CASE WHEN lone THEN 'no result' END) AS errors,
+                 '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"' || name || '","parent":'
+                 || coalesce('"' || parent_id || '"', 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS message
+          FROM l
+          UNION ALL
+          SELECT conv_id, call_id, NULL, NULL, NULL, 0, 1, 'no call',
+                 '{"arguments":null,"id":"' || call_id || '","name":null,"parent":null,"result":' || to_json(content) || '}'
+          FROM a WHERE (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM c))
+    SELECT conv_id, call_id, parent_id, name, depth, CAST(copies AS BIGINT) AS copies, CAST(n_results AS BIGINT) AS n_results, errors, message FROM u
+""")
+def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    calls, results = toolcalls.conversation_calls(table(spark, sf, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.TURNS).withColumn("errors", F.array_join("errors", ","))
+
+
 @query("""
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
