@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, secrets, simhash, tokens, toolcalls, topk
+from . import decontaminate, langid, lines, packing, repeats, secrets, simhash, tokens, toolcalls, topk
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+@query()
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizer("byte_bpe_50k.json"))
