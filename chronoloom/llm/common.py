@@ -41,6 +41,20 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(alias) for alias, name in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``gone``; rows without an id stay."""
+    name = unused(docs, "gone_id")
+    return docs.join(gone.toDF(name), F.col(f"`{id_col}`") == F.col(name), "left_anti")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared checkpoint folder and read from there."""
     use_checkpoint_dir(df.sparkSession)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, byte_texts, checkpointed, only, runs
+from .common import by_value, byte_texts, checkpointed, only, runs, without
 
 UNDETERMINED = "und"
 #: Bytes that the network reads in one go; longer texts are several such stretches, all of them read.
@@ -235,7 +235,5 @@ def known_language(docs: DataFrame, least: float = 0.3, per_lang: int = 256, id_
     network = fit(docs, per_lang, id_col, text_col, lang_col)
     if network is None:
         return docs
-    found = checkpointed(predict(docs, network, id_col, text_col).where(
-        F.col("doc_id").isNotNull() & ((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))).select(
-        F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    found = predict(docs, network, id_col, text_col).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
+    return without(docs, id_col, checkpointed(found.where("doc_id IS NOT NULL").select("doc_id").distinct()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 #: log2 of the sketch size: a relative error of 1.04 / 2**6.
 LOG_K = 12
@@ -59,15 +59,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, id_col
     rows = _lines(docs, id_col, text_col, site_col, min_chars)
     own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash", "place")
     gone = rows.join(spread, ["a", "b"]).where(~own.eqNullSafe(F.col("first"))).groupBy("id", "hash").agg(
-        F.collect_set("place").alias("__gone")).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "__gone")
+        F.collect_set("place").alias("places")).toDF(*(names := [unused(docs, n) for n in ("gone_id", "gone_hash", "gone_places")]))
     text = F.col(f"`{text_col}`")
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    gone_id, gone_hash, gone_places = map(F.col, names)
+    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone_id) & (F.xxhash64(text) == gone_hash), "left")
     lines = F.split(text, "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_places)
     cut = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    new = F.when(F.col("__gone").isNull(), text).otherwise(cut)
+    new = F.when(gone_places.isNull(), text).otherwise(cut)
     out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         out += [F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counts[0]),
-                F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias(counts[1])]
+                F.when(gone_places.isNull(), 0).otherwise(F.size(gone_places)).cast("long").alias(counts[1])]
     return joined.select(*out)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_value, byte_texts, checkpointed, only, spread
+from .common import LOWER, by_value, byte_texts, checkpointed, only, spread, unused, without
 from .components import connected_components
 
 SEED = 42
@@ -178,10 +178,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str =
     Rows that repeat an id are one document, of which one row stays. Rows without an id stay: nothing names them.
     """
     groups = checkpointed(simhash_groups(docs, shingle, max_bits, id_col, text_col))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice"))
+    left = without(docs, id_col, groups.where("doc_id != component_id").select("doc_id").distinct())
+    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return left
-    again = F.col(f"`{id_col}`") == F.col("__twice")
-    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates([id_col]))
+    name = unused(docs, "twice_id")
+    again = left.join(twice.toDF(name), F.col(f"`{id_col}`") == F.col(name), "left_semi")
+    return without(left, id_col, twice).unionByName(again.dropDuplicates([id_col]))
