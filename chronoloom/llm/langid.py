@@ -172,14 +172,18 @@ def training_sample(docs: DataFrame, per_lang: int = 256, chars: int = 1500, id_
                     lang_col: str = "lang") -> list[tuple[str, str]]:
     """(lang, stretch of text) of at most ``per_lang`` labelled documents of each language that are not held out.
 
-    Counts per language come from all rows; a hash of the id then picks about twice the number wanted and a window cuts
-    that to ``per_lang``, so that no language's rows ever meet in one task. A stretch starts at a hashed place.
+    Counts per language come from all rows (the driver gets one number a language); a hash of the id then picks about twice
+    the number wanted where the rows are and a window cuts that to ``per_lang``, so that no language's rows ever travel or
+    meet in one task. A stretch starts at a hashed place.
     """
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col).where(
         F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = rows.groupBy("lang").count()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
-    share = rows.join(counts, "lang").where(F.pmod(hashed, F.lit(1 << 20)) * F.col("count") < F.lit(2 * per_lang) * (1 << 20))
+    among = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
+    share = rows.where(F.pmod(hashed, F.lit(1 << 20)) * among < F.lit(2 * per_lang) * (1 << 20))
     start = 1 + F.pmod(F.shiftright(hashed, 20), F.greatest(F.length("text") - chars, F.lit(1)))
     picked = share.select("lang", hashed.alias("h"), F.substring("text", start.cast("int"), F.lit(chars)).alias("text"))
     ranked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= per_lang)
