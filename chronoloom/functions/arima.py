@@ -12,17 +12,23 @@ chunk and add it up; a fit then costs the same whatever the length of history.
 * q > 0: conditional sum of squares, started from the two-step regression of
   Hannan and Rissanen and refined by damped Gauss-Newton steps. With history no
   longer than M + 1 nothing is cut; beyond that the cut part decays like the
-  M-th power of the largest moving-average root.
+  M-th power of the largest moving-average root, and ``cut_matters`` says where
+  that is not small. Those fits go on in ``fit_whole``, which runs the residual
+  recursion over all rows and so cuts nothing.
 
 All functions work on stacks: A is (B, M+2, M+2), parameters are (B, ...).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 MAX_STEPS = 60
 TOLERANCE = 1e-10
+# Share of a residual weight that may be cut off: its square is far below the rounding of the sum of squares.
+NEGLIGIBLE = 1e-8
 
 
 def burn_in(p: int, q: int) -> int:
@@ -189,42 +195,109 @@ def _products(a: np.ndarray, v: np.ndarray, dv: np.ndarray):
     return s, form[:, 0, 1:], form[:, 1:, 1:]
 
 
-def fit(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool):
-    """Parameters (phi, theta, level), residual weights v and residual variance."""
-    memory = a.shape[-1] - 2
-    if q == 0:
-        ones = [0] if constant else []
-        found = _regress(a[:, :2 + p, :2 + p], 1, list(range(2, 2 + p)) + ones)
-        v = np.zeros((len(a), memory + 2))
-        v[:, 1] = 1.0
-        v[:, 2:2 + p] = -found[:, :p]
-        if constant:
-            v[:, 0] = -found[:, -1]
-        return found, v, _quadratic(a, v) / n_obs
-    params = _start(a, n_obs, p, q, constant, memory)
-    v, dv = _weights(params, p, q, constant, memory, True)
-    s, slope, hess = _products(a, v, dv)
-    damping = np.full(len(a), 1e-4)
-    active, part = np.arange(len(a)), a
+def _descend(params: np.ndarray, evaluate: Callable):
+    """Damped Gauss-Newton steps from ``params``; ``evaluate(params, rows)`` gives the sum of squares, its half gradient and the
+    Gauss-Newton matrix for these rows of the stack. Returns parameters, sums of squares and which rows settled: no step
+    gains any more, or the fit is perfect.
+    """
+    params, active = params.copy(), np.arange(len(params))
+    s, slope, hess = evaluate(params, active)
+    damping, settled = np.full(len(params), 1e-4), np.zeros(len(params), dtype=bool)
     for _ in range(MAX_STEPS):
-        keep = np.isfinite(s[active]) & (s[active] > 0) & (damping[active] < 1e8)
-        if not keep.all():
-            active, part = active[keep], part[keep]
+        settled[active] = (s[active] == 0) | (damping[active] >= 1e8)
+        active = active[np.isfinite(s[active]) & ~settled[active]]
         if not active.size:
             break
         damped = hess[active]
         np.einsum("bii->bi", damped)[...] *= 1.0 + damping[active][:, None]
         trial = params[active] - solve(damped, slope[active])
-        with np.errstate(all="ignore"):
-            v_new, dv_new = _weights(trial, p, q, constant, memory, True)
-        s_new, slope_new, hess_new = _products(part, v_new, dv_new)
+        s_new, slope_new, hess_new = evaluate(trial, active)
         gain = s[active] - s_new
         better = gain > 0
         up = active[better]
-        params[up], v[up], s[up] = trial[better], v_new[better], s_new[better]
+        params[up], s[up] = trial[better], s_new[better]
         slope[up], hess[up] = slope_new[better], hess_new[better]
         damping[active] = np.where(better, damping[active] * 0.2, damping[active] * 8.0)
-        settled = better & (gain <= TOLERANCE * s[active])
-        if settled.any():
-            active, part = active[~settled], part[~settled]
-    return params, v, s / n_obs
+        done = better & (gain <= TOLERANCE * s[active])
+        settled[active[done]] = True
+        active = active[~done]
+    return params, s, settled
+
+
+def fit(a: np.ndarray, n_obs: np.ndarray, p: int, q: int, constant: bool):
+    """Parameters (phi, theta, level), residual weights v, residual variance and which fits settled."""
+    memory = a.shape[-1] - 2
+    if q == 0:
+        ones = [0] if constant else []
+        found = _regress(a[:, :2 + p, :2 + p], 1, list(range(2, 2 + p)) + ones)
+        v = np.zeros((len(a), memory + 2))
+        v[:, 1] = 1.0
+        v[:, 2:2 + p] = -found[:, :p]
+        if constant:
+            v[:, 0] = -found[:, -1]
+        return found, v, _quadratic(a, v) / n_obs, np.ones(len(a), dtype=bool)
+    held = [np.arange(len(a)), a]
+
+    def evaluate(trial: np.ndarray, rows: np.ndarray):
+        if len(rows) != len(held[0]):
+            held[:] = rows, a[rows]
+        with np.errstate(all="ignore"):
+            return _products(held[1], *_weights(trial, p, q, constant, memory, True))
+
+    params, s, settled = _descend(_start(a, n_obs, p, q, constant, memory), evaluate)
+    return params, _weights(params, p, q, constant, memory, False)[0], s / n_obs, settled
+
+
+def cut_matters(params: np.ndarray, history: np.ndarray, p: int, q: int, memory: int) -> np.ndarray:
+    """Whether leaving out lags beyond ``memory`` can change a fit: longer history and a slowly fading moving average."""
+    if q == 0:
+        return np.zeros(len(params), dtype=bool)
+    companion = np.zeros((len(params), q, q))
+    companion[:, 0, :] = -params[:, p:p + q]
+    companion[:, np.arange(1, q), np.arange(q - 1)] = 1.0
+    companion[~np.isfinite(companion)] = 0.0
+    largest = np.abs(np.linalg.eigvals(companion)).max(axis=1)
+    with np.errstate(over="ignore"):
+        return (history > memory + 1) & (largest ** memory > NEGLIGIBLE)
+
+
+def _recursion(w: np.ndarray, ends: np.ndarray, params: np.ndarray, p: int, q: int, constant: bool):
+    """Sum of squares, half gradient, Gauss-Newton matrix and next value for histories ``w[:end]``, one recursion for all."""
+    n, k, burn = len(params), p + q + constant, burn_in(p, q)
+    phi, theta = params[:, :p], params[:, p:p + q]
+    level = params[:, -1] if constant else np.zeros(n)
+    s, slope, hess = np.zeros(n), np.zeros((n, k)), np.zeros((n, k, k))
+    past, past_slopes = np.zeros((n, q)), np.zeros((q, n, k))
+    following = np.zeros(n)
+    padded = np.concatenate([np.zeros(p), w, [0.0]])
+    with np.errstate(all="ignore"):
+        for t in range(int(ends.max(initial=0)) + 1):
+            lags = padded[t:t + p][::-1]
+            known = phi @ lags + np.einsum("bj,bj->b", theta, past)
+            at_end = ends == t
+            following[at_end] = (level + known)[at_end]
+            e = padded[t + p] - known
+            de = np.zeros((n, k))
+            de[:, :p], de[:, p:p + q] = -lags, -past
+            if constant:
+                de[:, -1] = 0.0
+            for j in range(q):
+                de -= theta[:, j, None] * past_slopes[j]
+            if t >= burn:
+                r, dr = np.where(t < ends, e - level, 0.0), np.where((t < ends)[:, None], de, 0.0)
+                if constant:
+                    dr[:, -1] = np.where(t < ends, -1.0, 0.0)
+                s += r * r
+                slope += r[:, None] * dr
+                hess += dr[:, :, None] * dr[:, None, :]
+            past = np.concatenate([e[:, None], past[:, :-1]], axis=1)
+            past_slopes = np.concatenate([de[None], past_slopes[:-1]])
+        bad = ~(np.isfinite(s) & np.isfinite(slope).all(axis=1) & np.isfinite(hess).all(axis=(1, 2)))
+    s[bad], slope[bad], hess[bad] = np.inf, 0.0, np.eye(k)
+    return s, slope, hess, following
+
+
+def fit_whole(w: np.ndarray, ends: np.ndarray, start: np.ndarray, p: int, q: int, constant: bool):
+    """Fits on the histories ``w[:end]`` without any cut: parameters, next values, residual variances and which settled."""
+    params, s, settled = _descend(start, lambda trial, rows: _recursion(w, ends[rows], trial, p, q, constant)[:3])
+    return params, _recursion(w, ends, params, p, q, constant)[3], s / np.maximum(ends - burn_in(p, q), 1), settled

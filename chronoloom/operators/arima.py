@@ -8,6 +8,10 @@ Two passes over (series, chunk) groups of bounded size:
 
 A refit costs the same at row 100 and at row 10^9, and chunks do not wait for
 each other. All orders that share a number of differences share the state.
+
+The state holds MEMORY lags. Moving-average fits for which lags beyond that
+matter are done again on the whole history: at once where it lies in one chunk,
+else in a further pass over the chunks and orders concerned.
 """
 
 from __future__ import annotations
@@ -17,13 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arima import burn_in, fit, lagged_rows
+from ..functions.arima import burn_in, cut_matters, fit, fit_whole, lagged_rows
 from ..functions.columns import HOLDOUT_RATIO, holdout_point
-from .index import (chunk_rows_of, few_series, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
+from ..session import checkpointed
+from .index import (chunk_rows_of, counted, few_series, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
                     with_halo)
 
-# Lags kept when an order has a moving-average part.
+# Lags in the state when an order has a moving-average part; fits that need more get the whole history.
 MEMORY = 64
+# Rows of history that are added to a Gram matrix at a time.
+BLOCK_ROWS = 16_384
 # Chunks are smaller than elsewhere, because a row here costs a fit: a long series
 # is cut into about FIT_CHUNKS pieces, none outside these sizes.
 FIT_CHUNKS = 64
@@ -31,9 +38,10 @@ FIT_CHUNK_ROWS = (512, 8_192)
 # Numbers in one stack of Gram matrices: bounds the memory of a task.
 STACK_VALUES = 800_000
 
-STEP_SCHEMA = ("series_id string, p int, d int, q int, seq bigint, actual double, forecast double, error string")
+STEP_SCHEMA = ("series_id string, p int, d int, q int, seq bigint, actual double, forecast double, error string, "
+               "settled boolean")
 MODEL_SCHEMA = ("series_id string, p int, d int, q int, n bigint, const double, ar array<double>, "
-                "ma array<double>, sigma2 double, next_value double, error string")
+                "ma array<double>, sigma2 double, next_value double, error string, settled boolean")
 
 
 class _Shape:
@@ -55,19 +63,29 @@ class _Shape:
         return lagged_rows(state[len(self.upper[0]):], self.memory)
 
 
-def _differenced(part: pd.DataFrame, d: int):
-    """Rows of one chunk: differenced values (0 where undefined) and which rows count."""
+def _differenced(part: pd.DataFrame, d: int, whole: bool = False):
+    """Rows of one chunk: differenced values (0 where undefined) and which rows count (carried-over ones only as whole history)."""
     y, seq = part["value"].to_numpy(dtype=float), part["seq"].to_numpy()
     w = np.zeros(len(y))
     w[d:] = np.diff(y, n=d)
     if d == 0:
         w -= part["pivot"].iloc[0]
     w[seq <= d] = 0.0
-    return y, seq, w, part["own"].to_numpy() & (seq > d)
+    return y, seq, w, (part["own"].to_numpy() | whole) & (seq > d)
+
+
+def _gram_of(w: np.ndarray, use: np.ndarray, memory: int) -> np.ndarray:
+    """Sum of x_t x_t' over the rows in use."""
+    total = np.zeros((memory + 2, memory + 2))
+    for lo in range(0, len(w), BLOCK_ROWS):
+        before = max(lo - memory, 0)
+        x = lagged_rows(w[before:lo + BLOCK_ROWS], memory)[lo - before:][use[lo:lo + BLOCK_ROWS]]
+        total += x.T @ x
+    return total
 
 
 def _prepare(df: DataFrame, candidates: DataFrame, shape: _Shape, max_d: int, ratio: float, chunk_rows: int | None):
-    """Rows with carried-over history, and one task row per (series, chunk)."""
+    """Rows in chunks of a size for fits, and one task row per (series, chunk)."""
     if chunk_rows is None:
         least, most = FIT_CHUNK_ROWS
         chunk_rows = min(max(longest_of(df) // FIT_CHUNKS, least), most)
@@ -81,7 +99,7 @@ def _prepare(df: DataFrame, candidates: DataFrame, shape: _Shape, max_d: int, ra
     orders = candidates.groupBy("series_id").agg(
         F.sort_array(F.collect_set(F.struct("d", "p", "q"))).alias("orders"))
     tasks = chunks.join(few_series(orders, df), "series_id")
-    return with_halo(rows, shape.memory + max_d), tasks
+    return rows, tasks
 
 
 def _cogrouped(rows: DataFrame, tasks: DataFrame):
@@ -105,12 +123,11 @@ def _chunk_states(rows: DataFrame, tasks: DataFrame, shape: _Shape) -> DataFrame
         ds, states = sorted({o["d"] for o in task["orders"].iloc[0]}), []
         for d in ds:
             _, seq, w, use = _differenced(part, d)
-            x = lagged_rows(w, shape.memory)[use]
             head = np.zeros(shape.head)
             first = seq[use] - d - 1
             inside = first < shape.head
             head[first[inside]] = w[use][inside]
-            states.append(np.concatenate([(x.T @ x)[shape.upper], head]))
+            states.append(np.concatenate([_gram_of(w, use, shape.memory)[shape.upper], head]))
         return pd.DataFrame({"series_id": key[0], "chunk": key[1], "d": np.array(ds, dtype=np.int32), "state": states})
 
     parts = _cogrouped(rows, tasks.select("series_id", "chunk", "pivot", "orders")).applyInPandas(
@@ -156,6 +173,28 @@ def _fit_order(grams: np.ndarray, n_obs: np.ndarray, head_grams: np.ndarray, p:
     return fit(a, np.maximum(n_obs, 1).astype(float), p, q, constant=d == 0)
 
 
+def _passes(rows: DataFrame, tasks: DataFrame, shape: _Shape, max_d: int, max_q: int, chosen, work, schema: str) -> DataFrame:
+    """``work(whole)`` on the chosen chunks: from states first, then with the whole history for the (chunk, order) that ask for it.
+
+    Its rows have ``chunk`` and ``whole`` beyond the schema: whether nothing that matters was cut off.
+    """
+    inner = f"{schema}, chunk bigint, whole boolean"
+    halo = with_halo(rows, shape.memory + max_d)
+    ready = _with_states(halo, tasks, shape).where(chosen)
+    if single_chunk(rows) or max_q == 0:
+        return _cogrouped(halo.where(chosen), ready).applyInPandas(work(single_chunk(rows)), inner).drop("chunk", "whole")
+    first = checkpointed(_cogrouped(halo.where(chosen), ready).applyInPandas(work(False), inner))
+    open_ = first.where("NOT whole").groupBy("series_id", "chunk").agg(F.sort_array(F.collect_set(F.struct("d", "p", "q"))).alias("orders"))
+    if open_.isEmpty():
+        return first.drop("chunk", "whole")
+    all_before = with_halo(rows, F.col("n")).join(open_.select("series_id", "chunk"), ["series_id", "chunk"], "left_semi")
+    again = tasks.drop("orders").join(open_, ["series_id", "chunk"]).withColumn(
+        "states", F.array().cast("array<struct<d:int,state:array<double>>>"))
+    second = _cogrouped(all_before.withMetadata("chunk", {"rows": chunk_rows_of(rows)}), again).applyInPandas(work(True), inner)
+    redone = open_.select("series_id", "chunk", F.inline("orders"))
+    return first.join(redone, ["series_id", "chunk", "d", "p", "q"], "left_anti").select(*second.columns).unionByName(second).drop("chunk", "whole")
+
+
 def _head_grams(state: np.ndarray, shape: _Shape) -> np.ndarray:
     x = shape.head_rows(state)
     outer = x[:, :, None] * x[:, None, :]
@@ -169,64 +208,75 @@ def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: in
 
     ``candidates`` has ``series_id, p, d, q`` with values up to the given maxima.
     """
+    df = counted(df)
     shape = _Shape(longest_of(df), max_p, max_q, memory)
     rows, tasks = _prepare(df, candidates, shape, max_d, ratio, chunk_rows)
     scored = (F.col("chunk") + 1) * chunk_rows_of(rows) > holdout_point(F.col("n"), ratio)
-    tasks, rows = _with_states(rows, tasks, shape).where(scored), rows.where(scored)
 
-    def replay(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        if task.empty or part.empty:
-            return _frame([])
-        part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
-        k = int(int(task["n"].iloc[0]) * ratio)
-        by_d: dict[int, list] = {}
-        for o in task["orders"].iloc[0]:
-            by_d.setdefault(o["d"], []).append((o["p"], o["q"]))
-        out = []
-        for d, orders in by_d.items():
-            y, seq, w, use = _differenced(part, d)
-            target = part["own"].to_numpy() & (seq > k)
-            if not target.any():
-                continue
-            state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
-            run, heads = shape.gram(state), _head_grams(state, shape)
-            x = lagged_rows(w, shape.memory)
-            past = x[use & ~target]
-            run = run + past.T @ past
-            spots = np.flatnonzero(target)
-            size = max(16, min(1024, STACK_VALUES // shape.width**2))
-            for lo in range(0, len(spots), size):
-                at = spots[lo:lo + size]
-                xs = np.where(use[at][:, None], x[at], 0.0)
-                # history before row i: what came before the stack plus the rows above i
-                grams = np.empty((len(at) + 1, shape.width, shape.width))
-                grams[0] = run
-                np.multiply(xs[:, :, None], xs[:, None, :], out=grams[1:])
-                np.cumsum(grams, axis=0, out=grams)
-                grams, run = grams[:-1], grams[-1].copy()
-                history = np.maximum(seq[at] - 1 - d, 0)
-                for p, q in orders:
-                    out.append(_score(key[0], (p, d, q), grams, history, heads, x[at], y[at], seq[at]))
-        return _frame(out)
-
-    return _cogrouped(rows, tasks).applyInPandas(replay, STEP_SCHEMA)
-
-
-def _score(series: str, order, grams, history, heads, x, y, seq) -> pd.DataFrame:
+    def work(whole: bool):
+        def replay(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+            if task.empty or part.empty:
+                return _frame([])
+            part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
+            k = int(int(task["n"].iloc[0]) * ratio)
+            by_d: dict[int, list] = {}
+            for o in task["orders"].iloc[0]:
+                by_d.setdefault(o["d"], []).append((o["p"], o["q"]))
+            out = []
+            for d, orders in by_d.items():
+                y, seq, w, use = _differenced(part, d, whole)
+                target = part["own"].to_numpy() & (seq > k)
+                if not target.any():
+                    continue
+                state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
+                run, heads = shape.gram(state), _head_grams(state, shape)
+                run = run + _gram_of(w, use & ~target, shape.memory)
+                spots = np.flatnonzero(target)
+                first = max(int(spots[0]) - shape.memory, 0)
+                x = lagged_rows(w[first:], shape.memory)
+                size = max(16, min(1024, STACK_VALUES // shape.width**2))
+                for lo in range(0, len(spots), size):
+                    at = spots[lo:lo + size]
+                    rows_at = x[at - first]
+                    xs = np.where(use[at][:, None], rows_at, 0.0)
+                    # history before row i: what came before the stack plus the rows above i
+                    grams = np.empty((len(at) + 1, shape.width, shape.width))
+                    grams[0] = run
+                    np.multiply(xs[:, :, None], xs[:, None, :], out=grams[1:])
+                    np.cumsum(grams, axis=0, out=grams)
+                    grams, run = grams[:-1], grams[-1].copy()
+                    history = np.maximum(seq[at] - 1 - d, 0)
+                    for p, q in orders:
+                        out.append(_score(key, (p, d, q), grams, history, heads, rows_at, y[at], seq[at], w[d:] if whole else None, w[at]))
+            return _frame(out)
+        return replay
+
+    return _passes(rows, tasks, shape, max_d, max_q, scored, work, STEP_SCHEMA)
+
+
+def _score(key, order, grams, history, heads, x, y, seq, series, w) -> pd.DataFrame:
+    """Forecasts of one order for a stack of rows; ``series`` is the differenced history, if all of it is at hand."""
     p, d, q = order
-    error = None
+    error, settled, whole = None, np.ones(len(y), dtype=bool), np.ones(len(y), dtype=bool)
     try:
-        _, v, _ = _fit_order(grams, history, heads, p, q, d)
+        params, v, _, settled = _fit_order(grams, history, heads, p, q, d)
         # the residual is linear in the row, so forecast = value - residual
         forecast = y - np.einsum("bi,bi->b", v, x[:, :v.shape[1]])
         short = history <= burn_in(p, q)
+        more = ~short & cut_matters(params, history, p, q, grams.shape[-1] - 2)
+        if more.any() and series is not None:
+            _, following, _, settled[more] = fit_whole(series, history[more], params[more], p, q, d == 0)
+            forecast[more] = y[more] - w[more] + following
+        elif more.any():
+            whole = ~more
         forecast = np.where(short, np.nan, forecast)
         error = "history too short for the order" if short.any() else None
     except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
         forecast, error = np.full(len(y), np.nan), f"{type(e).__name__}: {e}"
     errors = np.where(np.isfinite(forecast), None, error or "no finite forecast")
-    return pd.DataFrame({"series_id": series, "p": p, "d": d, "q": q, "seq": seq, "actual": y,
-                         "forecast": np.where(np.isfinite(forecast), forecast, np.nan), "error": errors})
+    return pd.DataFrame({"series_id": key[0], "p": p, "d": d, "q": q, "seq": seq, "actual": y,
+                         "forecast": np.where(np.isfinite(forecast), forecast, np.nan), "error": errors, "settled": settled,
+                         "chunk": key[1], "whole": whole})
 
 
 def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -244,42 +294,50 @@ def arima_fit(df: DataFrame, orders: DataFrame, *, max_p: int, max_d: int, max_q
     ``const`` is the intercept of the regression form (0 when d > 0) and
     ``next_value`` the forecast of the row after the last.
     """
+    df = counted(df)
     shape = _Shape(longest_of(df), max_p, max_q, memory)
     rows, tasks = _prepare(df, orders, shape, max_d, HOLDOUT_RATIO, chunk_rows)
     final = (F.col("chunk") + 1) * chunk_rows_of(rows) >= F.col("n")
-    tasks, rows = _with_states(rows, tasks, shape).where(final), rows.where(final)
 
-    def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        if task.empty or part.empty:
-            return pd.DataFrame()
-        part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
-        out = []
-        for o in task["orders"].iloc[0]:
-            p, d, q = o["p"], o["d"], o["q"]
-            y, seq, w, use = _differenced(part, d)
-            n = int(task["n"].iloc[0])
-            model = {"series_id": key[0], "p": p, "d": d, "q": q, "n": n, "const": None, "ar": None, "ma": None,
-                     "sigma2": None, "next_value": None, "error": None}
-            state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
-            x = lagged_rows(w, shape.memory)
-            past = x[use]
-            gram = shape.gram(state) + past.T @ past
-            try:
-                found, v, sigma2 = _fit_order(gram[None], np.array([max(n - d, 0)]), _head_grams(state, shape), p, q, d)
-                ar, ma = found[0, :p], found[0, p:p + q]
-                nxt = lagged_rows(np.append(w, 0.0), shape.memory)[-1]
-                step = -float(v[0] @ nxt[:v.shape[1]])
-                pivot = float(part["pivot"].iloc[0]) if d == 0 else 0.0
-                level = -y[-d:] @ _binomial(d) if d else pivot
-                model |= {"const": float(found[0, -1] * (1 + ma.sum()) + pivot * (1 - ar.sum())) if d == 0 else 0.0,
-                          "ar": ar.tolist(), "ma": ma.tolist(), "sigma2": float(sigma2[0]),
-                          "next_value": step + float(level)}
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
-                model["error"] = f"{type(e).__name__}: {e}"
-            out.append(model)
-        return pd.DataFrame(out)
-
-    return _cogrouped(rows, tasks).applyInPandas(finish, MODEL_SCHEMA)
+    def work(whole: bool):
+        def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+            if task.empty or part.empty:
+                return pd.DataFrame()
+            part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
+            return pd.DataFrame([_model(key, part, task, (o["p"], o["d"], o["q"]), shape, whole) for o in task["orders"].iloc[0]])
+        return finish
+
+    return _passes(rows, tasks, shape, max_d, max_q, final, work, MODEL_SCHEMA)
+
+
+def _model(key, part: pd.DataFrame, task: pd.DataFrame, order, shape: _Shape, whole: bool) -> dict:
+    """The fit of one order at the end of a series, whose last chunk ``part`` is (``whole``: with all rows before it)."""
+    p, d, q = order
+    y, seq, w, use = _differenced(part, d, whole)
+    n = int(task["n"].iloc[0])
+    model = {"series_id": key[0], "p": p, "d": d, "q": q, "n": n, "const": None, "ar": None, "ma": None, "sigma2": None,
+             "next_value": None, "error": None, "settled": True, "chunk": key[1], "whole": True}
+    state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
+    gram = shape.gram(state) + _gram_of(w, use, shape.memory)
+    history = np.array([max(n - d, 0)])
+    try:
+        found, v, sigma2, settled = _fit_order(gram[None], history, _head_grams(state, shape), p, q, d)
+        nxt = lagged_rows(np.append(w[-shape.memory:], 0.0), shape.memory)[-1]
+        step = -float(v[0] @ nxt[:v.shape[1]])
+        if cut_matters(found, history, p, q, shape.memory)[0]:
+            model["whole"] = whole
+            if whole:
+                found, following, sigma2, settled = fit_whole(w[d:], history, found, p, q, d == 0)
+                step = float(following[0])
+        ar, ma = found[0, :p], found[0, p:p + q]
+        pivot = float(part["pivot"].iloc[0]) if d == 0 else 0.0
+        level = -y[-d:] @ _binomial(d) if d else pivot
+        model |= {"const": float(found[0, -1] * (1 + ma.sum()) + pivot * (1 - ar.sum())) if d == 0 else 0.0,
+                  "ar": ar.tolist(), "ma": ma.tolist(), "sigma2": float(sigma2[0]),
+                  "next_value": step + float(level), "settled": bool(settled[0])}
+    except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
+        model["error"] = f"{type(e).__name__}: {e}"
+    return model
 
 
 def _binomial(d: int) -> np.ndarray:

@@ -67,7 +67,7 @@ def test_moving_average_fit_is_a_minimum_of_the_sum_of_squares(p, q, constant):
     w = arma(60, (0.5, 0.1)[:p], (0.5, 0.2)[:q], seed=p * 3 + q)
     burn = solver.burn_in(p, q)
     x = solver.lagged_rows(w, 64)[burn:]
-    params, v, sigma2 = solver.fit((x.T @ x)[None], np.array([60.0 - burn]), p, q, constant)
+    params, v, sigma2, settled = solver.fit((x.T @ x)[None], np.array([60.0 - burn]), p, q, constant)
     level = params[0, -1] if constant else 0.0
 
     def total(phi, theta, level):
@@ -83,6 +83,66 @@ def test_moving_average_fit_is_a_minimum_of_the_sum_of_squares(p, q, constant):
             assert total(moved[:p], moved[p:p + q], moved[-1] if constant else 0.0) >= best - 1e-9
 
 
+def direct_theta(w, burn):
+    """Least conditional sum of squares of (0, q=1) without constant, by ever finer grids over an uncut recursion."""
+    def total(theta):
+        e = np.zeros((len(w), len(theta)))
+        for t in range(len(w)):
+            e[t] = w[t] - (theta * e[t - 1] if t else 0)
+        return (e[burn:] ** 2).sum(axis=0), e[-1]
+
+    low, high = -1.05, 1.05
+    for _ in range(9):
+        theta = np.linspace(low, high, 201)
+        with np.errstate(all="ignore"):
+            sums, last = total(theta)
+        at = int(np.nanargmin(sums))
+        low, high = theta[max(at - 2, 0)], theta[min(at + 2, 200)]
+    return theta[at], theta[at] * last[at]
+
+
+@pytest.mark.parametrize("theta", [-0.5, -0.98, -1.0])
+def test_moving_average_near_one_is_not_cut(make, theta):
+    w = arma(1000, (), (theta,), seed=4)
+    y = np.cumsum(np.concatenate([[50.0], w]))
+    df = make({"a": y})
+    want, following = direct_theta(w, solver.burn_in(0, 1))
+    for chunk_rows in (2000, 300):
+        model = arima.arima_fit(df, grid(df, [0], [1], [1]), max_p=0, max_d=1, max_q=1, chunk_rows=chunk_rows).first()
+        assert model["settled"] and model["error"] is None
+        assert model["ma"][0] == pytest.approx(want, abs=1e-6)
+        assert model["next_value"] == pytest.approx(y[-1] + following, abs=1e-5)
+
+
+def test_chunks_agree_where_the_whole_history_is_needed(make):
+    df = make({"near": np.cumsum(arma(420, (), (-0.97,), seed=6)), "far": arma(300, (0.5,), (0.3,), seed=7)})
+    candidates = grid(df, [0, 1], [1], [1])
+    steps = lambda rows: steps_of(arima.rolling_steps(df, candidates, max_p=1, max_d=1, max_q=1, chunk_rows=rows, ratio=0.95))
+    whole, parts = steps(1000), steps(90)
+    assert whole.keys() == parts.keys() and len(whole) == 2 * (21 + 15)
+    for key, value in whole.items():
+        assert parts[key] == pytest.approx(value, rel=1e-5, abs=1e-5)
+
+
+def test_whole_recursion_equals_the_gram_matrix_where_nothing_is_cut():
+    w = arma(200, (0.5,), (0.6, 0.2), level=3, seed=1) - 3
+    x = solver.lagged_rows(w, 199)[solver.burn_in(1, 2):]
+    params, v, sigma2, settled = solver.fit((x.T @ x)[None], np.array([197.0]), 1, 2, True)
+    again, following, variance, also = solver.fit_whole(w, np.array([200]), params + 0.02, 1, 2, True)
+    assert settled.all() and also.all()
+    assert again == pytest.approx(params, abs=1e-4) and variance == pytest.approx(sigma2, rel=1e-8)
+    assert following[0] == pytest.approx(-(v[0] @ solver.lagged_rows(np.append(w, 0.0), 199)[-1]), abs=1e-3)
+
+
+def test_unsettled_fits_are_named(make, monkeypatch):
+    monkeypatch.setattr(solver, "MAX_STEPS", 1)
+    df = make({"a": arma(60, (0.5,), (0.4,), seed=3)})
+    steps = arima.rolling_steps(df, grid(df, [1], [0], [1]), max_p=1, max_d=0, max_q=1)
+    scores = mape(steps).first()
+    assert scores["mape"] is not None
+    assert scores["error"] is None or scores["error"].endswith("fits not settled")
+
+
 def test_recovers_parameters(make):
     df = make({"arma": arma(4000, (0.6,), (0.4,), level=5, seed=2), "ma": arma(4000, (), (-0.7,), seed=3)})
     got = {r["series_id"]: r for r in arima.arima_fit(df, grid(df, [1], [0], [1]), max_p=1, max_d=0, max_q=1).collect()}
