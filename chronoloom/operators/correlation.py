@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.segments import lag_sums, to_batch, whole_groups
-from .index import add_arrays, in_group_order, single_chunk, with_halo, with_series_mean
+from .index import add_arrays, counted, in_group_order, single_chunk, with_halo, with_series_mean
 
 # Fixed value: 97.5 % point of the standard normal, for 95 % bounds.
 Z95 = 1.959963984540054
@@ -35,7 +35,7 @@ def lag_products(df: DataFrame, keep: str | None = None) -> DataFrame:
 
     ``keep`` names an int column, constant in each series, to carry along.
     """
-    kept = [keep] if keep else []
+    df, kept = counted(df), [keep] if keep else []
     rows = with_halo(df.select("series_id", "seq", "n", "chunk", "value", *kept), acf_lags(F.col("n")))
     rows = in_group_order(with_series_mean(rows), "n", acf_lags(F.col("n")).alias("lags"), "own",
                           (F.col("value") - F.col("mean")).alias("x"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in kept])

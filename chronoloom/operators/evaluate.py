@@ -17,10 +17,15 @@ def mape(steps: DataFrame, keys=("series_id", *ORDER)) -> DataFrame:
     """Mean absolute percentage error over ``actual`` / ``forecast`` rows.
 
     A zero actual makes it inf or NaN. A missing forecast makes it NULL, with the
-    reason in ``error`` when the rows carry one.
+    reason in ``error`` when the rows carry one. ``error`` also says how many fits
+    had not settled when their steps ran out; these forecasts count.
     """
     failed = F.col("forecast").isNull()
-    extra = [F.max("error").alias("error")] if "error" in steps.columns else []
+    reasons = [F.max("error")] if "error" in steps.columns else []
+    if reasons and "settled" in steps.columns:
+        loose = F.count_if(~F.col("settled"))
+        reasons.append(F.when(loose > 0, F.concat(loose.cast("string"), F.lit(" fits not settled"))))
+    extra = [F.coalesce(*reasons).alias("error")] if reasons else []
     error = F.avg(absolute_percentage(F.col("actual"), F.col("forecast"))) * 100
     return steps.groupBy(*keys).agg(
         F.when(F.count_if(failed) == 0, error).alias("mape"), F.count("*").alias("n_steps"), *extra)

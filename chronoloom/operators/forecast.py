@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import in_chunk, prefix_before_chunk, single_chunk, small_side, with_halo, with_series_mean
+from .index import counted, in_chunk, prefix_before_chunk, single_chunk, small_side, with_halo, with_series_mean
 from .split import holdout_split
 
 # Orders (p, d, q) with a closed form.
@@ -44,7 +44,7 @@ def _running(df: DataFrame, columns: list[str]) -> DataFrame:
 def closed_form_forecasts(df: DataFrame, orders=CLOSED_FORM) -> DataFrame:
     """Scored rows with one forecast column per order: ``series_id, seq, actual, f_p_d_q...``."""
     wanted = [o for o in CLOSED_FORM if tuple(o) in {tuple(x) for x in orders}]
-    halo = 2
+    df, halo = counted(df), 2
     rows = holdout_split(with_halo(df.select("series_id", "seq", "n", "chunk", "value"), halo))
     before1, before2 = (F.lag("value", i).over(in_chunk()) for i in (1, 2))
     rows = rows.withColumns({"y1": before1, "y2": before2})

@@ -9,8 +9,13 @@ An indexed series table has
 Everything downstream groups by ``(series_id, chunk)``, never by ``series_id``
 alone on raw rows, so no task sees more than one chunk (plus a few rows carried
 over from the chunk before). A series shorter than one chunk has ``chunk = 0``
-and the work is the plain per-series window. The length of the longest series
-and the chunk size travel with the table as column metadata.
+and the work is the plain per-series window.
+
+The length of the longest series, the other counts and the chunk size are column
+metadata, and plans follow them. They are believed only on a frame that
+``index_series`` or an operator returned (``held``). Any other frame, such as a
+union or a table that was read, is counted and cut into chunks anew (``counted``),
+since metadata of one input speaks for no other.
 """
 
 from __future__ import annotations
@@ -32,6 +37,11 @@ BROADCAST_ROWS = 100_000
 
 ONE_SERIES = "all"
 
+# Fixed value: stands for a missing series id, apart from every id that has characters or none.
+NO_ID = "\x00"
+
+_HELD = "_counts_hold"
+
 
 def as_series(df: DataFrame, columns: Sequence[str], series: str | Column | None = None,
               tie: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +56,7 @@ def as_series(df: DataFrame, columns: Sequence[str], series: str | Column | None
     if series is None:
         key = F.lit(ONE_SERIES)
     else:
-        key = F.coalesce((F.col(series) if isinstance(series, str) else series).cast("string"), F.lit(""))
+        key = F.coalesce((F.col(series) if isinstance(series, str) else series).cast("string"), F.lit(NO_ID))
     return df.select(key.alias("series_id"), F.col(ts).alias("ts"),
                      F.col(value).cast("double").alias("value"), *tie)
 
@@ -68,9 +78,8 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, sizes: dict[str, int
     ``_ranged_index``; both give the same numbers.
     """
     if df.schema["series_id"].nullable:
-        df = df.withColumn("series_id", F.coalesce("series_id", F.lit("")))
-    if sizes is None:
-        sizes = series_sizes(df)
+        df = df.withColumn("series_id", F.coalesce("series_id", F.lit(NO_ID)))
+    sizes = series_sizes(df) if sizes is None else {k: sizes[k] for k in ("longest", "series", "rows")}
     # rows equal in all of these are interchangeable, so a recomputed task numbers them alike
     order = ["ts", *tie, "value"]
     if sizes["longest"] <= rows_per_task:
@@ -81,7 +90,29 @@ def index_series(df: DataFrame, tie: Sequence[str] = (), *, sizes: dict[str, int
         out = _ranged_index(df, order, sizes)
     out = out.select("series_id", "ts", "value",
                      F.col("seq").alias("seq", metadata=sizes), "n")
-    return rechunk(out, chunk_rows)
+    return held(rechunk(out, chunk_rows))
+
+
+def held(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Mark the frame's counts as true, or as true as those of ``like``, of which it has the rows or some of them."""
+    if like is None or getattr(like, _HELD, False):
+        setattr(df, _HELD, True)
+    return df
+
+
+def some_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that keeps the counts, which then are upper bounds."""
+    return held(df.where(condition), df)
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """An indexed table whose counts hold: as it is if they are known to, else counted and cut into chunks from ``seq`` and ``n``."""
+    if getattr(df, _HELD, False):
+        return df
+    lengths = df.groupBy("series_id").agg(F.max("n").alias("n"))
+    row = lengths.agg(F.max("n").alias("longest"), F.count("*").alias("series"), F.sum("n").alias("rows")).first()
+    sizes = {k: int(v or 0) for k, v in row.asDict().items()}
+    return held(rechunk(df.withColumn("seq", F.col("seq").alias("seq", metadata=sizes)), CHUNK_ROWS))
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -217,7 +248,7 @@ def few_series(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, per_series: DataFrame, how: str = "inner") -> DataFrame:
-    """Join a per-series table to the rows of an indexed table.
+    """Join a per-series table to the rows of an indexed table, whose counts have to hold.
 
     With long series the table is first spread over the chunks, so that a
     shuffled join is keyed on (series, chunk) and has no hot key.

@@ -44,12 +44,28 @@ def check_schema(df: DataFrame) -> None:
     """Plan-time rule: a time column and one numeric column, nothing else but the id."""
     rest = [f for f in df.schema.fields if f.name != "series_id"]
     if len(rest) != 2:
-        raise ValueError("not a valid time-series format: need one time and one value column")
+        raise ValueError(f"a series has one column of times and one of values, not {[f.name for f in rest]}")
     ts, value = rest
     if not isinstance(ts.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        raise ValueError(f"not a valid time-series format: {ts.name} is {ts.dataType.simpleString()}")
+        raise ValueError(f"column {ts.name} should hold dates or timestamps but holds {ts.dataType.simpleString()}")
     if not isinstance(value.dataType, T.NumericType):
-        raise ValueError(f"not a valid time-series format: {value.name} is {value.dataType.simpleString()}")
+        raise ValueError(f"column {value.name} should hold numbers but holds {value.dataType.simpleString()}")
+
+
+def checked_sizes(df: DataFrame) -> dict[str, int]:
+    """The counts that ``index_series`` wants, and ``missing`` values, from one pre-aggregated pass.
+
+    A row without a time has no place in its series: that is an error.
+    """
+    per_series = df.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("lost"),
+        F.count_if(F.col("value").isNull() | F.isnan("value")).alias("missing"))
+    row = per_series.agg(F.max("n").alias("longest"), F.count("*").alias("series"), F.sum("n").alias("rows"),
+                         F.sum("lost").alias("lost"), F.sum("missing").alias("missing")).first()
+    sizes = {k: int(v or 0) for k, v in row.asDict().items()}
+    if lost := sizes.pop("lost"):
+        raise ValueError(f"{lost} of {sizes['rows']} rows have no time, or one that could not be read")
+    return sizes
 
 
 def validate_series(df: DataFrame) -> DataFrame:

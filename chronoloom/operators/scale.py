@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .index import attach
+from .index import attach, counted, held
 
 NORMALIZATION = "normalization"
 STANDARDIZATION = "standardization"
@@ -61,7 +61,7 @@ def _with_parameters(df: DataFrame, scaler: DataFrame, steps: Sequence[ScaleStep
     for i, step in enumerate(steps):
         here = (F.col("column") == step.column) & (F.col("method") == step.method)
         picks += [F.max(F.when(here, F.col(p))).alias(f"_{p}_{i}") for p in ("p1", "p2")]
-    return attach(df, scaler.groupBy("series_id").agg(*picks), "left")
+    return attach(counted(df), scaler.groupBy("series_id").agg(*picks), "left")
 
 
 def _expand(plan: Sequence[ScaleStep]) -> list[ScaleStep]:
@@ -108,7 +108,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, plan: Sequence[ScaleStep]) ->
     for i, step in enumerate(steps):
         out = out.withColumn(step.column, scaled(F.col(step.column), step.method,
                                                  F.col(f"_p1_{i}"), F.col(f"_p2_{i}")))
-    return out.select(*df.columns)
+    return held(out.select(*df.columns), df)
 
 
 def invert_scaler(df: DataFrame, scaler: DataFrame, plan: Sequence[ScaleStep]) -> DataFrame:
@@ -118,7 +118,7 @@ def invert_scaler(df: DataFrame, scaler: DataFrame, plan: Sequence[ScaleStep]) -
     for i, step in reversed(list(enumerate(steps))):
         out = out.withColumn(step.column, unscaled(F.col(step.column), step.method,
                                                    F.col(f"_p1_{i}"), F.col(f"_p2_{i}")))
-    return out.select(*df.columns)
+    return held(out.select(*df.columns), df)
 
 
 def minmax_scale(df: DataFrame, train: DataFrame | None = None, column: str = "value") -> DataFrame:

@@ -15,8 +15,8 @@ from .correlation import acf_pairs, immediate_run, lag_products, pacf_pairs
 from .difference import difference_by
 from .evaluate import ORDER, mape, select_best
 from .forecast import CLOSED_FORM, closed_form_forecasts, order_name
-from .index import attach
-from .stationarity import MAX_D, get_d
+from .index import attach, counted, held
+from .stationarity import get_d
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,16 @@ class OrderGrid:
         return None not in (self.p, self.d, self.q)
 
 
-def suggest_orders(df: DataFrame, max_d: int = MAX_D) -> DataFrame:
+def suggest_orders(df: DataFrame, max_d: int | None = None) -> DataFrame:
     """``(series_id, d, p_values, q_values)`` from unit-root test, PACF and ACF.
 
     ``d`` is NULL, and the ranges empty, for a series without an answer
-    (constant, too short, or not stationary within ``max_d`` differences).
+    (constant, too short, or not stationary within ``max_d`` differences if that is given).
     """
-    flat = difference_by(attach(df, get_d(df, max_d)), max_d)
+    df = counted(df)
+    d = get_d(df, max_d)
+    most = int(d.agg(F.max("d")).first()[0] or 0) if max_d is None else max_d
+    flat = difference_by(held(attach(df, d), df), most)
     products = pacf_pairs(acf_pairs(lag_products(flat, keep="d")))
     return products.select("series_id", "d", immediate_run(F.col("pacf")).alias("p_values"),
                            immediate_run(F.col("acf")).alias("q_values"))
@@ -91,7 +94,7 @@ def closed_form_steps(df: DataFrame, orders: Iterable[Sequence[int]] = CLOSED_FO
             for o in wanted]
     return closed_form_forecasts(df, wanted).select(
         "series_id", "seq", "actual", F.inline(F.array(*rows))).select(
-        "series_id", *ORDER, "seq", "actual", "forecast", F.lit(None).cast("string").alias("error"))
+        "series_id", *ORDER, "seq", "actual", "forecast", F.lit(None).cast("string").alias("error"), F.lit(True).alias("settled"))
 
 
 def _distinct_orders(candidates: DataFrame) -> list[tuple[int, int, int]]:
@@ -111,7 +114,7 @@ def _solver_steps(df: DataFrame, candidates: DataFrame, orders, **options) -> Da
 
 
 def rolling_origin_eval(df: DataFrame, candidates: DataFrame, *, orders=None, **options) -> DataFrame:
-    """One row per (series, order, scored row): ``actual, forecast, error``.
+    """One row per (series, order, scored row): ``actual, forecast, error, settled``.
 
     ``orders`` lists the different orders in ``candidates`` when they are known.
     """
@@ -142,8 +145,9 @@ def score_candidates(df: DataFrame, candidates: DataFrame, *, orders=None, **opt
         "n_steps", F.coalesce("n_steps", F.lit(0).cast("bigint")))
 
 
-def order_search(df: DataFrame, grid: OrderGrid, *, max_d: int = MAX_D, **options) -> DataFrame:
+def order_search(df: DataFrame, grid: OrderGrid, *, max_d: int | None = None, **options) -> DataFrame:
     """Best order per series over the grid (see ``select_best`` for the columns)."""
+    df = counted(df)
     suggestions = None if grid.explicit else suggest_orders(df, max_d)
     candidates = candidate_grid(df, grid, suggestions)
     orders = None

@@ -8,6 +8,7 @@ them with direct computations.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import arima, correlation, evaluate, forecast, prepare, scale, search, stationarity
 from ..operators.difference import difference as differenced
-from ..operators.index import as_series, index_series
+from ..operators.index import as_series, index_series, some_rows
 from ..operators.split import chrono_split as split_rows
 from ..operators.split import holdout_split as holdout_rows
-from ..session import use_checkpoint_dir
+from ..session import checkpointed, use_checkpoint_dir
 from ..sources import files, store
 from ..sources import tables as table_sources
 from . import stages
@@ -50,10 +51,18 @@ def source(sf: str) -> table_sources.TableSource:
     return table_sources.TableSource("parquet", {"path": sf})
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, for queries that write and read back."""
-    use_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+def in_scratch(f: Callable[[SparkSession, str, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For queries that write and read back: a new folder in the shared checkpoint folder, which goes when the result is made."""
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        use_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        try:
+            return checkpointed(f(spark, sf, folder))
+        finally:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return run
 
 
 def monthly_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,28 +136,28 @@ def rows_to_frame(spark, sf):
 
 
 @query("""SELECT CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) AS value, FALSE AS bad FROM orders GROUP BY 1""")
-def read_series_csv(spark, sf):
+@in_scratch
+def read_series_csv(spark, sf, folder):
     days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
         F.avg("o_totalprice").alias("price"))
-    folder = scratch(spark)
     files.write_raw_csv(days, folder)
     return files.read_series_csv(spark, folder).drop("series_id")
 
 
-@query("SELECT event_type AS series_id, ts, value FROM events")
-def read_series_dir(spark, sf):
-    folder = scratch(spark)
+@query("SELECT event_type AS series_id, ts, value, FALSE AS bad FROM events")
+@in_scratch
+def read_series_dir(spark, sf, folder):
     files.write_series(event_rows(spark, sf), folder, "csv")
     return files.read_series_dir(spark, folder).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {EVENTS_IDX} SELECT series_id, ts, value FROM idx
-WHERE seq > CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT)""")
-def write_split_csv(spark, sf):
-    folder = scratch(spark)
+@query(f"""WITH {EVENTS_IDX} SELECT series_id, ts, value,
+  CASE WHEN seq > CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM idx""")
+@in_scratch
+def write_split_csv(spark, sf, folder):
     files.write_split_csv(split_rows(events(spark, sf), "0.8"), folder)
-    test = files.read_series_dir(spark, f"{folder}/test")
-    return test.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    halves = [files.read_series_dir(spark, f"{folder}/{part}").drop("bad").withColumn("split", F.lit(part)) for part in ("train", "test")]
+    return halves[0].unionByName(halves[1]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("""SELECT event_type AS series_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
@@ -256,8 +265,14 @@ def holdout_split(spark, sf):
 TRAIN = "train AS (SELECT * FROM idx WHERE seq <= CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT))"
 
 
+def _split(spark, sf):
+    """All rows and the training part of them, indexed once."""
+    rows = split_rows(events(spark, sf), "0.8")
+    return rows, some_rows(rows, F.col("split") == "train")
+
+
 def _train(spark, sf):
-    return split_rows(events(spark, sf), "0.8").where("split = 'train'")
+    return _split(spark, sf)[1]
 
 
 @query(f"""WITH {EVENTS_IDX}, {TRAIN} SELECT series_id, 'value' AS "column", 'normalization' AS method,
@@ -301,19 +316,21 @@ def scale_chain(spark, sf):
 
 @query(f"""WITH {CHAIN} SELECT series_id, seq, round(((value - m) / sd - lo) / (hi - lo), 8) AS value
 FROM idx JOIN s2 USING (series_id) WHERE seq > CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT)""")
-def apply_scaler(spark, sf):
+@in_scratch
+def apply_scaler(spark, sf, folder):
     """Parameters fitted on the training part, saved, loaded and applied to the rest."""
-    layout = store.Layout(scratch(spark))
-    store.save_scaler(scale.scale_fit(_train(spark, sf), PLAN), layout, "s")
-    test = split_rows(events(spark, sf), "0.8").where("split = 'test'")
+    layout = store.Layout(folder)
+    rows, train = _split(spark, sf)
+    store.save_scaler(scale.scale_fit(train, PLAN), layout, "s")
+    test = some_rows(rows, F.col("split") == "test")
     return scale.apply_scaler(test, store.load_scaler(spark, layout, "s"), PLAN).select(
         "series_id", "seq", rounded("value", 8))
 
 
 @query(f"WITH {EVENTS_IDX} SELECT series_id, seq, round(value, 6) AS value FROM idx")
 def invert_scaler(spark, sf):
-    rows = events(spark, sf)
-    scaler = scale.scale_fit(_train(spark, sf), PLAN)
+    rows, train = _split(spark, sf)
+    scaler = scale.scale_fit(train, PLAN)
     back = scale.invert_scaler(scale.apply_scaler(rows, scaler, PLAN), scaler, PLAN)
     return back.select("series_id", "seq", rounded("value"))
 
@@ -499,10 +516,12 @@ def candidate_grid(spark, sf):
 @query("""SELECT event_type AS series_id, CAST(d AS INTEGER) AS d, count(*) AS n_rows, round(sum(value), 4) AS total
 FROM events, range(0, 3) a(d) GROUP BY 1, 2""")
 def series_candidates(spark, sf):
-    """Rows joined with the candidates of their series."""
-    rows = event_rows(spark, sf)
-    joined = rows.join(search.candidate_grid(rows, CLOSED_GRID), "series_id")
-    return joined.groupBy("series_id", "d").agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
+    """The candidates of a series attached to its chunks as one array; no row is multiplied."""
+    rows = events(spark, sf)
+    orders = search.candidate_grid(rows, CLOSED_GRID).groupBy("series_id").agg(F.collect_set("d").alias("orders"))
+    chunks = rows.groupBy("series_id", "chunk").agg(F.count("*").alias("rows"), F.sum("value").alias("part"))
+    each = chunks.join(orders, "series_id").select("series_id", "rows", "part", F.explode("orders").alias("d"))
+    return each.groupBy("series_id", "d").agg(F.sum("rows").alias("n_rows"), F.round(F.sum("part"), 4).alias("total"))
 
 
 HIST = """h AS (SELECT series_id, seq, n, value AS actual, CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) AS k,
@@ -639,10 +658,11 @@ SELECT series_id, n, round(a, 5) AS const, round(b, 6) AS ar1, round(a + b * las
 
 
 @query(AR1_FIT)
-def load_model(spark, sf):
+@in_scratch
+def load_model(spark, sf, folder):
     """AR(1) models fitted on whole series, saved, and the latest version loaded."""
     rows = events(spark, sf)
-    layout = store.Layout(scratch(spark))
+    layout = store.Layout(folder)
     orders = search.candidate_grid(rows, search.OrderGrid(p=(1,), d=(0,), q=(0,)))
     # an older version first, fitted on all but the last values
     older = rows.where(F.col("seq") < F.col("n")).withColumn("n", F.col("n") - 1)
@@ -653,9 +673,9 @@ def load_model(spark, sf):
                         rounded("next_value", 5))
 
 
-def _stored_results(spark, sf, stage: str) -> DataFrame:
+def _stored_results(spark, sf, folder: str, stage: str) -> DataFrame:
     """Two runs of the closed-form search in a result table; the later one counts."""
-    layout = store.Layout(scratch(spark))
+    layout = store.Layout(folder)
     rows = monthly(spark, sf)
     for grid in (search.OrderGrid(p=(0,), d=(2,), q=(0,)), CLOSED_GRID):
         store.write_result(search.order_search(rows, grid), layout, "s1", stage)
@@ -664,13 +684,15 @@ def _stored_results(spark, sf, stage: str) -> DataFrame:
 
 @query(f"""WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_mape AS "MAPE", CAST(ref_p AS DOUBLE) AS "P",
   CAST(ref_d AS DOUBLE) AS "D", CAST(ref_q AS DOUBLE) AS "Q" FROM best""")
-def best_hyperparameters(spark, sf):
-    return store.best_hyperparameters(_stored_results(spark, sf, "tune"), "s1").withColumn("MAPE", F.round("MAPE", 4))
+@in_scratch
+def best_hyperparameters(spark, sf, folder):
+    return store.best_hyperparameters(_stored_results(spark, sf, folder, "tune"), "s1").withColumn("MAPE", F.round("MAPE", 4))
 
 
 @query(f"WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_p AS p, ref_d AS d, ref_q AS q FROM best")
-def load_trained_order(spark, sf):
-    return store.load_trained_order(_stored_results(spark, sf, "train"), "s1")
+@in_scratch
+def load_trained_order(spark, sf, folder):
+    return store.load_trained_order(_stored_results(spark, sf, folder, "train"), "s1")
 
 
 @query(f"WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST} SELECT series_id, ref_mape AS mape, ref_p AS p, ref_d AS d, ref_q AS q FROM best")
@@ -689,26 +711,52 @@ SELECT series_id, ts, round(CASE WHEN seq <= CAST(trunc(n * (80 / 100.0::DOUBLE)
   THEN (value - lo) / (hi - lo) ELSE value END, 8) AS value,
   CASE WHEN seq <= CAST(trunc(n * (80 / 100.0::DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split
 FROM idx JOIN s USING (series_id)""")
-def preprocess(spark, sf):
+@in_scratch
+def preprocess(spark, sf, folder):
     """Ingest and preprocess as stages: raw table, split, training part scaled."""
-    layout = store.Layout(scratch(spark))
+    layout = store.Layout(folder)
     raw = stages.ingest(spark, source(sf), "events", ["ts", "value"], layout, "s", series="event_type")
     done = stages.preprocess(raw, layout, "s", plan=[scale.ScaleStep("value", scale.NORMALIZATION)])
     return done.select("series_id", "ts", rounded("value", 8), F.col("split").cast("string").alias("split"))
 
 
+# values left out, among the training rows so that no scored value is 0
+GAP = "(event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10 00:00:00')"
+
+
+@query(f"""WITH raw AS (SELECT event_type AS series_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts,
+  CASE WHEN {GAP} THEN 0 ELSE value END AS value, event_id, {GAP} AS gap FROM events),
+{INDEX.format(rows='raw', tie=', event_id')}, {HIST}, {CLOSED}, {BEST}, g AS (SELECT count(*) FILTER (gap) AS n_filled FROM raw)
+SELECT series_id, mape, d, ref_mape, ref_d, n_filled FROM best, g""")
+@in_scratch
+def stage_checks(spark, sf, folder):
+    """Times rounded to the hour and values left out: the stages order equal times by the tie column and count what they fill."""
+    rows = table(spark, sf, "events").select(
+        "event_type", F.date_trunc("hour", "ts").alias("ts"), F.when(~F.expr(GAP), F.col("value")).alias("value"), "event_id")
+    rows.write.parquet(f"{folder}/tables/hours.parquet")
+    layout = store.Layout(folder)
+    hours = table_sources.TableSource("parquet", {"path": f"{folder}/tables"})
+    raw = stages.ingest(spark, hours, "hours", ["ts", "value"], layout, "s", series="event_type", tie=["event_id"])
+    stages.tune(raw, layout, "s", CLOSED_GRID, tie=["event_id"])
+    best = _rounded_best(store.read_results(spark, layout).where("stage = 'tune'"))
+    return best.select("series_id", "mape", "d", "ref_mape", "ref_d", "n_filled")
+
+
 @query()
-def tune(spark, sf):
-    return stages.tune(monthly_rows(spark, sf), store.Layout(scratch(spark)), "s", GRID).drop("run_ts")
+@in_scratch
+def tune(spark, sf, folder):
+    return stages.tune(monthly_rows(spark, sf), store.Layout(folder), "s", GRID).drop("run_ts")
 
 
 @query()
-def train(spark, sf):
-    return stages.train(monthly_rows(spark, sf), store.Layout(scratch(spark)), "s", GRID).drop("run_ts")
+@in_scratch
+def train(spark, sf, folder):
+    return stages.train(monthly_rows(spark, sf), store.Layout(folder), "s", GRID).drop("run_ts")
 
 
 BEST_STORED = f"""WITH {MONTHLY_IDX}, {HIST}, {CLOSED}, {BEST}
-SELECT 's' AS session_id, series_id, mape, p, d, q, ref_mape, ref_p, ref_d, ref_q, n_candidates, 'STAGE' AS stage FROM best"""
+SELECT 's' AS session_id, series_id, mape, p, d, q, ref_mape, ref_p, ref_d, ref_q, n_candidates,
+  CAST(0 AS BIGINT) AS n_filled, 'STAGE' AS stage FROM best"""
 
 
 def _stored_stage(spark, layout, stage) -> DataFrame:
@@ -717,16 +765,18 @@ def _stored_stage(spark, layout, stage) -> DataFrame:
 
 
 @query(BEST_STORED.replace("STAGE", "tune"))
-def tune_closed_form(spark, sf):
+@in_scratch
+def tune_closed_form(spark, sf, folder):
     """The result table as ``tune`` leaves it."""
-    layout = store.Layout(scratch(spark))
+    layout = store.Layout(folder)
     stages.tune(monthly_rows(spark, sf), layout, "s", CLOSED_GRID)
     return _stored_stage(spark, layout, "tune")
 
 
 @query(BEST_STORED.replace("STAGE", "train"))
-def train_closed_form(spark, sf):
-    layout = store.Layout(scratch(spark))
+@in_scratch
+def train_closed_form(spark, sf, folder):
+    layout = store.Layout(folder)
     stages.train(monthly_rows(spark, sf), layout, "s", CLOSED_GRID)
     return _stored_stage(spark, layout, "train")
 
@@ -740,11 +790,11 @@ late AS (SELECT series_id, value, seq, count(*) OVER (PARTITION BY series_id) AS
 {HIST.replace("h AS", "h2 AS").replace("FROM idx", "FROM late")},
 {CLOSED.replace("FROM h ", "FROM h2 ").replace("e AS", "e2 AS").replace("FROM e ", "FROM e2 ").replace("mape AS (", "mape2 AS (")}
 SELECT b.series_id, round(m.mape, 4) AS mape, m.p, m.d, m.q, CASE WHEN m.mape < 100 THEN round(m.mape, 4) ELSE 100.0 END AS ref_mape,
-  m.p AS ref_p, CASE WHEN m.mape < 100 THEN m.d ELSE 0 END AS ref_d, m.q AS ref_q, CAST(1 AS BIGINT) AS n_candidates
-FROM best b JOIN mape2 m ON b.series_id = m.series_id AND b.ref_d = m.d""")
-def retrain(spark, sf):
+  m.p AS ref_p, CASE WHEN m.mape < 100 THEN m.d ELSE 0 END AS ref_d, m.q AS ref_q, CAST(1 AS BIGINT) AS n_candidates,
+  CAST(0 AS BIGINT) AS n_filled FROM best b JOIN mape2 m ON b.series_id = m.series_id AND b.ref_d = m.d""")
+@in_scratch
+def retrain(spark, sf, folder):
     """Train on all order months, then read a later date window again and score the stored orders."""
-    folder = scratch(spark)
     layout = store.Layout(folder)
     rows = monthly_rows(spark, sf)
     rows.write.parquet(f"{folder}/tables/monthly.parquet")

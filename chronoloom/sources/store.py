@@ -26,19 +26,25 @@ def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-def write_result(best: DataFrame, layout: Layout, session_id: str, stage: str, run_ts: dt.datetime | None = None) -> None:
-    """Append one row per series, ``best`` being the output of ``select_best``."""
+def write_result(best: DataFrame, layout: Layout, session_id: str, stage: str, run_ts: dt.datetime | None = None,
+                 filled: int = 0) -> None:
+    """Append one row per series, ``best`` being the output of ``select_best``; ``n_filled`` says how many missing values
+    the run put 0 for, in all its series together."""
     if stage not in STAGES:
         raise ValueError(f"unknown stage: {stage}")
     rows = best.select(
         F.lit(session_id).alias("session_id"), "series_id", "mape", "p", "d", "q",
         "ref_mape", "ref_p", "ref_d", "ref_q", "n_candidates",
+        F.lit(filled).cast("bigint").alias("n_filled"),
         F.lit(run_ts or now()).cast("timestamp_ntz").alias("run_ts"), F.lit(stage).alias("stage"))
-    rows.write.mode("append").partitionBy("stage").parquet(layout.path("results"))
+    rows.write.mode("append").partitionBy("stage", "session_id").parquet(layout.path("results"))
 
 
 def read_results(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.parquet(layout.path("results"))
+    """All results; stage and session are folders, so that a reader of one session skips the others."""
+    names = ("series_id string, mape double, p int, d int, q int, ref_mape double, ref_p int, ref_d int, ref_q int, n_candidates bigint, "
+             "n_filled bigint, run_ts timestamp_ntz, stage string, session_id string")
+    return spark.read.schema(names).parquet(layout.path("results"))
 
 
 def newest(results: DataFrame, session_id: str, stage: str) -> DataFrame:

@@ -103,7 +103,8 @@ def read_table(spark: SparkSession, source: TableSource, table: str, columns: Se
     ``partitions`` cuts a JDBC read into equal steps of the time column between
     ``bounds`` (asked of the database if not given). Where rows crowd in a few
     periods, ``boundaries`` names the cuts instead, so that no one read task gets
-    them all.
+    them all. A JDBC read with neither is one task that reads the whole table: fine
+    for small tables only.
     """
     if len(columns) != 2:
         raise ValueError(f"expected exactly two columns (time, value), got {len(columns)}")
@@ -130,8 +131,9 @@ def read_table_range(spark: SparkSession, source: TableSource, table: str, colum
 
 
 def run_query(spark: SparkSession, source: TableSource, query: str, tables: Sequence[str] = ()) -> DataFrame:
-    """The result of a query. Databases run it themselves; for files Spark does,
-    with each of ``tables`` as a view of that name."""
+    """The result of a query. Databases run it themselves, and one task reads what they
+    return: let the query reduce or cut its rows, or use ``read_table`` with
+    ``partitions``. For files Spark runs it, with each of ``tables`` as a view of that name."""
     if source.kind in FILE_KINDS:
         for table in tables:
             options = reader_options(source, check_identifier(table), "")

@@ -88,3 +88,69 @@ def test_empty_input(spark):
 def test_rechunk(make):
     df = rechunk(make({"a": range(10)}, chunk_rows=3), 4)
     assert rows_of(df, "seq", "chunk") == [(i, (i - 1) // 4) for i in range(1, 11)]
+
+
+def _two(make):
+    """A short and a longer series, each indexed on its own with chunks of 4 rows, and both together."""
+    a, b = {"a": [0.0, 1.0, 4.0]}, {"b": [float(i * i) for i in range(10)]}
+    return make(a, chunk_rows=4), make(b, chunk_rows=4), make(a | b, chunk_rows=4)
+
+
+def _results(df):
+    """What operators make of a table, whatever its counts say."""
+    from chronoloom.operators import arima, correlation, forecast, scale, search, stationarity
+    from chronoloom.operators.difference import difference
+
+    grid = search.candidate_grid(df, search.OrderGrid([1], [0, 1], [0]))
+    plan = [scale.ScaleStep("value", scale.NORMALIZATION)]
+    frames = {
+        "difference": difference(df).select("series_id", "seq", "value"),
+        "acf": correlation.acf(df).select("series_id", "lag", F.round("value", 9)),
+        "adf": stationarity.adf_test(df, 1).select("series_id", "d", "lags", F.round("statistic", 6)),
+        "forecast": forecast.closed_form_forecasts(df).select("series_id", "seq", *[F.round(c, 9) for c in ("f_0_0_0", "f_1_0_0")]),
+        "scaled": scale.apply_scaler(df, scale.scale_fit(df, plan), plan).select("series_id", "seq", "value"),
+        "arima": arima.rolling_steps(df, grid, max_p=1, max_d=1, max_q=0).select("series_id", "p", "d", "seq", F.round("forecast", 6)),
+    }
+    return {k: sorted(map(tuple, f.collect()), key=repr) for k, f in frames.items()}
+
+
+def test_counts_of_one_side_do_not_speak_for_a_union(make):
+    a, b, both = _two(make)
+    want = _results(both)
+    assert want["difference"][-1] == ("b", 9, 15.0) or ("b", 9, 15.0) in want["difference"]
+    assert _results(a.unionByName(b)) == want
+    assert _results(b.unionByName(a)) == want
+
+
+def test_counts_of_one_file_do_not_speak_for_a_folder(make, spark, tmp_path):
+    a, b, both = _two(make)
+    path = str(tmp_path / "indexed")
+    a.write.parquet(path)
+    b.write.mode("append").parquet(path)
+    assert _results(spark.read.parquet(path)) == _results(both)
+
+
+def test_counts_may_be_missing(make, spark):
+    _, _, both = _two(make)
+    bare = spark.createDataFrame(both.collect(), both.schema.simpleString()[7:-1].replace(":", " "))
+    assert _results(bare) == _results(both)
+
+
+def test_broadcast_bounds_are_counted_again_after_a_union(make, monkeypatch):
+    from chronoloom.operators import index
+
+    a, b, _ = _two(make)
+    union = a.unionByName(b)
+    assert index.counted(a) is a
+    assert index._metadata(index.counted(union), "seq", "series") == 2
+    monkeypatch.setattr(index, "BROADCAST_ROWS", 1)
+    per_series = union.groupBy("series_id").agg(F.max("value").alias("top"))
+    plan = index.few_series(per_series, index.counted(union))._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
+
+
+def test_no_id_and_an_empty_id_are_two_series(spark):
+    rows = spark.createDataFrame([(None, 1, 1.0), ("", 1, 2.0), (None, 2, 3.0), ("", 2, 5.0)], "id string, t int, v double")
+    df = index_series(as_series(rows.withColumn("t", F.date_add(F.lit("2020-01-01"), F.col("t"))), ["t", "v"], "id"))
+    assert sorted((r["n"], r["seq"], r["value"]) for r in df.collect()) == [(2, 1, 1.0), (2, 1, 2.0), (2, 2, 3.0), (2, 2, 5.0)]
+    assert df.select("series_id").distinct().count() == 2

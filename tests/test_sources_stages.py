@@ -142,3 +142,54 @@ def test_stages_end_to_end(spark, prices, tmp_path):
     newest = {r["series_id"]: r for r in store.load_model(spark, layout, "s").collect()}
     assert newest["up"]["n"] == 48 and newest["up"]["version"] > first_version  # 80 % of 60 days
     assert raw.count() == 180  # the first raw files stay
+
+
+def test_stages_refuse_rows_without_a_time(spark, tmp_path):
+    rows = spark.createDataFrame([("a", dt.datetime(2020, 1, 1 + i), float(i)) for i in range(20)] + [("a", None, 1.0)],
+                                 "series_id string, ts timestamp_ntz, value double")
+    layout = Layout(str(tmp_path / "lost"))
+    for stage in (lambda: stages.tune(rows, layout, "s", OrderGrid((0,), (0,), (0,))), lambda: stages.suggest(rows),
+                  lambda: stages.preprocess(rows, layout, "s")):
+        with pytest.raises(ValueError, match="1 of 21 rows"):
+            stage()
+
+
+def test_filled_values_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame([("a", dt.datetime(2020, 1, 1 + i), None if i in (3, 4) else float(i)) for i in range(25)],
+                                 "series_id string, ts timestamp_ntz, value double")
+    layout = Layout(str(tmp_path / "filled"))
+    stages.tune(rows, layout, "s", OrderGrid((0,), (0, 1), (0,)))
+    stages.train(rows.fillna(0.0, ["value"]), layout, "s", OrderGrid((0,), (0, 1), (0,)))
+    got = {r["stage"]: r["n_filled"] for r in store.read_results(spark, layout).collect()}
+    assert got == {"tune": 2, "train": 0}
+
+
+def test_ties_reach_every_stage(spark, tmp_path):
+    # the order of equal times by ``id`` is the reverse of that by value
+    rows = spark.createDataFrame([(dt.datetime(2020, 1, 1 + i // 2), 100.0 - i, i) for i in range(56)], "day timestamp_ntz, price double, id int")
+    path = str(tmp_path / "tables")
+    rows.write.parquet(f"{path}/ties.parquet")
+    source, layout = TableSource("parquet", {"path": path}), Layout(str(tmp_path / "run"))
+    raw = stages.ingest(spark, source, "ties", ["day", "price"], layout, "s", tie=["id"])
+    split = stages.preprocess(raw, layout, "s", tie=["id"])
+    ordered = [r["value"] for r in split.orderBy("seq").collect()]
+    assert ordered == [100.0 - i for i in range(56)]
+    grid = OrderGrid((0,), (1,), (0,))
+    train = split.where("split = 'train'").drop("split")
+    naive = 100 * sum(1 / v for v in ordered[:44][30:]) / 14
+    assert stages.train(train, layout, "s", grid).first()["mape"] == pytest.approx(naive)
+    again = stages.retrain(spark, source, "ties", ["day", "price"], layout, "s", "2020-01-01", "2020-01-28", tie=["id"])
+    assert again.first()["mape"] == pytest.approx(naive)
+    with pytest.raises(ValueError):
+        stages.ingest(spark, source, "ties", ["day", "price"], layout, "c", fmt="csv", tie=["id"])
+
+
+def test_csv_folder_headers_and_bad_rows(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ts,value\n2020-01-01 00:00:00.000000,1.5\n2020-01-02 00:00:00.000000,oops\nnever,3\n2020-01-04 00:00:00.000000,4,5\n")
+    got = sorted((r["value"] or -1.0, r["bad"]) for r in files.read_series_dir(spark, str(folder)).collect())
+    assert got == [(-1.0, True), (1.5, False), (3.0, True), (4.0, True)]
+    (folder / "b.csv").write_text("value,ts\n2.5,2020-01-03 00:00:00.000000\n")
+    with pytest.raises(Exception):
+        files.read_series_dir(spark, str(folder)).collect()

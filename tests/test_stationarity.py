@@ -88,3 +88,27 @@ def test_suggest_orders(make):
     assert got["sum"]["d"] == 1 and got["sum"]["p_values"][:1] == [1]
     assert got["ar"]["q_values"] == list(range(1, len(got["ar"]["q_values"]) + 1)) != []
     assert (got["flat"]["d"], got["flat"]["p_values"], got["flat"]["q_values"]) == (None, [], [])
+
+
+def test_d_goes_on_until_the_series_is_stationary(make):
+    noise = np.random.default_rng(11).normal(size=300)
+    values = {f"d{d}": _integrated(noise, d) for d in (0, 1, 4, 6)} | {"flat": np.full(50, 3.0), "tiny": np.array([1.0, 2.0, 4.0])}
+    df = make(values)
+    got = {r["series_id"]: r["d"] for r in stationarity.get_d(df).collect()}
+    assert [got[k] for k in ("d0", "d1", "d4")] == [0, 1, 4]
+    assert got["flat"] is None and got["tiny"] is None
+    first = {}
+    for r in stationarity.adf_test(df, 7).orderBy("d").collect():  # the same differences in one pass
+        if r["p_value"] is not None and r["p_value"] <= 0.05:
+            first.setdefault(r["series_id"], r["d"])
+    assert {k: v for k, v in got.items() if v is not None} == first
+    bounded = {r["series_id"]: r["d"] for r in stationarity.get_d(df, 3).collect()}
+    assert bounded["d4"] is None and bounded["d1"] == 1
+    suggested = {r["series_id"]: r["d"] for r in search.suggest_orders(df).collect()}
+    assert suggested == got
+
+
+def _integrated(values, times):
+    for _ in range(times):
+        values = np.cumsum(values)
+    return values
