@@ -58,7 +58,7 @@ class Blocks:
         Each query takes the blocks in order of their bound, the sum of the greatest products of its terms, and stops when the
         bound is below its k-th score. Queries at the same block are scored together.
         """
-        size = max(abs(queries).max(initial=0), 1) * max(abs(self.vectors).max(initial=0), 1) * max(queries.shape[1], 1)
+        size = max(int(abs(queries).max(initial=0)), 1) * max(int(abs(self.vectors).max(initial=0)), 1) * max(queries.shape[1], 1)
         kind = np.float32 if size < 2 ** 24 else np.float64 if size < 2 ** 53 else np.int64
         wide = np.float64 if kind is np.int64 else kind
         q, docs = queries.astype(kind), self.vectors.astype(kind)
@@ -99,7 +99,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k documents of greatest inner product of every query, exactly.
 
     ``queries`` (query_id, v array<long>), ``docs`` (vec_id, v array<long>); a document with the query's id is its own. Missing
-    components count as 0. A query id with several vectors stands for the smallest of them; documents that repeat id and
+    components count as 0; scores have to fit a long. A query id with several vectors stands for the smallest of them; documents that repeat id and
     vector are one; other vectors of an id are documents of their own. Rows without an id take no part. Fewer than k
     documents: all. Empty tables: no rows.
 
