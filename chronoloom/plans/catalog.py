@@ -651,6 +651,45 @@ def arima_fit(spark, sf):
     return arima.arima_fit(rows, grid, max_p=2, max_d=1, max_q=2)
 
 
+# (0,1,1) by brute force: the residual recursion runs for a grid of theta at once, then for ever finer grids around the best one.
+# A fit is (series_id, t): the history before row t. Residuals from the third on count.
+MA1 = """w AS (SELECT series_id, seq - 2 AS u, value - lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS w FROM idx QUALIFY seq >= 2),
+r0 AS (SELECT series_id, u, list_transform(range(0, 421), lambda i: -1.05 + i * 0.005) AS theta, list_transform(range(0, 421), lambda i: w) AS e,
+         list_transform(range(0, 421), lambda i: 0.0::DOUBLE) AS s FROM w WHERE u = 0
+       UNION ALL SELECT series_id, u, theta, e, list_transform(e, lambda v, i: s[i] + CASE WHEN u >= 2 THEN v * v ELSE 0 END)
+       FROM (SELECT w.series_id, w.u, theta, s, list_transform(e, lambda v, i: w.w - theta[i] * v) AS e
+             FROM r0 JOIN w ON w.series_id = r0.series_id AND w.u = r0.u + 1)),
+f0 AS (SELECT fits.series_id, t, theta[list_position(s, list_min(s))] AS theta FROM fits JOIN r0 ON r0.series_id = fits.series_id AND u = t - 3),
+{finer}""".format(finer=",\n".join(f"""r{k} AS (SELECT f{k - 1}.series_id, t, u, list_transform(range(-100, 101), lambda i: theta + i * {step}) AS theta,
+         list_transform(range(-100, 101), lambda i: w) AS e, list_transform(range(-100, 101), lambda i: 0.0::DOUBLE) AS s
+       FROM f{k - 1} JOIN w ON w.series_id = f{k - 1}.series_id AND u = 0
+       UNION ALL SELECT series_id, t, u, theta, e, list_transform(e, lambda v, i: s[i] + CASE WHEN u >= 2 THEN v * v ELSE 0 END)
+       FROM (SELECT w.series_id, t, w.u, theta, s, list_transform(e, lambda v, i: w.w - theta[i] * v) AS e
+             FROM r{k} JOIN w ON w.series_id = r{k}.series_id AND w.u = r{k}.u + 1 AND w.u <= t - 3)),
+f{k} AS (SELECT series_id, t, theta[list_position(s, list_min(s))] AS theta, list_min(s) AS s, e[list_position(s, list_min(s))] AS e
+       FROM r{k} WHERE u = t - 3)""" for k, step in ((1, 0.0001), (2, 0.000002))))
+MA1_FIT = "SELECT series_id, t - 1 AS n, round(theta, 3) AS ma1, round(s / (t - 4) / var, 6) AS sigma2 FROM f2 JOIN (SELECT series_id, var_pop(w) AS var FROM w GROUP BY 1) USING (series_id)"
+
+
+def _ma1(rows):
+    """(0,1,1) on whole series; the residual variance as a share of that of the differences."""
+    models = arima.arima_fit(rows, search.candidate_grid(rows, search.OrderGrid(p=(0,), d=(1,), q=(1,))), max_p=0, max_d=1, max_q=1)
+    spread = differenced(rows).where("seq >= 2").groupBy("series_id").agg(F.var_pop("value").alias("var"))
+    return models.join(spread, "series_id").select(
+        "series_id", "n", rounded(F.element_at("ma", 1), 3, "ma1"), rounded(F.col("sigma2") / F.col("var"), 6, "sigma2"))
+
+
+@query(f"WITH RECURSIVE {MONTHLY_IDX}, fits AS (SELECT series_id, max(seq) + 1 AS t FROM idx GROUP BY 1), {MA1} {MA1_FIT}")
+def arima_fit_ma1(spark, sf):
+    return _ma1(monthly(spark, sf))
+
+
+@query(f"WITH RECURSIVE {EVENTS_IDX}, fits AS (SELECT series_id, max(seq) + 1 AS t FROM idx GROUP BY 1), {MA1} {MA1_FIT}")
+def arima_fit_ma1_events(spark, sf):
+    """Differences of noise: theta near -1, where no lag may be cut, on chunked series."""
+    return _ma1(events(spark, sf))
+
+
 AR1_FIT = f"""WITH {EVENTS_IDX}, x AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS y1 FROM idx),
 m AS (SELECT series_id, any_value(n) AS n, regr_slope(value, y1) AS b, regr_intercept(value, y1) AS a,
   arg_max(value, seq) AS last FROM x GROUP BY 1)
