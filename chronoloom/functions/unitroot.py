@@ -40,6 +40,15 @@ def mackinnon_p(tau: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
+def critical_value(p: float) -> float:
+    """The statistic whose p-value is ``p`` (0 < p < 1): the p-value grows with the statistic, so bisection finds it."""
+    low, high = TAU_MIN, TAU_MAX
+    while high - low > 1e-12:
+        mid = (low + high) / 2
+        low, high = (mid, high) if mackinnon_p(mid) <= p else (low, mid)
+    return low
+
+
 def chunk_sums(y: np.ndarray, seq: np.ndarray, own: np.ndarray, n: np.ndarray, lags: np.ndarray,
                starts: np.ndarray) -> list[np.ndarray]:
     """Per group: dd[0..L], yd[0..L], sum y, sum y^2, head[L+2], tail[L+2].

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..functions import unitroot
 from ..operators import arima, correlation, evaluate, forecast, prepare, scale, search, stationarity
 from ..operators.difference import difference as differenced
 from ..operators.index import as_series, index_series, some_rows
@@ -484,24 +485,71 @@ def adf_gram(spark, sf):
     return out.select("series_id", "d", "lag", ratio("dd"), ratio("yd"))
 
 
-@query()
+# The test written out. Rows x = (constant, level, lagged differences 1..top, target); eliminating one regressor after the other from
+# their products leaves the residual sum of every nested regression in the last corner. At the lag of the least AIC all rows
+# that it allows are taken again, with the level last, so that one 2 x 2 corner holds its coefficient and error. The p-value
+# grows with the statistic: p <= 0.05 is a bound on the statistic.
+STATIONARY_AT = unitroot.critical_value(stationarity.STATIONARY_P)
+NTH = "SELECT series_id, {d} AS d, seq, n, v AS y FROM d{d}"
+D_ALL = ", ".join(f"d{d} AS (SELECT series_id, seq, n, coalesce(v - lag(v) OVER w, 0.0) AS v FROM d{d - 1} WINDOW w AS (PARTITION BY series_id ORDER BY seq))"
+                  for d in (1, 2, 3))
+V_ALL = ("d0 AS (SELECT series_id, seq, n, value - avg(value) OVER (PARTITION BY series_id) AS v FROM idx), " + D_ALL
+         + ", v AS (" + " UNION ALL ".join(NTH.format(d=d) for d in range(4)) + ")")
+PRODUCTS = """{name}_g AS (SELECT series_id, d, n, m, i, j, sum(x[i] * x[j]) AS s FROM {rows}, unnest(range(1, m + 1)) a(i), unnest(range(1, m + 1)) b(j) GROUP BY ALL),
+{name}_m AS (SELECT series_id, d, n, m, list(line ORDER BY i) AS a FROM (SELECT series_id, d, n, m, i, list(s ORDER BY j) AS line FROM {name}_g GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT series_id, d, n, m, 0 AS k, a FROM {name}_m UNION ALL
+  SELECT series_id, d, n, m, k + 1, list_transform(range(1, m + 1), lambda i: list_transform(range(1, m + 1),
+    lambda j: a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1])) FROM {name} WHERE k < m - {left})"""
+ADF = """x AS (SELECT *, least(CAST(ceil(12 * (n / 100.0::DOUBLE) ** 0.25) AS BIGINT), n // 2 - 2) AS top, y - lag(y) OVER w AS dy, lag(y) OVER w AS level
+  FROM v WINDOW w AS (PARTITION BY series_id, d ORDER BY seq)),
+l AS (SELECT *, list_reverse(list(dy) OVER (PARTITION BY series_id, d ORDER BY seq ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING)) AS past FROM x),
+r1 AS (SELECT series_id, d, n, top + 3 AS m, list_concat([1.0::DOUBLE, level], past[1:top], [dy]) AS x FROM l WHERE seq >= top + 2),
+{nested},
+aic AS (SELECT series_id, d, k - 2 AS lags, (n - m + 2) * ln(a[m][m] / (n - m + 2)) + 2 * k AS aic FROM e1 WHERE k >= 2),
+best_lag AS (SELECT series_id, d, arg_min(lags, aic) AS lags FROM aic GROUP BY 1, 2),
+r2 AS (SELECT series_id, d, n, lags + 3 AS m, list_concat([1.0::DOUBLE], past[1:lags], [level, dy]) AS x
+  FROM l JOIN best_lag USING (series_id, d) WHERE seq >= lags + 2),
+{final},
+adf AS (SELECT series_id, CAST(d AS INTEGER) AS d, n, CAST(m - 3 AS INTEGER) AS lags, a[m - 1][m] / a[m - 1][m - 1]
+  / sqrt((a[m][m] - a[m - 1][m] ** 2 / a[m - 1][m - 1]) / (n - m + 2 - (m - 1)) / a[m - 1][m - 1]) AS statistic FROM e2 WHERE k = m - 2)""".format(
+    nested=PRODUCTS.format(name="e1", rows="r1", left=1), final=PRODUCTS.format(name="e2", rows="r2", left=2))
+BEST_D = f"best_d AS (SELECT series_id, min(d) FILTER (statistic <= {STATIONARY_AT!r}) AS d FROM adf GROUP BY 1)"
+
+@query(f"WITH RECURSIVE {EVENTS_IDX}, {V_ALL.replace(' UNION ALL ' + NTH.format(d=2) + ' UNION ALL ' + NTH.format(d=3), '')}, {ADF} "
+       f"SELECT series_id, d, n, lags, round(statistic, 5) AS statistic, statistic <= {STATIONARY_AT!r} AS stationary FROM adf")
 def adf_test(spark, sf):
-    return stationarity.adf_test(events(spark, sf))
+    found = stationarity.adf_test(events(spark, sf), 1)
+    return found.select("series_id", "d", "n", "lags", rounded("statistic", 5), (F.col("p_value") <= stationarity.STATIONARY_P).alias("stationary"))
 
 
-@query()
+@query(f"WITH RECURSIVE {MONTHLY_IDX}, {V_ALL}, {ADF}, {BEST_D} SELECT series_id, d FROM best_d")
 def get_d(spark, sf):
     return stationarity.get_d(monthly(spark, sf))
 
 
-@query()
+SUGGEST = f"""dd AS (SELECT series_id, seq, n, CASE d WHEN 0 THEN d0.v WHEN 1 THEN d1.v WHEN 2 THEN d2.v ELSE d3.v END AS value
+  FROM d0 JOIN d1 USING (series_id, seq, n) JOIN d2 USING (series_id, seq, n) JOIN d3 USING (series_id, seq, n) JOIN best_d USING (series_id)),
+{LAGS.format(rows='dd')}, {ACF}, {PACF},
+runs AS (SELECT series_id, 'p' AS kind, lag, abs(value) >= bound AS inside FROM pacf WHERE lag > 0
+  UNION ALL SELECT series_id, 'q', lag, abs(value) >= bound FROM acf WHERE lag > 0),
+ends AS (SELECT series_id, kind, coalesce(min(lag) FILTER (NOT inside), max(lag) + 1) - 1 AS run FROM runs GROUP BY 1, 2)
+SELECT best_d.series_id, d, array_to_string(range(1, CAST(p.run AS BIGINT) + 1), ',') AS p_values, array_to_string(range(1, CAST(q.run AS BIGINT) + 1), ',') AS q_values
+FROM best_d JOIN ends p ON p.series_id = best_d.series_id AND p.kind = 'p' JOIN ends q ON q.series_id = best_d.series_id AND q.kind = 'q'"""
+
+
+def _suggested(df: DataFrame) -> DataFrame:
+    return df.select("series_id", "d", F.array_join("p_values", ",").alias("p_values"), F.array_join("q_values", ",").alias("q_values"))
+
+
+@query(f"WITH RECURSIVE {MONTHLY_IDX}, {V_ALL}, {ADF}, {BEST_D}, {SUGGEST}")
 def suggest_orders(spark, sf):
-    return search.suggest_orders(monthly(spark, sf))
+    return _suggested(search.suggest_orders(monthly(spark, sf)))
 
 
-@query()
+@query(f"WITH RECURSIVE {EVENTS}, idx AS (SELECT * REPLACE (trunc(value) AS value) FROM ({INDEX.format(rows='raw', tie=', event_id')[8:-1]})), "
+       f"{V_ALL.replace(' UNION ALL ' + NTH.format(d=2) + ' UNION ALL ' + NTH.format(d=3), '')}, {ADF}, {BEST_D}, {SUGGEST}")
 def suggest_orders_events(spark, sf):
-    return stages.suggest(event_rows(spark, sf), tie=["event_id"])
+    return _suggested(stages.suggest(event_rows(spark, sf), tie=["event_id"]))
 
 
 # ---------------------------------------------------------------- candidates, forecasts, search

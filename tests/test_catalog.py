@@ -57,10 +57,6 @@ def ranked(rows):
 
 # Entries without SQL: what must hold for their rows. The values themselves are held against direct computations in the other tests.
 CHECKS = {
-    "adf_test": holds(one_per("series_id", "d"), lambda rows: len(rows) == 5 and all(0 <= r["p_value"] <= 1 and r["lags"] >= 0 for r in rows if r["testable"])),
-    "get_d": holds(one_per("series_id"), lambda rows: len(rows) == 5 and all(r["d"] is None or r["d"] >= 0 for r in rows)),
-    "suggest_orders": holds(one_per("series_id"), lambda rows: all(list(r[k]) == list(range(1, len(r[k]) + 1)) for r in rows for k in ("p_values", "q_values"))),
-    "suggest_orders_events": holds(one_per("series_id"), lambda rows: len(rows) == 5),
     "rolling_origin_eval": holds(one_per("series_id", "p", "d", "q", "seq"), lambda rows: len({(r["p"], r["d"], r["q"]) for r in rows}) == 18,
                                  lambda rows: all((r["forecast"] is None) == (r["error"] is not None) for r in rows)),
     "order_search_arma": holds(one_per("series_id"), ranked, lambda rows: all(r["n_candidates"] == 18 for r in rows)),
