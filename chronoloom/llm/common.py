@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def worker_cache(key: object, make):
+    """What ``make`` returned for this key in this worker process, for all its tasks."""
+    held = sys.modules.setdefault("chronoloom_worker_cache", types.ModuleType("chronoloom_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class Kept(dict):
+    """A worker's cache of ``make``: a full one becomes the old generation, from which keys still in use return. Long keys are not kept."""
+
+    ENTRIES, CHARS = 200_000, 64
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.CHARS:
+            if len(self) >= self.ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def byte_alphabet() -> list[str]:
+    """The printable stand-ins of byte-level BPE by byte: visible Latin-1 characters for themselves, the rest from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in visible else next(hidden)) for b in range(256)]
+
+
 def public_tokenizer(name: str) -> str:
     """Path of an installed public tokenizer file (on the driver)."""
     import public_tokenizers
@@ -148,5 +186,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
+def each_text(texts: pa.Array, step: int = 512) -> Iterator[str]:
+    """The texts as strings, few at a time in memory; null as empty."""
+    for i in range(0, len(texts), step):
+        for text in texts.slice(i, step).to_pylist():
+            yield text or ""
+
+
 def byte_texts(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,28 +13,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpointed, only
+from .common import Kept, by_value, byte_alphabet, checkpointed, each_text, only, worker_cache
 
-#: Entries of a worker's cache of encoded words; a full cache is emptied. Longer words are not cached.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Pre-tokens of the tokenizer below; characters from here on are left to the library.
+PATTERN, BEYOND = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", "\u0250"
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit numbers, for tokenizers that drop white space.
+    """Token ids of whole texts as little-endian 32-bit numbers, for lower-casing byte-level BPE that drops white space.
 
     Such a tokenizer never joins characters across a space, so a text's ids are the ids of its space-separated parts,
-    and these repeat. Parts not seen before are encoded together by the library.
+    and these repeat. A part that was not seen before and has only Latin characters is split into pre-tokens here, which
+    the library's model turns into tokens; any other part goes through the whole library.
     """
 
     def __init__(self, definition: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
+        self.pieces, self.letters = regex.compile(PATTERN).findall, dict(enumerate(byte_alphabet()))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.part = Kept(self._part).__getitem__
 
-    def drops_space(self) -> bool:
-        return all(self._direct(f"a{s}b") == self._direct("a") + self._direct("b") for s in (" ", "\n", " \n "))
+    def fits(self) -> bool:
+        """Whether the tokenizer behaves as said above, on a text with every Latin character in several places."""
+        chars = [chr(c) for c in range(1, ord(BEYOND))]
+        texts = [" ".join(f"{c} a{c} {c}b {c}{c}" for c in chars), "it's I'LL a'sx 'S we'd''t 12 3a!?.b", "a \n b\nc  d"]
+        return all(self.encode(t) == self._direct(t) for t in texts)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -41,22 +49,22 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._direct(text)
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:  # very long parts
-            return b"".join([self.known[p] if p in self.known else self._direct(p) for p in parts])
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        missing = [p for p in set(parts).difference(self.known) if len(p) <= CACHE_CHARS]
-        for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.part, text.replace("\n", " ").split(" ")))
+
+    def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        if part.isascii() and part.isalpha() and part.islower():
+            return self._piece(part)
+        if max(part) >= BEYOND or "\u0130" in part:
+            return self._direct(part)
+        pieces = self.pieces(part.lower())
+        if pieces == [part]:
+            return self._piece(part.encode().decode("latin-1").translate(self.letters))
+        return b"".join(map(self.part, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
 
 PIECE = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -73,18 +81,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     by_value()
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    if not Encoder(definition).drops_space():
-        raise ValueError("the tokenizer must drop white space")
+    if not Encoder(definition).fits():
+        raise ValueError("this needs a lower-casing byte-level BPE that drops white space")
     shared, last = docs.sparkSession.sparkContext.broadcast(definition), np.array([end_id], dtype="<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, places = Encoder(shared.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encoder = worker_cache(("packing", shared.value), lambda: Encoder(shared.value))
+        part, places = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             row, rest, ids = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = encoder.encode(text or "") + last
+            for i, text in enumerate(each_text(batch.column(1))):
+                data = encoder.encode(text) + last
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at:at + 4 * capacity]
                     n = len(piece) // 4

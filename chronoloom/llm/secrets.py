@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, only
+from .common import by_value, each_text, only
 
 #: Kinds of spans, in the order used for equal starts. The first three are plain patterns, the others are confirmed by their structure.
 BASE = ("assign", "access", "hex")
@@ -147,7 +147,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for a, b, k in spans(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[{"kind": k, "start": a, "end": b} for a, b, k in spans(t)] for t in each_text(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     rows = only(docs, doc_id=id_col, text=text_col)

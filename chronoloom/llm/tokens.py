@@ -5,23 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from .common import by_value, only
+from .common import Kept, by_value, byte_alphabet, each_text, only, worker_cache
 
 #: Pre-tokens of byte-level BPE, as the tokenizer library splits them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's cache; a full cache is emptied.
-CACHE_ENTRIES = 400_000
-#: Longer pre-tokens are not cached.
-CACHE_CHARS = 64
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level BPE: visible Latin-1 characters for themselves, the rest from 256 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 def frequent_lengths(definition: str) -> dict[str, int]:
@@ -35,7 +25,7 @@ def frequent_lengths(definition: str) -> dict[str, int]:
     import regex
     from tokenizers import Tokenizer
 
-    tokenizer, pattern, alphabet = Tokenizer.from_str(definition), regex.compile(PATTERN), _byte_alphabet()
+    tokenizer, pattern, alphabet = Tokenizer.from_str(definition), regex.compile(PATTERN), {c: b for b, c in enumerate(byte_alphabet())}
     words = []
     for piece in json.loads(definition)["model"]["vocab"]:
         if all(c in alphabet for c in piece):
@@ -51,27 +41,22 @@ def frequent_lengths(definition: str) -> dict[str, int]:
 
 
 class Counter:
-    """Tokens of whole texts: the frequent table first, then the cache of this worker, then the tokenizer."""
+    """Tokens of whole texts: pre-token lengths from the frequent table, then from this worker's cache, then from the tokenizer's model."""
 
     def __init__(self, definition: str, frequent: dict[str, int]):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_str(definition), regex.compile(PATTERN).findall
-        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        tokenizer, letters = Tokenizer.from_str(definition), dict(enumerate(byte_alphabet()))
+        tokenize = tokenizer.model.tokenize
+        special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special, self.split = special, regex.compile("|".join(map(regex.escape, special))).split
-        self.frequent, self.known = frequent, dict(frequent)
+        self.pieces = regex.compile(PATTERN).findall
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > len(self.frequent) + CACHE_ENTRIES:
-            self.known = dict(self.frequent)
-        missing = [p for p in set(pieces).difference(self.known) if len(p) <= CACHE_CHARS]
-        for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[p] = len(e)
+        def length(piece: str) -> int:
+            return frequent.get(piece) or len(tokenize(piece.encode().decode("latin-1").translate(letters)))
 
-    def _one(self, piece: str) -> int:
-        n = self.known.get(piece)
-        return len(self.tokenizer.encode(piece, add_special_tokens=False)) if n is None else n
+        self.length = Kept(length).__getitem__
 
     def count(self, text: str) -> int:
         if any(s in text for s in self.special):  # the library gives their strings one token each
@@ -80,15 +65,7 @@ class Counter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        pieces = self.pieces(text)
-        try:
-            return sum(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-        try:
-            return sum(map(self.known.__getitem__, pieces))
-        except KeyError:  # very long pieces
-            return sum(map(self._one, pieces))
+        return sum(map(self.length, self.pieces(text)))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id",
@@ -104,12 +81,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     shared = docs.sparkSession.sparkContext.broadcast((definition, frequent_lengths(definition)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value)
+        counter = worker_cache(("tokens", shared.value[0]), lambda: Counter(*shared.value))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [counter.count(t) for t in texts]
+            counts = [counter.count(t) for t in each_text(batch.column(1))]
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
+                [batch.column(0), sizes, pa.array(counts, pa.int64()),
                  pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
