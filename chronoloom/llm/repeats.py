@@ -133,11 +133,12 @@ class Routes:
         return out
 
 
-DEALT = ["group", "paths", "places", "done", "ids", "salts", "firsts"]
-FOUND = pa.schema([("id", pa.int64()), ("salt", pa.int64()), ("starts", pa.list_(pa.int32()))])
+DEALT = ["group", "run", "paths", "places", "done", "ids", "salts", "firsts"]
+HITS = ["run", "places", "ids", "salts", "firsts"]
+FOUND = pa.schema([("id", pa.int64()), ("salt", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
 
-def _deal(ids: np.ndarray, salts: np.ndarray, run: Run, routes: Routes, window: int) -> pa.RecordBatch:
+def _deal(number: int, ids: np.ndarray, salts: np.ndarray, run: Run, routes: Routes, window: int) -> pa.RecordBatch:
     """One row per group with the suffixes of a run. Of equal windows only those of the smallest document travel; the others are
     already known to repeat and are just noted."""
     hashes = [h[run.places] for h in prefix_hashes(run.h, window)]
@@ -154,16 +155,17 @@ def _deal(ids: np.ndarray, salts: np.ndarray, run: Run, routes: Routes, window:
     for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
         some, gone = slice(a, b), known[a:b]
         rows = np.unique(row[some])
-        values = (int(group[a]), packed(path[some][~gone]), _three_bytes(place[some][~gone]), packed(np.sort(place[some][gone])),
+        values = (int(group[a]), number, packed(path[some][~gone]), _three_bytes(place[some][~gone]), packed(np.sort(place[some][gone])),
                   packed(ids[rows].view(np.uint64)), packed(salts[rows].view(np.uint64)), packed(run.first[rows]))
         for column, value in zip(out, values, strict=True):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], DEALT)
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(DEALT) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], DEALT)
 
 
 def _repeats(rows: pa.Table, window: int) -> pa.Table:
     """The subtrees of a group, cut at the depth of a window: leaves in path order, an inner node wherever paths are equal. Every
-    leaf that does not belong to the smallest document of its node starts a repeat."""
+    leaf that does not belong to the smallest document of its node starts a repeat. One row for each row of the group."""
     paths, docs, parts, places, owners = [], [], [], [], []
     table = rows.to_pydict()
     for k in range(rows.num_rows):
@@ -184,19 +186,42 @@ def _repeats(rows: pa.Table, window: int) -> pa.Table:
     least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(doc) else doc
     hit = order[doc > least]
     part, place, owner = np.concatenate(parts)[hit], np.concatenate(places)[hit], np.concatenate(owners)[hit]
-    out = []
+    out: list[list] = [[] for _ in HITS]
     for k in range(rows.num_rows):
-        first, mine = unpacked(table["firsts"][k]).view(np.int64), part == k
-        done = unpacked(table["done"][k]).view(np.int64)
-        at = np.concatenate([place[mine], done])
-        who = np.concatenate([owner[mine], np.searchsorted(first, done, side="right") - 1])
-        order = np.lexsort((at, who))
-        at, who = at[order], who[order]
-        docs_here, begins = np.unique(who, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(who)).astype(np.int32)), pa.array((at - first[who]).astype(np.int32)))
-        ids, salts = (unpacked(table[c][k]).view(np.int64)[docs_here] for c in ("ids", "salts"))
-        out.append(pa.Table.from_arrays([pa.array(ids), pa.array(salts), lists], schema=FOUND))
-    return pa.concat_tables(out) if out else FOUND.empty_table()
+        mine, done = part == k, unpacked(table["done"][k]).view(np.int64)
+        first = unpacked(table["firsts"][k]).view(np.int64)
+        at = np.sort(np.concatenate([place[mine], done]))
+        if len(at):
+            docs_here = np.unique(np.searchsorted(first, at, side="right") - 1)
+            ids, salts = (unpacked(table[c][k])[docs_here] for c in ("ids", "salts"))
+            for column, value in zip(out, (table["run"][k], packed(at), packed(ids), packed(salts), packed(first[docs_here])), strict=True):
+                column.append(value)
+    kinds = [pa.int64(), *[pa.binary()] * (len(HITS) - 1)]
+    return pa.table([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=HITS)
+
+
+def _ranges(rows: pa.Table) -> pa.Table:
+    """The repeats of a run put back together: per document first and last place of every unbroken row of window starts."""
+    ids, salts, starts = [], [], []
+    for row in rows.to_pylist():
+        at, first = (unpacked(row[c]).view(np.int64) for c in ("places", "firsts"))
+        owner = np.searchsorted(first, at, side="right") - 1
+        ids.append(unpacked(row["ids"]).view(np.int64)[owner])
+        salts.append(unpacked(row["salts"]).view(np.int64)[owner])
+        starts.append(at - first[owner])
+    doc, salt, start = (np.concatenate(x) for x in (ids, salts, starts))
+    order = np.lexsort((start, salt, doc))
+    doc, salt, start = doc[order], salt[order], start[order]
+    new_doc = np.ones(len(doc), dtype=bool)
+    new_doc[1:] = (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])
+    new = new_doc.copy()
+    new[1:] |= start[1:] > start[:-1] + 1
+    begins = np.flatnonzero(new)
+    pairs = np.stack([start[begins], start[np.append(begins[1:], len(start)) - 1]], axis=1).astype(np.int32)
+    docs = np.flatnonzero(new_doc)
+    offsets = 2 * np.append(np.searchsorted(begins, docs), len(begins)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs.reshape(-1)))
+    return pa.Table.from_arrays([pa.array(doc[docs]), pa.array(salt[docs]), lists], schema=FOUND)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -209,12 +234,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
 
 
 def repeated_windows(rows: DataFrame, size: int, window: int = 13) -> DataFrame:
-    """(id, salt, starts array<int>): the places (words from 0) of all windows that also start in a document of a smaller id; several
-    rows a document. ``rows`` (id, salt, text), ``size`` the bytes of all texts.
+    """(id, salt, ranges array<int>): where windows start (words from 0) that also start in a document of a smaller id, as first and last
+    place of unbroken rows of starts. ``rows`` (id, salt, text), ``size`` the bytes of all texts.
 
     Suffixes are partitioned by prefix. One pass counts the buckets of prefixes of 1, 2, 4, ... words over all texts; a bucket
     that would fill a large part of a group is split by the next longer prefix, so common words or passages do not make a
     group too large. A second pass sends each suffix, as its path of ``window`` words (a 64-bit number) and place, to its group.
+    What is found returns to the run that it came from, packed, so that a document gets one row however many groups it is in.
     """
     by_value()
     spark = rows.sparkSession
@@ -235,14 +261,17 @@ def repeated_windows(rows: DataFrame, size: int, window: int = 13) -> DataFrame:
     routes = spark.sparkContext.broadcast(Routes(groups, overfull, window))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, salts, run in _runs(batches, window):
-            yield _deal(ids, salts, run, routes.value, window)
+        from pyspark import TaskContext
+
+        for k, (ids, salts, run) in enumerate(_runs(batches, window)):
+            yield _deal(TaskContext.get().partitionId() << 32 | k, ids, salts, run, routes.value, window)
 
     def found(group: pa.Table) -> pa.Table:
         return _repeats(group, window)
 
-    rows_by_group = texts.mapInArrow(dealt, "group int, " + ", ".join(f"{c} binary" for c in DEALT[1:]))
-    return rows_by_group.groupBy("group").applyInArrow(found, "id long, salt long, starts array<int>")
+    by_group = texts.mapInArrow(dealt, "group int, run long, " + ", ".join(f"{c} binary" for c in DEALT[2:])).groupBy("group")
+    by_run = by_group.applyInArrow(found, "run long, " + ", ".join(f"{c} binary" for c in HITS[1:])).groupBy("run")
+    return by_run.applyInArrow(lambda run: _ranges(run), "id long, salt long, ranges array<int>")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +283,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     make each other's windows repeats; each has its own result. An empty table gives an empty result.
     """
     rows, size = _keyed(docs, id_col, text_col)
-    starts = repeated_windows(rows, size, window).groupBy("id", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    joined = rows.join(starts, ["id", "salt"], "left").select("doc_id", "text", "starts")
+    ranges = repeated_windows(rows, size, window).groupBy("id", "salt").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    joined = rows.join(ranges, ["id", "salt"], "left").select("doc_id", "text", "ranges")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,12 +292,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             offsets, places = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
             for i, text in enumerate(byte_texts(batch.column(1))):
                 words = (text or b"").split()
-                at = places[offsets[i]:offsets[i + 1]]
+                at = places[offsets[i]:offsets[i + 1]].reshape(-1, 2)
                 n_words.append(len(words))
                 if len(at):
                     step = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
+                    np.add.at(step, at[:, 0], 1)
+                    np.add.at(step, at[:, 1] + window, -1)
                     words = [w for w, gone in zip(words, (np.cumsum(step[:-1]) > 0).tolist(), strict=True) if not gone]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
