@@ -41,7 +41,7 @@ def line_spread(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, id_col
     margin = BAND * min_sites + 1
     sure = estimated.where(F.col("estimate") > min_sites + margin).select("a", "b", "first")
     near = estimated.where(F.abs(F.col("estimate") - min_sites) <= margin).select("a", "b", "first")
-    pairs = rows.select("a", "b", "site").join(near, ["a", "b"]).groupBy("a", "b", "site").agg(F.min("first").alias("first"))
+    pairs = rows.select("a", "b", "site").distinct().join(near, ["a", "b"])
     exact = pairs.groupBy("a", "b").agg(F.count("site").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_sites)
     return sure.unionByName(exact.drop("n"))
 
