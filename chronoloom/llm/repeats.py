@@ -1,7 +1,13 @@
-"""Substring dedup: repeated word windows found with prefix-partitioned suffix trees."""
+"""Substring dedup: repeated word windows, found by sorting suffixes cut at the window and partitioned by prefix.
+
+The words that a repeat of at least a window covers are those that its windows cover, so no tree beyond that depth is built:
+leaves are sorted by a hash of their window. A first round, by 32 bits of it, only says which windows may be repeated; a second one
+compares these by all 64 bits and by a second, independent 64-bit hash.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -20,7 +26,9 @@ RUN_WORDS = 2_000_000
 BYTES_A_WORD = 6
 #: Buckets of prefixes for each group. A bucket over 1/FINE of a group is split by a longer prefix.
 BUCKETS_A_GROUP, FINE = 32, 4
-_STEP = 0x9E3779B97F4A7C15
+_STEP, _STEP_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Words of more bytes have a digest as second number.
+_LONG = 255
 _UNNAMED = 2 ** 63 - 1
 
 
@@ -49,21 +57,54 @@ def prefix_hashes(h: np.ndarray, window: int) -> list[np.ndarray]:
         return [mix(x ^ np.uint64(k)) for k, x in [*doubled.items(), (window, whole)]] if window > 1 else [mix(h ^ np.uint64(1))]
 
 
+def word_seconds(words: Words) -> np.ndarray:
+    """A second 64-bit number per word, of another base; of long words, where polynomials can agree whatever the base, a digest."""
+    out = words.hashes(5)
+    for k in np.flatnonzero(words.ends - words.starts > _LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(words.raw[words.starts[k]:words.ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def window_seconds(h: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """The second 64-bit number of the windows at these places."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(window):
+            out = out * np.uint64(_STEP_2) + h[places + k]
+    return mix(out)
+
+
 class Run:
-    """The words of some texts: 64-bit word hashes, the first word of each text, and the places where a whole window starts."""
+    """The words of some texts: 64-bit word hashes, the first word of each text, and the places where a whole window starts.
 
-    def __init__(self, hashes: list[np.ndarray], counts: list[np.ndarray], window: int):
+    With ``asked`` (first and last place of rows of starts, and the text of each) and ``seconds`` only the places asked for.
+    """
+
+    def __init__(self, hashes: list[np.ndarray], counts: list[np.ndarray], window: int, asked: tuple[list, list] | None = None,
+                 seconds: list[np.ndarray] | None = None):
         self.h = np.concatenate(hashes)
         self.counts = np.concatenate(counts)
         self.first = np.cumsum(self.counts) - self.counts
         sizes = np.maximum(self.counts - window + 1, 0)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.places = np.arange(len(self.doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[self.doc]
+        self.second = None if seconds is None else np.concatenate(seconds)
+        if asked is not None:
+            pairs, owner = np.concatenate(asked[0]), np.concatenate(asked[1])
+            sizes = pairs[:, 1] - pairs[:, 0] + 1
+            start = pairs[:, 0] + self.first[owner]
+            self.places = np.unique(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start, sizes))
+            self.doc = np.searchsorted(self.first, self.places, side="right") - 1
+
+
+def _runs(batches: Iterator[pa.RecordBatch], window: int, confirm: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, Run]]:
+    """(ids, salts, run) for about RUN_WORDS words at a time; ``confirm``: of the places in the fourth column, with second hashes."""
+    ids, salts, hashes, counts, pairs, owners, seconds, rows, held = [], [], [], [], [], [], [], 0, 0
 
+    def run() -> tuple[np.ndarray, np.ndarray, Run]:
+        asked = ((pairs, owners), seconds) if confirm else ()
+        return np.concatenate(ids), np.concatenate(salts), Run(hashes, counts, window, *asked)
 
-def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, Run]]:
-    """(ids, salts, run) for about RUN_WORDS words at a time."""
-    ids, salts, hashes, counts, held = [], [], [], [], 0
     for batch in batches:
         texts = byte_texts(batch.column(2))
         for a, b in runs(batch.column(2)):
@@ -72,12 +113,18 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.n
             counts.append(np.diff(words.first))
             ids.append(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False))
             salts.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False))
+            if confirm:
+                lists = batch.column(3).slice(a, b - a)
+                pairs.append(lists.flatten().to_numpy().astype(np.int64).reshape(-1, 2))
+                owners.append(rows + np.repeat(np.arange(b - a), pa.compute.list_value_length(lists).to_numpy() // 2))
+                seconds.append(word_seconds(words))
+            rows += b - a
             held += len(words)
             if held >= RUN_WORDS:
-                yield np.concatenate(ids), np.concatenate(salts), Run(hashes, counts, window)
-                ids, salts, hashes, counts, held = [], [], [], [], 0
+                yield run()
+                ids, salts, hashes, counts, pairs, owners, seconds, rows, held = [], [], [], [], [], [], [], 0, 0
     if ids:
-        yield np.concatenate(ids), np.concatenate(salts), Run(hashes, counts, window)
+        yield run()
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -133,29 +180,35 @@ class Routes:
         return out
 
 
-DEALT = ["group", "run", "paths", "places", "done", "ids", "salts", "firsts"]
+DEALT = ["group", "run", "paths", "seconds", "places", "done", "ids", "salts", "firsts"]
 HITS = ["run", "places", "ids", "salts", "firsts"]
 FOUND = pa.schema([("id", pa.int64()), ("salt", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
 
 def _deal(number: int, ids: np.ndarray, salts: np.ndarray, run: Run, routes: Routes, window: int) -> pa.RecordBatch:
     """One row per group with the suffixes of a run. Of equal windows only those of the smallest document travel; the others are
-    already known to repeat and are just noted."""
+    already known to repeat and are just noted. Without second hashes the smallest document's are noted with them, and
+    half of the path is enough: all have to be confirmed."""
     hashes = [h[run.places] for h in prefix_hashes(run.h, window)]
     group = routes.group(hashes)
-    path, doc = hashes[-1], ids[run.doc]
-    order = np.lexsort((doc, path, group))
+    path, doc = hashes[-1] if run.second is not None else hashes[-1] >> np.uint64(32), ids[run.doc]
+    second = np.zeros(len(path), np.uint64) if run.second is None else window_seconds(run.second, run.places, window)
+    order = np.lexsort((doc, second, path, group))
+    second = second[order]
     group, path, doc, place, row = group[order], path[order], doc[order], run.places[order], run.doc[order]
     new = np.ones(len(path), dtype=bool)
-    new[1:] = (path[1:] != path[:-1]) | (group[1:] != group[:-1])
+    new[1:] = (path[1:] != path[:-1]) | (second[1:] != second[:-1]) | (group[1:] != group[:-1])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    known = doc > least
+    noted = known = doc > least
+    if run.second is None and len(known):
+        noted = np.logical_or.reduceat(known, np.flatnonzero(new))[np.cumsum(new) - 1]
     out: list[list] = [[] for _ in DEALT]
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
     for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
         some, gone = slice(a, b), known[a:b]
         rows = np.unique(row[some])
-        values = (int(group[a]), number, packed(path[some][~gone]), _three_bytes(place[some][~gone]), packed(np.sort(place[some][gone])),
+        values = (int(group[a]), number, packed(path[some][~gone]), b"" if run.second is None else second[some][~gone].tobytes(),
+                  _three_bytes(place[some][~gone]), packed(np.sort(place[some][noted[some]])),
                   packed(ids[rows].view(np.uint64)), packed(salts[rows].view(np.uint64)), packed(run.first[rows]))
         for column, value in zip(out, values, strict=True):
             column.append(value)
@@ -164,33 +217,40 @@ def _deal(number: int, ids: np.ndarray, salts: np.ndarray, run: Run, routes: Rou
 
 
 def _repeats(rows: pa.Table, window: int) -> pa.Table:
-    """The subtrees of a group, cut at the depth of a window: leaves in path order, an inner node wherever paths are equal. Every
-    leaf that does not belong to the smallest document of its node starts a repeat. One row for each row of the group."""
-    paths, docs, parts, places, owners = [], [], [], [], []
+    """The leaves of a group in the order of their hashes, a node wherever these are equal. With second hashes a leaf that does not
+    belong to the smallest document of its node starts a repeat; without, every leaf of a node of two documents may and is asked for.
+    One row for each row of the group."""
+    paths, seconds, docs, parts, places, owners = [], [], [], [], [], []
     table = rows.to_pydict()
     for k in range(rows.num_rows):
         path, place = unpacked(table["paths"][k]), _from_three_bytes(table["places"][k])
         ids, first = unpacked(table["ids"][k]).view(np.int64), unpacked(table["firsts"][k]).view(np.int64)
         owner = np.searchsorted(first, place, side="right") - 1
         paths.append(path)
+        seconds.append(np.frombuffer(table["seconds"][k], dtype=np.uint64))
         docs.append(ids[owner])
         places.append(place)
         owners.append(owner)
         parts.append(np.full(len(path), k, dtype=np.int32))
-    path, doc = np.concatenate(paths), np.concatenate(docs)
-    order = np.argsort(path, kind="stable")
-    node = path[order]
-    new = np.ones(len(node), dtype=bool)
-    new[1:] = node[1:] != node[:-1]
+    path, second, doc = np.concatenate(paths), np.concatenate(seconds), np.concatenate(docs)
+    confirm = len(second) == len(path)
+    order = np.lexsort((second, path)) if confirm else np.argsort(path, kind="stable")
+    new = np.ones(len(path), dtype=bool)
+    new[1:] = path[order][1:] != path[order][:-1]
+    if confirm:
+        new[1:] |= second[order][1:] != second[order][:-1]
     doc = doc[order]
     least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(doc) else doc
-    hit = order[doc > least]
+    repeat = doc > least
+    if not confirm:
+        repeat = np.logical_or.reduceat(repeat, np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = order[repeat]
     part, place, owner = np.concatenate(parts)[hit], np.concatenate(places)[hit], np.concatenate(owners)[hit]
     out: list[list] = [[] for _ in HITS]
     for k in range(rows.num_rows):
         mine, done = part == k, unpacked(table["done"][k]).view(np.int64)
         first = unpacked(table["firsts"][k]).view(np.int64)
-        at = np.sort(np.concatenate([place[mine], done]))
+        at = np.unique(np.concatenate([place[mine], done]))
         if len(at):
             docs_here = np.unique(np.searchsorted(first, at, side="right") - 1)
             ids, salts = (unpacked(table[c][k])[docs_here] for c in ("ids", "salts"))
@@ -239,8 +299,10 @@ def repeated_windows(rows: DataFrame, size: int, window: int = 13) -> DataFrame:
 
     Suffixes are partitioned by prefix. One pass counts the buckets of prefixes of 1, 2, 4, ... words over all texts; a bucket
     that would fill a large part of a group is split by the next longer prefix, so common words or passages do not make a
-    group too large. A second pass sends each suffix, as its path of ``window`` words (a 64-bit number) and place, to its group.
+    group too large. A second pass sends each suffix, as half the path of its ``window`` words (32 of 64 bits) and place, to its group.
     What is found returns to the run that it came from, packed, so that a document gets one row however many groups it is in.
+    A third pass does the same with the windows found only, by the whole path and a second 64-bit number of other word hashes; what
+    does not agree in both is no repeat. ``rows`` may have more columns; they go along with the third pass.
     """
     by_value()
     spark = rows.sparkSession
@@ -260,18 +322,25 @@ def repeated_windows(rows: DataFrame, size: int, window: int = 13) -> DataFrame:
     overfull = [(r["level"], r["bucket"]) for r in counts.where(F.col("n") > GROUP_SUFFIXES // FINE).collect()]
     routes = spark.sparkContext.broadcast(Routes(groups, overfull, window))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def repeated(parts: DataFrame, confirm: bool) -> DataFrame:
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            for k, (ids, salts, run) in enumerate(_runs(batches, window, confirm)):
+                yield _deal(TaskContext.get().partitionId() << 32 | k, ids, salts, run, routes.value, window)
+
+        by_group = parts.mapInArrow(dealt, "group int, run long, " + ", ".join(f"{c} binary" for c in DEALT[2:])).groupBy("group")
+        by_run = by_group.applyInArrow(lambda group: _repeats(group, window), "run long, " + ", ".join(f"{c} binary" for c in HITS[1:])).groupBy("run")
+        return by_document(by_run.applyInArrow(lambda run: _ranges(run), "id long, salt long, ranges array<int>"))
 
-        for k, (ids, salts, run) in enumerate(_runs(batches, window)):
-            yield _deal(TaskContext.get().partitionId() << 32 | k, ids, salts, run, routes.value, window)
+    # all columns of the rows, so that the exchange of the texts can serve the caller's join as well
+    asked = rows.join(repeated(texts, False), ["id", "salt"])
+    others = [c for c in rows.columns if c not in texts.columns]
+    return repeated(asked.select("id", "salt", "text", "ranges", *others), True)
 
-    def found(group: pa.Table) -> pa.Table:
-        return _repeats(group, window)
 
-    by_group = texts.mapInArrow(dealt, "group int, run long, " + ", ".join(f"{c} binary" for c in DEALT[2:])).groupBy("group")
-    by_run = by_group.applyInArrow(found, "run long, " + ", ".join(f"{c} binary" for c in HITS[1:])).groupBy("run")
-    return by_run.applyInArrow(lambda run: _ranges(run), "id long, salt long, ranges array<int>")
+def by_document(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "salt").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,8 +352,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     make each other's windows repeats; each has its own result. An empty table gives an empty result.
     """
     rows, size = _keyed(docs, id_col, text_col)
-    ranges = repeated_windows(rows, size, window).groupBy("id", "salt").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = rows.join(ranges, ["id", "salt"], "left").select("doc_id", "text", "ranges")
+    joined = rows.join(repeated_windows(rows, size, window), ["id", "salt"], "left").select("doc_id", "text", "ranges")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

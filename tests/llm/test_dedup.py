@@ -159,6 +159,15 @@ def test_small_groups_and_long_prefixes_change_nothing(spark, documents, monkeyp
     assert key(tuple(r) for r in repeats.remove_repeats(df).collect()) == key(direct_repeats(rows))
 
 
+def test_windows_of_equal_hash_but_other_words_stay(spark, documents, monkeypatch):
+    plain = repeats.prefix_hashes
+    monkeypatch.setattr(repeats, "prefix_hashes", lambda h, window: [x % np.uint64(1021) for x in plain(h, window)])
+    monkeypatch.setattr(repeats, "RUN_WORDS", 2000)
+    rows = [(d["doc_id"], d["text"]) for d in documents[:120]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert key(tuple(r) for r in repeats.remove_repeats(df).collect()) == key(direct_repeats(rows))
+
+
 def test_prefix_hashes_are_of_the_words():
     h = np.random.default_rng(4).integers(0, 2 ** 63, 50).astype(np.uint64)
     h[20:33], h[35:48] = h[0:13], h[0:13]
