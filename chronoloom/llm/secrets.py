@@ -23,11 +23,21 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A text without any of these (lower-cased) cannot hold an assignment.
 NAMES = ("passw", "secret", "token", "api")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: The first byte of an ASN.1 sequence makes base64 start with M and one of A to P, that of the key container with b3Blb.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3Blb)[A-Za-z0-9+/_-]{28,}={0,2}")
-HEXED = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{58,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Anything may stand between the marks: ``armoured_kind`` sorts it out.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
+#: Line ends and tabs written as escapes, also twice escaped, and escaped slashes.
+ESCAPED, SLASH = re.compile(r"\\+(?:[nrt]|u000[9aAdD])"), re.compile(r"\\+/")
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+MARKS = re.compile(r"^[^A-Za-z0-9+/=_-]+|[^A-Za-z0-9+/=_-]+$")
+#: Ends and beginnings of string literals that are joined, with the operator between.
+JOINED = re.compile(r"""["'`][\s+.,;\\&_]*$|^[\s+.&]*["'`]""")
+
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{30,}={0,2}")
+HEXED = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{60,}")
+#: A key starts with the tag of an ASN.1 sequence (M and one of A to P in base64) or the name of the key container.
+BASE64_KEY, HEXED_KEY = re.compile("M[A-P]|b3BlbnNzaC1rZXktdjE"), re.compile("30|6f70656e7373682d6b65792d763100", re.IGNORECASE)
+#: Starts in each other's parts count, hence the look ahead. The shortest header that names an algorithm has 14 characters.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
 
 CONTAINER = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -101,6 +111,48 @@ def _container_fits(data: bytes) -> bool:
     return 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) and at == len(data)
 
 
+def _may_fill(head: bytes, size: int) -> bool:
+    """Whether ``size`` bytes that begin with ``head`` (8 or more) may be one key: the container, or a sequence of that very length."""
+    if head[:1] != bytes([SEQUENCE]):
+        return CONTAINER.startswith(head[:8])
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    return n <= 4 and (int.from_bytes(head[2:2 + n], "big") if n else head[1]) + 2 + n == size
+
+
+def _base64_key(run: str) -> tuple[int, str] | None:
+    """Start and kind of the key that ends with a run of base64 characters; other characters may touch it before, as the n of an
+    escaped line end does."""
+    bare = run.rstrip("=")
+    for m in BASE64_KEY.finditer(bare):
+        n = len(bare) - m.start()
+        if n < 30:
+            break
+        if n % 4 != 1 and _may_fill(decoded(bare[m.start():m.start() + 12]) or b"\0", n * 3 // 4) and (kind := key_kind(decoded(run[m.start():]))):
+            return m.start(), kind
+    return None
+
+
+def _hexed_key(run: str) -> tuple[int, str] | None:
+    for m in HEXED_KEY.finditer(run):
+        n = len(run) - m.start()
+        if n < 60:
+            break
+        if n % 2 == 0 and _may_fill(bytes.fromhex(run[m.start():m.start() + 16]), n // 2) and (kind := key_kind(bytes.fromhex(run[m.start():]))):
+            return m.start(), kind
+    return None
+
+
+def armoured_kind(body: str) -> str | None:
+    """The kind of key between armour marks: lines joined over white space, escaped line ends, quote marks and header lines."""
+    split = SLASH.sub("/", ESCAPED.sub("\n", body)).splitlines()
+    for literals in (False, True):
+        rows = [MARKS.sub("", JOINED.sub("", row) if literals else row) for row in split]
+        rows = [row for row in rows if not HEADER.match(row)]
+        if kind := key_kind(decoded("".join("".join(rows).split()))):
+            return kind
+    return None
+
+
 def signed_token(run: str) -> bool:
     """Whether the first two parts are JSON objects and the first names an algorithm."""
     parts = run.split(".")
@@ -123,17 +175,19 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     armoured = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            if kind := key_kind(decoded("".join(m[2].split()))):
+            if kind := armoured_kind(m[2]):
                 armoured.append((m.start(), m.end(), kind))
     out += armoured
-    for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b, _ in armoured) and (kind := key_kind(decoded(m[0]))):
-            out.append((m.start(), m.end(), kind))
-    for m in HEXED.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
-            out.append((m.start(), m.end(), kind))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[0])]
+    for pattern, key in ((BASE64, _base64_key), (HEXED, _hexed_key)):
+        for m in pattern.finditer(text):
+            if (found := key(m[0])) and (pattern is HEXED or not any(a <= m.start() < b for a, b, _ in armoured)):
+                out.append((m.start() + found[0], m.end(), found[1]))
+    for m in JWT.finditer(text):
+        # the first letter may belong to an escape before the token
+        for at in (0, 1) if m.start() and text[m.start() - 1] == "\\" else (0,):
+            if signed_token(m[1][at:]):
+                out.append((m.start() + at, m.end(1), "jwt"))
+                break
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -269,6 +269,34 @@ def test_structures_are_parsed():
         assert [s for s in secrets.spans(wrong) if s[2] not in secrets.BASE] == []
 
 
+def structured(text):
+    return [s for s in secrets.spans(text) if s[2] not in secrets.BASE]
+
+
+def test_keys_in_strings_quotes_and_with_headers():
+    for data, kind in ((PKCS1, "pkcs1"), (PKCS8, "pkcs8"), (SEC1, "sec1"), (OPENSSH, "openssh")):
+        body = base64.encodebytes(data).decode()
+        plain = f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+        headed = f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,CLEAR\nComment: MII\n\n{body}-----END PRIVATE KEY-----"
+        literals = "\n".join(f'  "{line}\\n" +' for line in plain.split("\n"))
+        for armoured in (json.dumps(plain)[1:-1], json.dumps(json.dumps(plain))[3:-3], headed, plain.replace("\n", "\n> "), headed.replace("\n", "\r\n>> "),
+                         literals[3:-5], plain.replace("/", "\\/").replace("\n", "\\n")):
+            assert structured("é '" + armoured + "'") == [(3, 3 + len(armoured), kind)], armoured
+        lone = base64.b64encode(data).decode()
+        assert structured("x\\n" + lone + "\\n") == [(3, 3 + len(lone), kind)]
+        for hexed in (data.hex(), data.hex().upper()):
+            assert structured(f"0x{hexed} ") == [(2, 2 + len(hexed), kind)]
+    assert structured("-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "A" * 64 + "\n-----END PRIVATE KEY-----") == []
+
+
+def test_token_headers_with_white_space():
+    for header in ('{ "alg": "HS256"}', '{\n"alg":"HS256"}', '\n{"alg":"HS256"}', '\t{"typ":"JWT","alg":"HS256"}'):
+        token = f"{url64(header.encode())}.{url64(b'{ }')}.{url64(RNG.randbytes(32))}"
+        assert structured(f"a {token} b") == [(2, 2 + len(token), "jwt")]
+        assert structured(f"a_long_enough_name.{token}") == [(19, 19 + len(token), "jwt")]
+        assert structured(f"x\\n{token}") == [(3, 3 + len(token), "jwt")]
+
+
 def direct_base(text):
     text = text or ""
     names = "|".join("".join(f"[{c}{c.upper()}]" for c in n) for n in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
