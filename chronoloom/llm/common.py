@@ -57,6 +57,15 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return docs.join(gone.toDF(name), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
+def without_texts(docs: DataFrame, text_col: str, judged: Callable[[DataFrame, str], DataFrame], among: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` (of ``among``) whose own text is not rejected: ``judged(rows, key)`` gives the keys (doc_id) of rejected texts."""
+    key = unused(docs, "text_key")
+    of_text = F.coalesce(F.md5(F.col(f"`{text_col}`").cast("binary")), F.lit(""))
+    rows = docs.withColumn(key, of_text if among is None else F.when(among, of_text))
+    gone = judged(rows, key).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return without(rows, key, checkpointed(gone)).drop(key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared checkpoint folder and read from there."""
     use_checkpoint_dir(df.sparkSession)

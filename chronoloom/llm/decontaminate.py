@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, by_value, byte_texts, checkpointed, mix, only, runs, without
+from .common import ALNUM, Words, by_value, byte_texts, checkpointed, mix, only, runs, without_texts
 
 #: Words of a shared span that is always found, and words of a fingerprint. A window of SPAN - GRAM + 1 grams keeps its least hash.
 SPAN, GRAM = 10, 5
@@ -224,5 +224,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input rows without the documents that hold a window of an item. Rows without an id stay."""
-    return without(docs, id_col, contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select("doc_id").distinct())
+    """The input rows without those whose text holds a window of an item, also where rows share an id. Rows without an id stay."""
+    def judged(rows: DataFrame, key: str) -> DataFrame:
+        return contamination(rows, items, key, text_col, **options).where("n_hit > 0")
+
+    return without_texts(docs, text_col, judged, F.col(f"`{id_col}`").isNotNull())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, byte_texts, checkpointed, only, runs, without
+from .common import by_value, byte_texts, only, runs, without_texts
 
 UNDETERMINED = "und"
 #: Bytes that the network reads in one go; longer texts are several such stretches, all of them read.
@@ -234,10 +234,10 @@ def known_language(docs: DataFrame, least: float = 0.3, per_lang: int = 256, id_
                    lang_col: str = "lang") -> DataFrame:
     """The input rows whose language is one of the learned ones with a score of at least ``least``.
 
-    Rows without an id are kept: nothing names them. Without labelled rows nothing can be learned and all rows stay.
+    Each row is judged by its own text, also where rows share an id or have none. Without labelled rows nothing can be learned and all rows stay.
     """
     network = fit(docs, per_lang, id_col, text_col, lang_col)
     if network is None:
         return docs
-    found = predict(docs, network, id_col, text_col).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
-    return without(docs, id_col, checkpointed(found.where("doc_id IS NOT NULL").select("doc_id").distinct()))
+    return without_texts(docs, text_col, lambda rows, key: predict(rows, network, key, text_col).where(
+        (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)))

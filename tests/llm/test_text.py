@@ -393,6 +393,17 @@ def test_language_of_odd_texts(odd, none):
     assert langid.known_language(none).collect() == []
 
 
+def test_rows_are_judged_by_their_own_text(odd, spark):
+    rows = [(1, PASSAGE, "en"), (1, "a text of its own, with nothing of the kind in it", "en"), (2, "12345 67890", "en"), (2, "words that stay here", "en"),
+            (None, "12345", "en"), (None, "no id, but words", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([("i", PASSAGE)], "item_id string, text string")
+    assert key(r["text"] for r in decontaminate.clean(df, items).collect()) == key(t for _, t, _ in rows if t != PASSAGE)
+    kept = langid.known_language(df.unionByName(odd.select(*df.columns).where("doc_id = 7")), least=0.0, per_lang=20)
+    assert {t for _, t, _ in rows if any(c.isalpha() for c in t)} <= {r["text"] for r in kept.collect()}
+    assert not {"12345 67890", "12345"} & {r["text"] for r in kept.collect()}
+
+
 def test_op7_on_held_out_documents(spark, documents):
     got = {r["doc_id"]: r for r in registered.queries()["op7_language_id"](spark, SF).collect()}
     assert len(got) == len(documents)
