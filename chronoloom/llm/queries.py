@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, repeats, secrets, simhash, tokens, toolcalls, topk
+from . import decontaminate, langid, lines, packing, repeats, secrets, simhash, spotsigs, tokens, toolcalls, topk
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,13 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     return found.select("doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE],
                         F.sha2(joined(of(*secrets.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query()
+def op11_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
+    found = spotsigs.edited_fingerprints(table(spark, sf, "documents"))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                        spotsigs.fingerprint("signatures").alias("fingerprint"),
+                        spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
+                        spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"),
+                        spotsigs.likeness("signatures", "next_signatures").alias("near_next"))
