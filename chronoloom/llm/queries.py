@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, repeats, secrets, simhash, spotsigs, tokens, toolcalls, topk
+from . import decontaminate, langid, lines, negatives, packing, phrases, repeats, secrets, simhash, spotsigs, tokens, toolcalls, topk
 from .common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,47 @@ def op11_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
                         spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
                         spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"),
                         spotsigs.likeness("signatures", "next_signatures").alias("near_next"))
+
+
+@query(r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+    t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+    c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+    longer AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS a
+               FROM (SELECT lang, a, ws, s, unnest(range(1, k - s + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS s) WHERE k > s) GROUP BY 1, 2),
+    cut AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS first, array_to_string(ws[j + 1:], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+    s AS (SELECT cut.lang, cut.phrase, cut.a, j, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * cut.a) // (x.a + y.a) AS BIGINT) AS score
+          FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    k AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 80 * b.a),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+""")
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))::DOUBLE[] AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    s AS (SELECT q.vec_id AS anchor_id, d.vec_id, q.label = d.label AS same, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+          FROM e q JOIN e d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                 CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").where(topk.usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), topk.scaled("embedding", 256).alias("v"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
