@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, by_value, checkpointed, only
 
 #: Texts of about this many bytes are counted together before they leave a task; a longer text is counted alone.
-RUN_BYTES = 12_000_000
+RUN_BYTES = 10_000_000
 #: Entries of a stripe in one row; longer stripes go in parts.
 STRIPE = 4096
+#: Prefixes with at least this share of all words, of which there are no more than 1 / HOT, have stripes that are dealt to all tasks by the next word.
+HOT = 0.001
 #: Bits of a filter for each phrase in it, and log2 of the least and the greatest filter.
 FILTER_SHARE, FILTER_BITS = 16, (16, 27)
 #: Parts of a language, so that no key is hot.
@@ -29,7 +31,7 @@ WORD_END = PIECE_END + b"\x20\x09"
 _SPLITS = np.isin(np.arange(256), list(PIECE_END))
 _WORD = ~np.isin(np.arange(256), list(WORD_END))
 
-STRIPE_SCHEMA = "lang string, prefix string, next array<string>, n array<long>"
+STRIPE_SCHEMA = "lang string, prefix string, slice int, next string, n array<int>"
 
 
 class _Run:
@@ -43,7 +45,7 @@ class _Run:
         starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         lang = langs[np.searchsorted(begins, starts, side="right") - 1]
-        piece = np.cumsum(_SPLITS[data], dtype=np.int32)[starts]
+        piece = np.searchsorted(np.flatnonzero(_SPLITS[data]), starts)
         self.joined = np.append(piece[1:] == piece[:-1], False)[:len(starts)]
         offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
         letters = pa.py_buffer(data[inside[1:-1].astype(bool)].tobytes())
@@ -52,8 +54,9 @@ class _Run:
         keys, self.word = np.unique(lang * size + coded.indices.to_numpy(), return_inverse=True)
         self.lang, self.lang_names = keys // size, lang_names
         self.text = coded.dictionary.cast(pa.large_string()).take(pa.array(keys % size))
+        self.hashes = self._hashes()
 
-    def hashes(self) -> np.ndarray:
+    def _hashes(self) -> np.ndarray:
         """What ``_hash`` gives for each numbered word and its language."""
         import xxhash
 
@@ -96,36 +99,37 @@ def _passes(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
 
 def _stripes(run: _Run, prefix_lang: np.ndarray, prefix_text: pa.Array, prefix: np.ndarray, following: np.ndarray,
-             counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of STRIPE_SCHEMA for counts sorted by prefix (a place in ``prefix_text``); ``following`` are words."""
+             counts: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+    """Rows of STRIPE_SCHEMA for counts sorted by prefix (a place in ``prefix_text``); ``following`` are words, ``hot`` marks prefixes."""
     if not len(prefix):
         return
-    new = np.append(True, prefix[1:] != prefix[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(prefix)))
-    pieces = -(-size // STRIPE)
+    part = np.where(hot[prefix], (run.hashes[following] % np.uint64(slices)).astype(np.int64), 0)
+    order = np.lexsort((part, prefix)) if part.any() else slice(None)
+    prefix, following, counts, part = prefix[order], following[order], counts[order], part[order]
+    begin = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
+    pieces = -(-np.diff(np.append(begin, len(prefix))) // STRIPE)
     cut = np.repeat(begin, pieces) + STRIPE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    names, words = pa.array(run.lang_names, pa.string()), run.text.cast(pa.string())
+    names = pa.array(run.lang_names, pa.string())
     for lo in range(0, len(cut), 65536):
         rows = cut[lo:lo + 65536]
         end = cut[lo + 65536] if lo + 65536 < len(cut) else len(prefix)
-        part = slice(rows[0], end)
-        offsets = pa.array(np.append(rows, end) - rows[0], pa.int32())
+        offsets = np.append(rows, end) - rows[0]
+        words = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), run.text.take(pa.array(following[rows[0]:end])))
         yield pa.RecordBatch.from_arrays([
-            names.take(pa.array(prefix_lang[prefix[rows]])), prefix_text.take(pa.array(prefix[rows])).cast(pa.string()),
-            pa.ListArray.from_arrays(offsets, words.take(pa.array(following[part]))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts[part], pa.int64()))], ["lang", "prefix", "next", "n"])
+            names.take(pa.array(prefix_lang[prefix[rows]])), prefix_text.take(pa.array(prefix[rows])).cast(pa.string()), pa.array(part[rows], pa.int32()),
+            pa.compute.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.string()),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts[rows[0]:end], pa.int32()))], ["lang", "prefix", "slice", "next", "n"])
 
 
-def _word_stripes(run: _Run) -> Iterator[pa.RecordBatch]:
+def _word_stripes(run: _Run, slices: int) -> Iterator[pa.RecordBatch]:
     """The empty prefix of each language: its words, and under no prefix (null) how many there are."""
+    langs = len(run.lang_names)
     counts = np.bincount(run.word, minlength=len(run.lang))
-    empty = pa.array([""] * len(run.lang_names), pa.large_string())
-    yield from _stripes(run, np.arange(len(run.lang_names)), empty, run.lang, np.arange(len(run.lang)), counts)
-    total = np.bincount(run.lang, weights=counts, minlength=len(run.lang_names)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(run.lang_names, pa.string()), pa.nulls(len(total), pa.string()),
-                                      pa.array([[""]] * len(total), pa.list_(pa.string())), pa.array([[int(n)] for n in total], pa.list_(pa.int64()))],
-                                     ["lang", "prefix", "next", "n"])
+    empty = pa.array([""] * langs, pa.large_string())
+    yield from _stripes(run, np.arange(langs), empty, run.lang, np.arange(len(run.lang)), counts, np.ones(langs, dtype=bool), slices)
+    total = np.bincount(run.lang, weights=counts, minlength=langs).astype(np.int64).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(run.lang_names, pa.string()), pa.nulls(langs, pa.string()), pa.array([0] * langs, pa.int32()),
+                                      pa.array([""] * langs), pa.array([[n] for n in total], pa.list_(pa.int32()))], ["lang", "prefix", "slice", "next", "n"])
 
 
 def _pairs(run: _Run, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,21 +139,23 @@ def _pairs(run: _Run, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at, keys, which
 
 
-def _pair_stripes(run: _Run, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pair_stripes(run: _Run, words: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
     """Stripes of one-word prefixes, of words that pass the filter alone."""
-    _, keys, which = _pairs(run, _passes(words, run.hashes()))
-    yield from _stripes(run, run.lang, run.text, keys // max(len(run.lang), 1), keys % max(len(run.lang), 1), np.bincount(which, minlength=len(keys)))
+    n = max(len(run.lang), 1)
+    _, keys, which = _pairs(run, _passes(words, run.hashes))
+    yield from _stripes(run, run.lang, run.text, keys // n, keys % n, np.bincount(which, minlength=len(keys)), np.isin(run.hashes, hot), slices)
 
 
 def _joined(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.compute.binary_join_element_wise(left, right, pa.scalar(" ", pa.large_string()))
 
 
-def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
     """Stripes of prefixes of two and three words, where every pair of neighbours passes the filter."""
-    n, h = max(len(run.lang), 1), run.hashes()
+    n, h = max(len(run.lang), 1), run.hashes
     at, keys, which = _pairs(run, _passes(words, h))
-    good = _passes(pairs, _spots(h[keys // n], h[keys % n]))
+    spots = _spots(h[keys // n], h[keys % n])
+    good, many = _passes(pairs, spots), np.isin(spots, hot)
     pair = np.full(len(run.word), -1)
     pair[at] = np.where(good[which], which, -1)
     lang, text = run.lang[keys // n], _joined(run.text.take(pa.array(keys // n)), run.text.take(pa.array(keys % n)))
@@ -158,15 +164,15 @@ def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray) -> Iterator[p
         # the next word makes a pair with the last one of the gram
         spots = np.flatnonzero((gram[:1 - size] >= 0) & (pair[size - 1:] >= 0))
         grams, which = np.unique(gram[spots] * n + run.word[spots + size], return_inverse=True)
-        yield from _stripes(run, lang, text, grams // n, grams % n, np.bincount(which, minlength=len(grams)))
+        yield from _stripes(run, lang, text, grams // n, grams % n, np.bincount(which, minlength=len(grams)), many, slices)
         gram = np.full(len(run.word), -1)
         gram[spots] = which
         text = _joined(text.take(pa.array(grams // n)), run.text.take(pa.array(grams % n)))
-        lang = lang[grams // n]
+        lang, many = lang[grams // n], many[grams // n]
 
 
-def _counted(docs: DataFrame, stripes) -> DataFrame:
-    """(lang, prefix, next, n): the stripes of all texts, merged entry by entry."""
+def _counted(docs: DataFrame, slices: int, stripes) -> DataFrame:
+    """(lang, prefix, next, n): the stripes of all texts, merged entry by entry. Stripes travel whole and are taken apart where they meet."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         langs: list[str] = []
@@ -175,7 +181,7 @@ def _counted(docs: DataFrame, stripes) -> DataFrame:
         def count() -> Iterator[pa.RecordBatch]:
             names = sorted(set(langs))
             place = {name: k for k, name in enumerate(names)}
-            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names))
+            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names), slices)
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -189,9 +195,9 @@ def _counted(docs: DataFrame, stripes) -> DataFrame:
             yield from count()
 
     by_value()
-    found = docs.mapInArrow(task, STRIPE_SCHEMA)
-    each = found.select("lang", "prefix", F.inline(F.arrays_zip("next", "n")))
-    return each.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(task, STRIPE_SCHEMA).repartition(slices, "lang", "prefix", "slice")
+    each = found.select("lang", "prefix", "slice", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "n")))
+    return each.groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n")).drop("slice")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -208,14 +214,22 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, text_col: str = "text
     rows = only(docs, text=text_col, lang=lang_col).select(F.coalesce("text", F.lit("")).alias("text"),
                                                            F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     spark = rows.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     enough = F.col("n") >= min_count
-    first = checkpointed(_counted(rows, _word_stripes).where(enough | F.col("prefix").isNull()))
+    first = checkpointed(_counted(rows, slices, _word_stripes).where(enough | F.col("prefix").isNull()))
     words, totals = first.where("prefix IS NOT NULL"), first.where("prefix IS NULL").select("lang", F.col("n").alias("n_words"))
-    word_bits = spark.sparkContext.broadcast(_filter(words.select(_hash(F.col("lang"), F.col("next")).alias("spot")), words.count()))
-    pairs = checkpointed(_counted(rows, lambda run: _pair_stripes(run, word_bits.value)).where(enough))
-    spot = _spot(_hash(F.col("lang"), F.col("prefix")), _hash(F.col("lang"), F.col("next")))
-    pair_bits = spark.sparkContext.broadcast(_filter(pairs.select(spot.alias("spot")), pairs.count()))
-    longer = checkpointed(_counted(rows, lambda run: _long_stripes(run, word_bits.value, pair_bits.value)).where(enough))
+    hot_from = (totals.agg(F.sum("n_words")).first()[0] or 0) * HOT
+
+    def shared(table: DataFrame, spot: Column):
+        """A filter of the table's phrases, and the spots of the hot ones among them, sent to all tasks."""
+        spots = table.select(spot.alias("spot"), "n")
+        hot = [r[0] for r in spots.where(F.col("n") >= hot_from).select("spot").collect()]
+        return spark.sparkContext.broadcast((_filter(spots, table.count()), np.array(hot, dtype=np.int64).view(np.uint64)))
+
+    of_words = shared(words, _hash(F.col("lang"), F.col("next")))
+    pairs = checkpointed(_counted(rows, slices, lambda run, k: _pair_stripes(run, *of_words.value, k)).where(enough))
+    of_pairs = shared(pairs, _spot(_hash(F.col("lang"), F.col("prefix")), _hash(F.col("lang"), F.col("next"))))
+    longer = checkpointed(_counted(rows, slices, lambda run, k: _long_stripes(run, of_words.value[0], *of_pairs.value, k)).where(enough))
     return words.unionByName(pairs).unionByName(longer), totals
 
 
