@@ -11,12 +11,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_value, checkpointed, only
+from .common import LOWER, by_value, checkpointed, mix, only
 
 #: Texts of about this many bytes are counted together before they leave a task; a longer text is counted alone.
 RUN_BYTES = 10_000_000
-#: Entries of a stripe in one row; longer stripes go in parts.
-STRIPE = 4096
+#: Buckets of stripes for each task that merges them; the stripes of a bucket leave a run as one row.
+BUCKETS = 8
 #: Prefixes with at least this share of all words, of which there are no more than 1 / HOT, have stripes that are dealt to all tasks by the next word.
 HOT = 0.001
 #: Bits of a filter for each phrase in it, and log2 of the least and the greatest filter.
@@ -31,7 +31,11 @@ WORD_END = PIECE_END + b"\x20\x09"
 _SPLITS = np.isin(np.arange(256), list(PIECE_END))
 _WORD = ~np.isin(np.arange(256), list(WORD_END))
 
-STRIPE_SCHEMA = "lang string, prefix string, slice int, next string, n array<int>"
+STRIPE_SCHEMA = "bucket int, lang string, stripes string"
+#: What words never hold separates stripes, a prefix from its counter, entries, and a word from a count above one.
+LINE, FIELD, ENTRY, COUNT = "\n", "\t", " ", ":"
+#: Stands for the prefix of the number of words of a language.
+TOTAL = "\r"
 
 
 class _Run:
@@ -98,38 +102,53 @@ def _passes(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _stripes(run: _Run, prefix_lang: np.ndarray, prefix_text: pa.Array, prefix: np.ndarray, following: np.ndarray,
-             counts: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
-    """Rows of STRIPE_SCHEMA for counts sorted by prefix (a place in ``prefix_text``); ``following`` are words, ``hot`` marks prefixes."""
+def _grouped(texts: pa.Array, begin: np.ndarray, separator: str) -> pa.Array:
+    """Successive texts joined, a new one from each place in ``begin``."""
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(begin, len(texts)), pa.int64()), texts)
+    return pa.compute.binary_join(lists, pa.scalar(separator, pa.large_string()))
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns has a new value."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _stripes(run: _Run, prefix_lang: np.ndarray, prefix_text: pa.Array, prefix_hash: np.ndarray, prefix: np.ndarray, following: np.ndarray,
+             counts: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of STRIPE_SCHEMA for counts of (prefix, following): a place among the prefixes and a word. ``hot`` marks prefixes whose
+    stripes are dealt by the next word."""
     if not len(prefix):
         return
-    part = np.where(hot[prefix], (run.hashes[following] % np.uint64(slices)).astype(np.int64), 0)
-    order = np.lexsort((part, prefix)) if part.any() else slice(None)
-    prefix, following, counts, part = prefix[order], following[order], counts[order], part[order]
-    begin = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
-    pieces = -(-np.diff(np.append(begin, len(prefix))) // STRIPE)
-    cut = np.repeat(begin, pieces) + STRIPE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    names = pa.array(run.lang_names, pa.string())
-    for lo in range(0, len(cut), 65536):
-        rows = cut[lo:lo + 65536]
-        end = cut[lo + 65536] if lo + 65536 < len(cut) else len(prefix)
-        offsets = np.append(rows, end) - rows[0]
-        words = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), run.text.take(pa.array(following[rows[0]:end])))
-        yield pa.RecordBatch.from_arrays([
-            names.take(pa.array(prefix_lang[prefix[rows]])), prefix_text.take(pa.array(prefix[rows])).cast(pa.string()), pa.array(part[rows], pa.int32()),
-            pa.compute.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.string()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts[rows[0]:end], pa.int32()))], ["lang", "prefix", "slice", "next", "n"])
-
-
-def _word_stripes(run: _Run, slices: int) -> Iterator[pa.RecordBatch]:
-    """The empty prefix of each language: its words, and under no prefix (null) how many there are."""
+    spot = np.where(hot[prefix], mix(prefix_hash[prefix] + run.hashes[following]), prefix_hash[prefix])
+    bucket = (spot % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((prefix, bucket, prefix_lang[prefix]))
+    prefix, following, counts, bucket = prefix[order], following[order], counts[order], bucket[order]
+    entries = run.text.take(pa.array(following))
+    many = np.flatnonzero(counts > 1)
+    if len(many):
+        numbered = _joined(entries.take(pa.array(many)), pa.array(counts[many]).cast(pa.large_string()), COUNT)
+        entries = pa.compute.replace_with_mask(entries, pa.array(counts > 1), numbered)
+    begin = _edges(prefix, bucket)
+    lines = _joined(prefix_text.take(pa.array(prefix[begin])), _grouped(entries, begin, ENTRY), FIELD)
+    lang = prefix_lang[prefix[begin]]
+    row = _edges(lang, bucket[begin])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[begin][row], pa.int32()), pa.array(run.lang_names, pa.string()).take(pa.array(lang[row])),
+                                      _grouped(lines, row, LINE).cast(pa.string())], ["bucket", "lang", "stripes"])
+
+
+def _word_stripes(run: _Run, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The empty prefix of each language: its words, and under the prefix TOTAL how many there are."""
     langs = len(run.lang_names)
     counts = np.bincount(run.word, minlength=len(run.lang))
-    empty = pa.array([""] * langs, pa.large_string())
-    yield from _stripes(run, np.arange(langs), empty, run.lang, np.arange(len(run.lang)), counts, np.ones(langs, dtype=bool), slices)
+    empty, zero = pa.array([""] * langs, pa.large_string()), np.zeros(langs, dtype=np.uint64)
+    yield from _stripes(run, np.arange(langs), empty, zero, run.lang, np.arange(len(run.lang)), counts, np.ones(langs, dtype=bool), buckets)
     total = np.bincount(run.lang, weights=counts, minlength=langs).astype(np.int64).tolist()
-    yield pa.RecordBatch.from_arrays([pa.array(run.lang_names, pa.string()), pa.nulls(langs, pa.string()), pa.array([0] * langs, pa.int32()),
-                                      pa.array([""] * langs), pa.array([[n] for n in total], pa.list_(pa.int32()))], ["lang", "prefix", "slice", "next", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([0] * langs, pa.int32()), pa.array(run.lang_names, pa.string()),
+                                      pa.array([f"{TOTAL}{FIELD}{COUNT}{n}" for n in total])], ["bucket", "lang", "stripes"])
 
 
 def _pairs(run: _Run, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,18 +158,19 @@ def _pairs(run: _Run, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at, keys, which
 
 
-def _pair_stripes(run: _Run, words: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+def _pair_stripes(run: _Run, words: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Stripes of one-word prefixes, of words that pass the filter alone."""
     n = max(len(run.lang), 1)
     _, keys, which = _pairs(run, _passes(words, run.hashes))
-    yield from _stripes(run, run.lang, run.text, keys // n, keys % n, np.bincount(which, minlength=len(keys)), np.isin(run.hashes, hot), slices)
+    yield from _stripes(run, run.lang, run.text, run.hashes, keys // n, keys % n, np.bincount(which, minlength=len(keys)),
+                        np.isin(run.hashes, hot), buckets)
 
 
-def _joined(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.compute.binary_join_element_wise(left, right, pa.scalar(" ", pa.large_string()))
+def _joined(left: pa.Array, right: pa.Array, separator: str = " ") -> pa.Array:
+    return pa.compute.binary_join_element_wise(left, right, pa.scalar(separator, pa.large_string()))
 
 
-def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray, hot: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Stripes of prefixes of two and three words, where every pair of neighbours passes the filter."""
     n, h = max(len(run.lang), 1), run.hashes
     at, keys, which = _pairs(run, _passes(words, h))
@@ -162,17 +182,17 @@ def _long_stripes(run: _Run, words: np.ndarray, pairs: np.ndarray, hot: np.ndarr
     gram = pair
     for size in (2, 3):
         # the next word makes a pair with the last one of the gram
-        spots = np.flatnonzero((gram[:1 - size] >= 0) & (pair[size - 1:] >= 0))
-        grams, which = np.unique(gram[spots] * n + run.word[spots + size], return_inverse=True)
-        yield from _stripes(run, lang, text, grams // n, grams % n, np.bincount(which, minlength=len(grams)), many, slices)
+        at = np.flatnonzero((gram[:1 - size] >= 0) & (pair[size - 1:] >= 0))
+        grams, which = np.unique(gram[at] * n + run.word[at + size], return_inverse=True)
+        yield from _stripes(run, lang, text, spots, grams // n, grams % n, np.bincount(which, minlength=len(grams)), many, buckets)
         gram = np.full(len(run.word), -1)
-        gram[spots] = which
+        gram[at] = which
         text = _joined(text.take(pa.array(grams // n)), run.text.take(pa.array(grams % n)))
-        lang, many = lang[grams // n], many[grams // n]
+        lang, many, spots = lang[grams // n], many[grams // n], mix(spots[grams // n] + h[grams % n])
 
 
-def _counted(docs: DataFrame, slices: int, stripes) -> DataFrame:
-    """(lang, prefix, next, n): the stripes of all texts, merged entry by entry. Stripes travel whole and are taken apart where they meet."""
+def _counted(docs: DataFrame, tasks: int, stripes) -> DataFrame:
+    """(lang, prefix, next, n): the stripes of all texts, merged entry by entry. They travel packed and are taken apart where they meet."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         langs: list[str] = []
@@ -181,7 +201,7 @@ def _counted(docs: DataFrame, slices: int, stripes) -> DataFrame:
         def count() -> Iterator[pa.RecordBatch]:
             names = sorted(set(langs))
             place = {name: k for k, name in enumerate(names)}
-            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names), slices)
+            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names), tasks * BUCKETS)
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -195,9 +215,13 @@ def _counted(docs: DataFrame, slices: int, stripes) -> DataFrame:
             yield from count()
 
     by_value()
-    found = docs.mapInArrow(task, STRIPE_SCHEMA).repartition(slices, "lang", "prefix", "slice")
-    each = found.select("lang", "prefix", "slice", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "n")))
-    return each.groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n")).drop("slice")
+    found = docs.mapInArrow(task, STRIPE_SCHEMA).repartition(tasks, "bucket")
+    lines = found.select("bucket", "lang", F.explode(F.split("stripes", LINE)).alias("line"))
+    entries = lines.select("bucket", "lang", F.substring_index("line", FIELD, 1).alias("prefix"),
+                           F.explode(F.split(F.substring_index("line", FIELD, -1), ENTRY)).alias("entry"))
+    n = F.when(F.instr("entry", COUNT) > 0, F.substring_index("entry", COUNT, -1).cast("long")).otherwise(1)
+    each = entries.select("bucket", "lang", "prefix", F.substring_index("entry", COUNT, 1).alias("next"), n.alias("n"))
+    return each.groupBy("bucket", "lang", "prefix", "next").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -214,10 +238,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, text_col: str = "text
     rows = only(docs, text=text_col, lang=lang_col).select(F.coalesce("text", F.lit("")).alias("text"),
                                                            F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     spark = rows.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     enough = F.col("n") >= min_count
-    first = checkpointed(_counted(rows, slices, _word_stripes).where(enough | F.col("prefix").isNull()))
-    words, totals = first.where("prefix IS NOT NULL"), first.where("prefix IS NULL").select("lang", F.col("n").alias("n_words"))
+    first = checkpointed(_counted(rows, tasks, _word_stripes).where(enough | (F.col("prefix") == TOTAL)))
+    words, totals = first.where(F.col("prefix") == ""), first.where(F.col("prefix") == TOTAL).select("lang", F.col("n").alias("n_words"))
     hot_from = (totals.agg(F.sum("n_words")).first()[0] or 0) * HOT
 
     def shared(table: DataFrame, spot: Column):
@@ -227,9 +251,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, text_col: str = "text
         return spark.sparkContext.broadcast((_filter(spots, table.count()), np.array(hot, dtype=np.int64).view(np.uint64)))
 
     of_words = shared(words, _hash(F.col("lang"), F.col("next")))
-    pairs = checkpointed(_counted(rows, slices, lambda run, k: _pair_stripes(run, *of_words.value, k)).where(enough))
+    pairs = checkpointed(_counted(rows, tasks, lambda run, k: _pair_stripes(run, *of_words.value, k)).where(enough))
     of_pairs = shared(pairs, _spot(_hash(F.col("lang"), F.col("prefix")), _hash(F.col("lang"), F.col("next"))))
-    longer = checkpointed(_counted(rows, slices, lambda run, k: _long_stripes(run, of_words.value[0], *of_pairs.value, k)).where(enough))
+    longer = checkpointed(_counted(rows, tasks, lambda run, k: _long_stripes(run, of_words.value[0], *of_pairs.value, k)).where(enough))
     return words.unionByName(pairs).unionByName(longer), totals
 
 

@@ -50,11 +50,11 @@ def test_query_is_the_direct_count(spark, documents):
     assert found == direct([(d["text"], d["lang"]) for d in documents], 30) and found
 
 
-@pytest.mark.parametrize("run, stripe, bits", [(12_000_000, 4096, (16, 27)), (300, 2, (6, 6))])
-def test_small_runs_full_filters(spark, monkeypatch, documents, run, stripe, bits):
-    """Short runs, split stripes and a filter that lets nearly everything through change nothing; ties at the border keep byte order."""
+@pytest.mark.parametrize("run, hot, bits", [(12_000_000, 0.001, (16, 27)), (300, 1e-9, (6, 6)), (12_000_000, 2.0, (16, 27))])
+def test_small_runs_full_filters(spark, monkeypatch, documents, run, hot, bits):
+    """Short runs, all or no stripes dealt by the next word, a filter that lets nearly everything through change nothing; ties keep byte order."""
     monkeypatch.setattr(phrases, "RUN_BYTES", run)
-    monkeypatch.setattr(phrases, "STRIPE", stripe)
+    monkeypatch.setattr(phrases, "HOT", hot)
     monkeypatch.setattr(phrases, "FILTER_BITS", bits)
     rows = [(d["text"][:4000], d["lang"] if d["doc_id"] % 3 else None) for d in documents[:60]]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
@@ -78,7 +78,7 @@ def test_overlaps_and_exact_numbers(spark):
 
 
 def test_frequent_word_is_no_hot_key(spark):
-    """The joins are on salted keys and no stripe row is longer than its bound."""
+    """The joins are on salted keys."""
     rows = [("the " + " the ".join(f"w{k % 50}" for k in range(300)), "x")] * 40
     df = spark.createDataFrame(rows, "text string, lang string")
     assert shaped(phrases.collocations(df, 30)) == direct(rows, 30)
