@@ -15,8 +15,8 @@ from .common import LOWER, by_value, checkpointed, mix, only
 
 #: Texts of about this many bytes are counted together before they leave a task; a longer text is counted alone.
 RUN_BYTES = 10_000_000
-#: Buckets of stripes for each task that merges them; the stripes of a bucket leave a run as one row.
-BUCKETS = 8
+#: Buckets that stripes are dealt into; those of one bucket and language leave a run as one row. At least four for each task that merges.
+BUCKETS = 4096
 #: Prefixes with at least this share of all words, of which there are no more than 1 / HOT, have stripes that are dealt to all tasks by the next word.
 HOT = 0.001
 #: Bits of a filter for each phrase in it, and log2 of the least and the greatest filter.
@@ -201,7 +201,7 @@ def _counted(docs: DataFrame, tasks: int, stripes) -> DataFrame:
         def count() -> Iterator[pa.RecordBatch]:
             names = sorted(set(langs))
             place = {name: k for k, name in enumerate(names)}
-            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names), tasks * BUCKETS)
+            yield from stripes(_Run(texts, np.array([place[x] for x in langs], dtype=np.int64), names), max(BUCKETS, 4 * tasks))
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
