@@ -10,8 +10,8 @@ A refit costs the same at row 100 and at row 10^9, and chunks do not wait for
 each other. All orders that share a number of differences share the state.
 
 The state holds MEMORY lags. Moving-average fits for which lags beyond that
-matter are done again on the whole history: at once where it lies in one chunk,
-else in a further pass over the chunks and orders concerned.
+matter, or that did not settle, go on from there without a cut: at once where the history lies in one chunk
+(``functions.affine``), else in rounds over the chunks of the series concerned (``refit``).
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arima import burn_in, cut_matters, fit, fit_whole, lagged_rows
+from ..functions.affine import refit_prefixes
+from ..functions.arima import burn_in, cut_matters, fit, lagged_rows
 from ..functions.columns import HOLDOUT_RATIO, holdout_point
 from ..session import checkpointed
 from .index import (chunk_rows_of, counted, few_series, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
                     with_halo)
+from .refit import ORDER_KEYS, pack, refit
 
-# Lags in the state when an order has a moving-average part; fits that need more get the whole history.
+# Lags in the state when an order has a moving-average part; fits that need more go on without a cut.
 MEMORY = 64
 # Rows of history that are added to a Gram matrix at a time.
 BLOCK_ROWS = 16_384
@@ -63,15 +65,20 @@ class _Shape:
         return lagged_rows(state[len(self.upper[0]):], self.memory)
 
 
-def _differenced(part: pd.DataFrame, d: int, whole: bool = False):
-    """Rows of one chunk: differenced values (0 where undefined) and which rows count (carried-over ones only as whole history)."""
+# What a pass adds to each row: how many differenced values lie before it, what the expected next difference is added to, the level
+# that is measured from, and parameters if the fit has to go on from them.
+OPEN_SCHEMA = "place bigint, base double, pivot double, params array<double>"
+
+
+def _differenced(part: pd.DataFrame, d: int):
+    """Rows of one chunk: differenced values (0 where undefined) and which rows count."""
     y, seq = part["value"].to_numpy(dtype=float), part["seq"].to_numpy()
     w = np.zeros(len(y))
     w[d:] = np.diff(y, n=d)
     if d == 0:
         w -= part["pivot"].iloc[0]
     w[seq <= d] = 0.0
-    return y, seq, w, (part["own"].to_numpy() | whole) & (seq > d)
+    return y, seq, w, part["own"].to_numpy() & (seq > d)
 
 
 def _gram_of(w: np.ndarray, use: np.ndarray, memory: int) -> np.ndarray:
@@ -173,26 +180,27 @@ def _fit_order(grams: np.ndarray, n_obs: np.ndarray, head_grams: np.ndarray, p:
     return fit(a, np.maximum(n_obs, 1).astype(float), p, q, constant=d == 0)
 
 
-def _passes(rows: DataFrame, tasks: DataFrame, shape: _Shape, max_d: int, max_q: int, chosen, work, schema: str) -> DataFrame:
-    """``work(whole)`` on the chosen chunks: from states first, then with the whole history for the (chunk, order) that ask for it.
-
-    Its rows have ``chunk`` and ``whole`` beyond the schema: whether nothing that matters was cut off.
-    """
-    inner = f"{schema}, chunk bigint, whole boolean"
+def _passes(rows: DataFrame, tasks: DataFrame, shape: _Shape, max_p: int, max_d: int, max_q: int, chosen, work, schema: str,
+            chunk_rows: int | None, redo) -> DataFrame:
+    """``work`` on the chosen chunks, from their states; rows whose fit was cut go on with ``refit`` and are put right by ``redo``."""
     halo = with_halo(rows, shape.memory + max_d)
     ready = _with_states(halo, tasks, shape).where(chosen)
+    first = _cogrouped(halo.where(chosen), ready).applyInPandas(work, f"{schema}, {OPEN_SCHEMA}")
+    extra = [c.split()[0] for c in OPEN_SCHEMA.split(", ")]
     if single_chunk(rows) or max_q == 0:
-        return _cogrouped(halo.where(chosen), ready).applyInPandas(work(single_chunk(rows)), inner).drop("chunk", "whole")
-    first = checkpointed(_cogrouped(halo.where(chosen), ready).applyInPandas(work(False), inner))
-    open_ = first.where("NOT whole").groupBy("series_id", "chunk").agg(F.sort_array(F.collect_set(F.struct("d", "p", "q"))).alias("orders"))
-    if open_.isEmpty():
-        return first.drop("chunk", "whole")
-    all_before = with_halo(rows, F.col("n")).join(open_.select("series_id", "chunk"), ["series_id", "chunk"], "left_semi")
-    again = tasks.drop("orders").join(open_, ["series_id", "chunk"]).withColumn(
-        "states", F.array().cast("array<struct<d:int,state:array<double>>>"))
-    second = _cogrouped(all_before.withMetadata("chunk", {"rows": chunk_rows_of(rows)}), again).applyInPandas(work(True), inner)
-    redone = open_.select("series_id", "chunk", F.inline("orders"))
-    return first.join(redone, ["series_id", "chunk", "d", "p", "q"], "left_anti").select(*second.columns).unionByName(second).drop("chunk", "whole")
+        return first.drop(*extra)
+    first = checkpointed(first)
+    cut = first.where("params IS NOT NULL")
+    if cut.isEmpty():
+        return first.drop(*extra)
+    runs = checkpointed(cut.groupBy(*ORDER_KEYS).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max_by("params", "place").alias("anchor")))
+    pivots = tasks.select("series_id", "pivot").distinct().join(runs.select("series_id").distinct(), "series_id")
+    found = refit(pack(rows, few_series(pivots, rows), max_p, max_d, chunk_rows), runs)
+    found = found.withColumnsRenamed({"params": "new", "s": "new_s"}).withColumn("found", F.lit(True))
+    joined = first.join(found, [*ORDER_KEYS, "place"], "left").withColumn("found", F.col("found") & F.col("params").isNotNull())
+    settled = F.when(F.col("params").isNull(), F.col("settled")).otherwise(F.coalesce("found", F.lit(False)))
+    columns = {"settled": settled, **{name: F.when(F.col("found"), value).otherwise(F.col(name)) for name, value in redo.items()}}
+    return joined.withColumns(columns).select(*[c for c in first.columns if c not in extra])
 
 
 def _head_grams(state: np.ndarray, shape: _Shape) -> np.ndarray:
@@ -213,62 +221,63 @@ def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: in
     rows, tasks = _prepare(df, candidates, shape, max_d, ratio, chunk_rows)
     scored = (F.col("chunk") + 1) * chunk_rows_of(rows) > holdout_point(F.col("n"), ratio)
 
-    def work(whole: bool):
-        def replay(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-            if task.empty or part.empty:
-                return _frame([])
-            part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
-            k = int(int(task["n"].iloc[0]) * ratio)
-            by_d: dict[int, list] = {}
-            for o in task["orders"].iloc[0]:
-                by_d.setdefault(o["d"], []).append((o["p"], o["q"]))
-            out = []
-            for d, orders in by_d.items():
-                y, seq, w, use = _differenced(part, d, whole)
-                target = part["own"].to_numpy() & (seq > k)
-                if not target.any():
-                    continue
-                state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
-                run, heads = shape.gram(state), _head_grams(state, shape)
-                run = run + _gram_of(w, use & ~target, shape.memory)
-                spots = np.flatnonzero(target)
-                first = max(int(spots[0]) - shape.memory, 0)
-                x = lagged_rows(w[first:], shape.memory)
-                size = max(16, min(1024, STACK_VALUES // shape.width**2))
-                for lo in range(0, len(spots), size):
-                    at = spots[lo:lo + size]
-                    rows_at = x[at - first]
-                    xs = np.where(use[at][:, None], rows_at, 0.0)
-                    # history before row i: what came before the stack plus the rows above i
-                    grams = np.empty((len(at) + 1, shape.width, shape.width))
-                    grams[0] = run
-                    np.multiply(xs[:, :, None], xs[:, None, :], out=grams[1:])
-                    np.cumsum(grams, axis=0, out=grams)
-                    grams, run = grams[:-1], grams[-1].copy()
-                    history = np.maximum(seq[at] - 1 - d, 0)
-                    for p, q in orders:
-                        out.append(_score(key, (p, d, q), grams, history, heads, rows_at, y[at], seq[at], w[d:] if whole else None, w[at]))
-            return _frame(out)
-        return replay
-
-    return _passes(rows, tasks, shape, max_d, max_q, scored, work, STEP_SCHEMA)
+    whole = single_chunk(rows)
+
+    def replay(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+        if task.empty or part.empty:
+            return _frame([])
+        part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
+        k = int(int(task["n"].iloc[0]) * ratio)
+        by_d: dict[int, list] = {}
+        for o in task["orders"].iloc[0]:
+            by_d.setdefault(o["d"], []).append((o["p"], o["q"]))
+        out = []
+        for d, orders in by_d.items():
+            y, seq, w, use = _differenced(part, d)
+            target = part["own"].to_numpy() & (seq > k)
+            if not target.any():
+                continue
+            state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
+            run, heads = shape.gram(state), _head_grams(state, shape)
+            run = run + _gram_of(w, use & ~target, shape.memory)
+            spots = np.flatnonzero(target)
+            first = max(int(spots[0]) - shape.memory, 0)
+            x = lagged_rows(w[first:], shape.memory)
+            size = max(16, min(1024, STACK_VALUES // shape.width**2))
+            for lo in range(0, len(spots), size):
+                at = spots[lo:lo + size]
+                rows_at = x[at - first]
+                xs = np.where(use[at][:, None], rows_at, 0.0)
+                # history before row i: what came before the stack plus the rows above i
+                grams = np.empty((len(at) + 1, shape.width, shape.width))
+                grams[0] = run
+                np.multiply(xs[:, :, None], xs[:, None, :], out=grams[1:])
+                np.cumsum(grams, axis=0, out=grams)
+                grams, run = grams[:-1], grams[-1].copy()
+                history = np.maximum(seq[at] - 1 - d, 0)
+                for p, q in orders:
+                    out.append(_score(key, (p, d, q), grams, history, heads, rows_at, y[at], seq[at], w[d:] if whole else None, w[at]))
+        return _frame(out)
+
+    redo = {"forecast": F.col("base") + F.col("following"), "error": F.lit(None).cast("string")}
+    return _passes(rows, tasks, shape, max_p, max_d, max_q, scored, replay, STEP_SCHEMA, chunk_rows, redo)
 
 
 def _score(key, order, grams, history, heads, x, y, seq, series, w) -> pd.DataFrame:
     """Forecasts of one order for a stack of rows; ``series`` is the differenced history, if all of it is at hand."""
     p, d, q = order
-    error, settled, whole = None, np.ones(len(y), dtype=bool), np.ones(len(y), dtype=bool)
+    error, settled, cut = None, np.ones(len(y), dtype=bool), np.full(len(y), None, dtype=object)
     try:
         params, v, _, settled = _fit_order(grams, history, heads, p, q, d)
         # the residual is linear in the row, so forecast = value - residual
         forecast = y - np.einsum("bi,bi->b", v, x[:, :v.shape[1]])
         short = history <= burn_in(p, q)
-        more = ~short & cut_matters(params, history, p, q, grams.shape[-1] - 2)
+        more = ~short & (cut_matters(params, history, p, q, grams.shape[-1] - 2) | ~settled)
         if more.any() and series is not None:
-            _, following, _, settled[more] = fit_whole(series, history[more], params[more], p, q, d == 0)
+            _, following, _, settled[more] = refit_prefixes(series, history[more], params[more], p, q, d == 0)
             forecast[more] = y[more] - w[more] + following
         elif more.any():
-            whole = ~more
+            cut[np.flatnonzero(more)] = [list(x) for x in params[more]]
         forecast = np.where(short, np.nan, forecast)
         error = "history too short for the order" if short.any() else None
     except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
@@ -276,7 +285,7 @@ def _score(key, order, grams, history, heads, x, y, seq, series, w) -> pd.DataFr
     errors = np.where(np.isfinite(forecast), None, error or "no finite forecast")
     return pd.DataFrame({"series_id": key[0], "p": p, "d": d, "q": q, "seq": seq, "actual": y,
                          "forecast": np.where(np.isfinite(forecast), forecast, np.nan), "error": errors, "settled": settled,
-                         "chunk": key[1], "whole": whole})
+                         "place": history, "base": y - w, "pivot": None, "params": cut})
 
 
 def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -299,24 +308,32 @@ def arima_fit(df: DataFrame, orders: DataFrame, *, max_p: int, max_d: int, max_q
     rows, tasks = _prepare(df, orders, shape, max_d, HOLDOUT_RATIO, chunk_rows)
     final = (F.col("chunk") + 1) * chunk_rows_of(rows) >= F.col("n")
 
-    def work(whole: bool):
-        def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-            if task.empty or part.empty:
-                return pd.DataFrame()
-            part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
-            return pd.DataFrame([_model(key, part, task, (o["p"], o["d"], o["q"]), shape, whole) for o in task["orders"].iloc[0]])
-        return finish
+    whole = single_chunk(rows)
+
+    def finish(key, part: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+        if task.empty or part.empty:
+            return pd.DataFrame()
+        part = part.sort_values("seq").assign(pivot=task["pivot"].iloc[0])
+        return pd.DataFrame([_model(key, part, task, (o["p"], o["d"], o["q"]), shape, whole) for o in task["orders"].iloc[0]])
+
+    ar, ma = F.expr("slice(new, 1, p)"), F.expr("slice(new, p + 1, q)")
+
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    return _passes(rows, tasks, shape, max_d, max_q, final, work, MODEL_SCHEMA)
+    redo = {"ar": ar, "ma": ma, "next_value": F.col("base") + F.col("following"),
+            "const": F.when(F.col("d") > 0, 0.0).otherwise(F.element_at("new", -1) * (1 + total(ma)) + F.col("pivot") * (1 - total(ar))),
+            "sigma2": F.col("new_s") / (F.col("place") - F.greatest(F.col("p"), F.col("q") + 1))}
+    return _passes(rows, tasks, shape, max_p, max_d, max_q, final, finish, MODEL_SCHEMA, chunk_rows, redo)
 
 
 def _model(key, part: pd.DataFrame, task: pd.DataFrame, order, shape: _Shape, whole: bool) -> dict:
-    """The fit of one order at the end of a series, whose last chunk ``part`` is (``whole``: with all rows before it)."""
+    """The fit of one order at the end of a series, whose last chunk ``part`` is (``whole``: there is no other)."""
     p, d, q = order
-    y, seq, w, use = _differenced(part, d, whole)
+    y, seq, w, use = _differenced(part, d)
     n = int(task["n"].iloc[0])
     model = {"series_id": key[0], "p": p, "d": d, "q": q, "n": n, "const": None, "ar": None, "ma": None, "sigma2": None,
-             "next_value": None, "error": None, "settled": True, "chunk": key[1], "whole": True}
+             "next_value": None, "error": None, "settled": True, "place": max(n - d, 0), "base": None, "pivot": None, "params": None}
     state = _with_own_head(_start_state(task, d, shape), seq, w, use, d, shape)
     gram = shape.gram(state) + _gram_of(w, use, shape.memory)
     history = np.array([max(n - d, 0)])
@@ -324,14 +341,16 @@ def _model(key, part: pd.DataFrame, task: pd.DataFrame, order, shape: _Shape, wh
         found, v, sigma2, settled = _fit_order(gram[None], history, _head_grams(state, shape), p, q, d)
         nxt = lagged_rows(np.append(w[-shape.memory:], 0.0), shape.memory)[-1]
         step = -float(v[0] @ nxt[:v.shape[1]])
-        if cut_matters(found, history, p, q, shape.memory)[0]:
-            model["whole"] = whole
+        if cut_matters(found, history, p, q, shape.memory)[0] or not settled[0]:
             if whole:
-                found, following, sigma2, settled = fit_whole(w[d:], history, found, p, q, d == 0)
+                found, following, sigma2, settled = refit_prefixes(w[d:], history, found, p, q, d == 0)
                 step = float(following[0])
+            else:
+                model["params"] = found[0].tolist()
         ar, ma = found[0, :p], found[0, p:p + q]
         pivot = float(part["pivot"].iloc[0]) if d == 0 else 0.0
         level = -y[-d:] @ _binomial(d) if d else pivot
+        model |= {"base": float(level), "pivot": pivot}
         model |= {"const": float(found[0, -1] * (1 + ma.sum()) + pivot * (1 - ar.sum())) if d == 0 else 0.0,
                   "ar": ar.tolist(), "ma": ma.tolist(), "sigma2": float(sigma2[0]),
                   "next_value": step + float(level), "settled": bool(settled[0])}

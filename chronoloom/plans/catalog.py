@@ -12,7 +12,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
@@ -701,21 +701,28 @@ def arima_fit(spark, sf):
 
 # (0,1,1) by brute force: the residual recursion runs for a grid of theta at once, then for ever finer grids around the best one.
 # A fit is (series_id, t): the history before row t. Residuals from the third on count.
-MA1 = """w AS (SELECT series_id, seq - 2 AS u, value - lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS w FROM idx QUALIFY seq >= 2),
-r0 AS (SELECT series_id, u, list_transform(range(0, 421), lambda i: -1.05 + i * 0.005) AS theta, list_transform(range(0, 421), lambda i: w) AS e,
-         list_transform(range(0, 421), lambda i: 0.0::DOUBLE) AS s FROM w WHERE u = 0
-       UNION ALL SELECT series_id, u, theta, e, list_transform(e, lambda v, i: s[i] + CASE WHEN u >= 2 THEN v * v ELSE 0 END)
-       FROM (SELECT w.series_id, w.u, theta, s, list_transform(e, lambda v, i: w.w - theta[i] * v) AS e
-             FROM r0 JOIN w ON w.series_id = r0.series_id AND w.u = r0.u + 1)),
-f0 AS (SELECT fits.series_id, t, theta[list_position(s, list_min(s))] AS theta FROM fits JOIN r0 ON r0.series_id = fits.series_id AND u = t - 3),
-{finer}""".format(finer=",\n".join(f"""r{k} AS (SELECT f{k - 1}.series_id, t, u, list_transform(range(-100, 101), lambda i: theta + i * {step}) AS theta,
+def _ma1_sql(steps: tuple[float, ...]) -> str:
+    """Fits by grids of theta, each around the best value of the one before; f{k} is the answer of the k-th finer one."""
+    grids = [f"""r{k} AS (SELECT f{k - 1}.series_id, t, u, list_transform(range(-100, 101), lambda i: theta + i * {step}) AS theta,
          list_transform(range(-100, 101), lambda i: w) AS e, list_transform(range(-100, 101), lambda i: 0.0::DOUBLE) AS s
        FROM f{k - 1} JOIN w ON w.series_id = f{k - 1}.series_id AND u = 0
        UNION ALL SELECT series_id, t, u, theta, e, list_transform(e, lambda v, i: s[i] + CASE WHEN u >= 2 THEN v * v ELSE 0 END)
        FROM (SELECT w.series_id, t, w.u, theta, s, list_transform(e, lambda v, i: w.w - theta[i] * v) AS e
              FROM r{k} JOIN w ON w.series_id = r{k}.series_id AND w.u = r{k}.u + 1 AND w.u <= t - 3)),
 f{k} AS (SELECT series_id, t, theta[list_position(s, list_min(s))] AS theta, list_min(s) AS s, e[list_position(s, list_min(s))] AS e
-       FROM r{k} WHERE u = t - 3)""" for k, step in ((1, 0.0001), (2, 0.000002))))
+       FROM r{k} WHERE u = t - 3)""" for k, step in enumerate(steps, 1)]
+    return """w AS (SELECT series_id, seq - 2 AS u, value - lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS w FROM idx QUALIFY seq >= 2),
+r0 AS (SELECT series_id, u, list_transform(range(0, 421), lambda i: -1.05 + i * 0.005) AS theta, list_transform(range(0, 421), lambda i: w) AS e,
+         list_transform(range(0, 421), lambda i: 0.0::DOUBLE) AS s FROM w WHERE u = 0
+       UNION ALL SELECT series_id, u, theta, e, list_transform(e, lambda v, i: s[i] + CASE WHEN u >= 2 THEN v * v ELSE 0 END)
+       FROM (SELECT w.series_id, w.u, theta, s, list_transform(e, lambda v, i: w.w - theta[i] * v) AS e
+             FROM r0 JOIN w ON w.series_id = r0.series_id AND w.u = r0.u + 1)),
+f0 AS (SELECT fits.series_id, t, theta[list_position(s, list_min(s))] AS theta FROM fits JOIN r0 ON r0.series_id = fits.series_id AND u = t - 3),
+""" + ",\n".join(grids)
+
+
+MA1 = _ma1_sql((0.0001, 0.000002))
+MA1_FINE = _ma1_sql((0.0001, 0.000002, 0.00000004))
 MA1_FIT = "SELECT series_id, t - 1 AS n, round(theta, 3) AS ma1, round(s / (t - 4) / var, 6) AS sigma2 FROM f2 JOIN (SELECT series_id, var_pop(w) AS var FROM w GROUP BY 1) USING (series_id)"
 
 
@@ -738,6 +745,111 @@ def arima_fit_ma1_events(spark, sf):
     return _ma1(events(spark, sf))
 
 
+ROLLING_MA1 = """SELECT f.series_id, f.t AS seq, round(y.value + f.theta * f.e, 2) AS forecast
+FROM {last} f JOIN idx y ON y.series_id = f.series_id AND y.seq = f.t - 1"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS_IDX}, fits AS (SELECT series_id, seq AS t FROM idx WHERE seq > CAST(trunc(n * 0.98::DOUBLE) AS BIGINT)),
+{MA1_FINE} {ROLLING_MA1.format(last='f3')}""")
+def rolling_ma1(spark, sf):
+    """(0,1,1) fitted again before each of the last rows, theta near -1, where no lag may be cut, on chunked series."""
+    rows = events(spark, sf)
+    orders = search.candidate_grid(rows, search.OrderGrid(p=(0,), d=(1,), q=(1,)))
+    steps = arima.rolling_steps(rows, orders, max_p=0, max_d=1, max_q=1, ratio=0.98)
+    return steps.select("series_id", "seq", rounded("forecast", 2))
+
+
+MA1_GRID = search.OrderGrid(p=(0,), d=(1,), q=(0, 1))
+AR_GRID = search.OrderGrid(p=(0, 1, 2), d=(1,), q=(0,))
+# steps (series_id, p, q, actual, f) to the best order
+SCORED = """scored AS (SELECT series_id, CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q, avg(abs((actual - f) / actual)) * 100 AS mape FROM steps GROUP BY ALL),
+best AS (SELECT series_id, round(mape, 4) AS mape, p, CAST(1 AS INTEGER) AS d, q, CASE WHEN mape < 100 THEN round(mape, 4) ELSE 100.0 END AS ref_mape,
+  CASE WHEN mape < 100 THEN p ELSE 0 END AS ref_p, CASE WHEN mape < 100 THEN 1 ELSE 0 END AS ref_d, CASE WHEN mape < 100 THEN q ELSE 0 END AS ref_q,
+  (SELECT count(DISTINCT (p, q)) FROM steps) AS n_candidates
+  FROM scored QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mape, p + q, p, q) = 1)"""
+MA1_STEPS = """steps AS (SELECT i.series_id, 0 AS p, 1 AS q, i.value AS actual, y.value + f3.theta * f3.e AS f FROM f3
+    JOIN idx i ON i.series_id = f3.series_id AND i.seq = t JOIN idx y ON y.series_id = f3.series_id AND y.seq = t - 1
+  UNION ALL SELECT series_id, 0, 0, actual, y1 FROM h WHERE seq > k)"""
+AR_STEPS = """steps AS (SELECT series_id, 0 AS p, 0 AS q, actual, y1 AS f FROM h WHERE seq > k
+  UNION ALL SELECT series_id, 1, 0, actual, f1 FROM f UNION ALL SELECT series_id, 2, 0, actual, f2 FROM f)"""
+
+
+# an account that even orders fill and odd ones empty: its steps are near white noise, so that a fit has one minimum
+BALANCE_IDX = """steps_by_month AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts,
+  avg(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -o_totalprice END) AS step FROM orders GROUP BY 1, 2),
+balance AS (SELECT series_id, ts, 1000000 + sum(step) OVER (PARTITION BY series_id ORDER BY ts) AS value FROM steps_by_month), """ + INDEX.format(
+    rows="balance", tie="")
+
+
+def balance_rows(spark: SparkSession, sf: str) -> DataFrame:
+    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")
+    signed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    steps = table(spark, sf, "orders").groupBy("o_orderpriority", month).agg(F.avg(signed).alias("step"))
+    value = 1000000 + F.sum("step").over(Window.partitionBy("o_orderpriority").orderBy("ts"))
+    return as_series(steps.withColumn("value", value), ["ts", "value"], "o_orderpriority")
+
+
+@query(f"""WITH RECURSIVE {BALANCE_IDX}, {HIST}, fits AS (SELECT series_id, seq AS t FROM h WHERE seq > k), {MA1_FINE}, {MA1_STEPS}, {SCORED}
+SELECT 's' AS session_id, 'tune' AS stage, CAST(0 AS BIGINT) AS n_filled, * FROM best""")
+@in_scratch
+def tune_ma1(spark, sf, folder):
+    """The result table of ``tune`` over (0,1,0) and (0,1,1)."""
+    layout = store.Layout(folder)
+    stages.tune(balance_rows(spark, sf), layout, "s", MA1_GRID)
+    return _stored_stage(spark, layout, "tune")
+
+
+@query(f"""WITH RECURSIVE {BALANCE_IDX}, {HIST}, fits AS (SELECT series_id, seq AS t FROM h WHERE seq > k), {MA1_FINE}, {MA1_STEPS}
+SELECT series_id, CAST(p AS INTEGER) AS p, CAST(1 AS INTEGER) AS d, CAST(q AS INTEGER) AS q, count(*) AS n_steps,
+  round(avg(abs((actual - f) / actual)) * 100, 4) AS mape FROM steps GROUP BY ALL""")
+def score_candidates_ma1(spark, sf):
+    """Every candidate's score, (0,1,0) in closed form and (0,1,1) by refits."""
+    rows = index_series(balance_rows(spark, sf))
+    scored = search.score_candidates(rows, search.candidate_grid(rows, MA1_GRID))
+    return scored.select("series_id", "p", "d", "q", "n_steps", rounded("mape", 4))
+
+
+@query(f"WITH {MONTHLY_IDX}, {HIST}, {W.format(rows='idx')}, {AR_STEPS}, {SCORED} SELECT * FROM best")
+def order_search_ar(spark, sf):
+    return _rounded_best(search.order_search(monthly(spark, sf), AR_GRID))
+
+
+# least squares of d = 1, p = 1 and 2 without constant on whole series
+AR_MODELS = """x AS (SELECT series_id, seq, n, value, value - lag(value, 1) OVER s AS w0, lag(value, 1) OVER s - lag(value, 2) OVER s AS w1,
+  lag(value, 2) OVER s - lag(value, 3) OVER s AS w2 FROM idx WINDOW s AS (PARTITION BY series_id ORDER BY seq)),
+sums AS (SELECT series_id, any_value(n) AS n, arg_max(value, seq) AS y, arg_max(w0, seq) AS l1, arg_max(w1, seq) AS l2,
+  sum(w0 * w0) FILTER (w1 IS NOT NULL) AS s00, sum(w0 * w1) AS s01, sum(w1 * w1) AS s11, sum(w0 * w0) FILTER (w2 IS NOT NULL) AS t00,
+  sum(w0 * w1) FILTER (w2 IS NOT NULL) AS t01, sum(w0 * w2) AS t02, sum(w1 * w1) FILTER (w2 IS NOT NULL) AS t11, sum(w1 * w2) AS t12, sum(w2 * w2) AS t22
+  FROM x GROUP BY 1),
+ab AS (SELECT *, s01 / s11 AS a, (t01 * t22 - t02 * t12) / (t11 * t22 - t12 * t12) AS a1, (t02 * t11 - t01 * t12) / (t11 * t22 - t12 * t12) AS a2 FROM sums),
+models AS (SELECT series_id, n, CAST(0 AS INTEGER) AS p, NULL::DOUBLE AS ar1, NULL::DOUBLE AS ar2, y AS next_value, NULL::DOUBLE AS share FROM ab
+  UNION ALL SELECT series_id, n, CAST(1 AS INTEGER), a, NULL, y + a * l1, (s00 - a * s01) / s00 FROM ab
+  UNION ALL SELECT series_id, n, CAST(2 AS INTEGER), a1, a2, y + a1 * l1 + a2 * l2, (t00 - a1 * t01 - a2 * t02) / t00 FROM ab)"""
+
+
+def _ar_models(models: DataFrame) -> DataFrame:
+    return models.select("series_id", "n", "p", *[rounded(F.get("ar", F.lit(k)), 6, f"ar{k + 1}") for k in (0, 1)], rounded("next_value", 2))
+
+
+@query(f"""WITH {EVENTS_IDX}, {AR_MODELS} SELECT series_id, n, p, round(ar1, 6) AS ar1, round(ar2, 6) AS ar2, round(next_value, 2) AS next_value
+FROM models WHERE p > 0""")
+def arima_fit_ar(spark, sf):
+    """(1,1,0) and (2,1,0) on whole, chunked series."""
+    rows = events(spark, sf)
+    return _ar_models(arima.arima_fit(rows, search.candidate_grid(rows, search.OrderGrid(p=(1, 2), d=(1,), q=(0,))), max_p=2, max_d=1, max_q=0))
+
+
+@query(f"""WITH {MONTHLY_IDX}, {HIST}, {W.format(rows='idx')}, {AR_STEPS}, {SCORED}, {AR_MODELS}
+SELECT series_id, n, p, round(ar1, 6) AS ar1, round(ar2, 6) AS ar2, round(next_value, 2) AS next_value FROM models JOIN best b USING (series_id, p)
+WHERE b.ref_d = 1""")
+@in_scratch
+def train_ar_models(spark, sf, folder):
+    """``train`` over autoregressive orders: the models that it leaves are the least-squares fits of the winners."""
+    layout = store.Layout(folder)
+    stages.train(monthly_rows(spark, sf), layout, "s", AR_GRID)
+    return _ar_models(store.load_model(spark, layout, "s").where("d = 1"))
+
+
 AR1_FIT = f"""WITH {EVENTS_IDX}, x AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS y1 FROM idx),
 m AS (SELECT series_id, any_value(n) AS n, regr_slope(value, y1) AS b, regr_intercept(value, y1) AS a,
   arg_max(value, seq) AS last FROM x GROUP BY 1)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from chronoloom.functions import affine
 from chronoloom.functions import arima as solver
 from chronoloom.operators import arima, search
 from chronoloom.operators.evaluate import mape, select_best
@@ -124,14 +125,108 @@ def test_chunks_agree_where_the_whole_history_is_needed(make):
         assert parts[key] == pytest.approx(value, rel=1e-5, abs=1e-5)
 
 
-def test_whole_recursion_equals_the_gram_matrix_where_nothing_is_cut():
-    w = arma(200, (0.5,), (0.6, 0.2), level=3, seed=1) - 3
-    x = solver.lagged_rows(w, 199)[solver.burn_in(1, 2):]
-    params, v, sigma2, settled = solver.fit((x.T @ x)[None], np.array([197.0]), 1, 2, True)
-    again, following, variance, also = solver.fit_whole(w, np.array([200]), params + 0.02, 1, 2, True)
-    assert settled.all() and also.all()
-    assert again == pytest.approx(params, abs=1e-4) and variance == pytest.approx(sigma2, rel=1e-8)
-    assert following[0] == pytest.approx(-(v[0] @ solver.lagged_rows(np.append(w, 0.0), 199)[-1]), abs=1e-3)
+def uncut(w, end, start, p, q, constant):
+    """The fit on ``w[:end]`` by plain recursion and Gauss-Newton steps, and the value that it expects next."""
+    burn, k = solver.burn_in(p, q), p + q + constant
+
+    def sweep(b):
+        e, de = np.zeros(end + 1), np.zeros((end + 1, k))
+        for t in range(end + 1):
+            past = [w[t - i] if t - i >= 0 else 0.0 for i in range(1, p + 1)]
+            errors = [e[t - j] if t - j >= 0 else 0.0 for j in range(1, q + 1)]
+            e[t] = (w[t] if t < end else 0.0) - np.dot(b[:p], past) - np.dot(b[p:p + q], errors)
+            de[t, :p], de[t, p:p + q] = [-x for x in past], [-x for x in errors]
+            for j in range(1, q + 1):
+                if t - j >= 0:
+                    de[t] -= b[p + j - 1] * de[t - j]
+        level = b[-1] if constant else 0.0
+        slopes = de.copy()
+        if constant:
+            slopes[:, -1] = -1.0
+        return e[burn:end] - level, slopes[burn:end], -e[end] + level
+
+    def evaluate(trial, rows):
+        found = [sweep(b) for b in trial]
+        return (np.array([r @ r for r, _, _ in found]), np.array([j.T @ r for r, j, _ in found]), np.array([j.T @ j for _, j, _ in found]))
+
+    params, s, settled = solver.descend(np.array([start], dtype=float), evaluate, 1e-15)
+    return params[0], s[0] / (end - burn), sweep(params[0])[2]
+
+
+@pytest.mark.parametrize("p,q,constant,phi,theta", [(0, 1, False, (), (-0.98,)), (0, 1, False, (), (-1.0,)), (1, 1, True, (0.5,), (-0.95,)),
+                                                    (1, 2, True, (0.4,), (-0.6, -0.3)), (0, 3, False, (), (0.5, 0.3, 0.15))])
+def test_refits_of_prefixes_equal_direct_fits(p, q, constant, phi, theta):
+    w = arma(400, phi, theta, seed=p + 3 * q)
+    ends = np.arange(280, 401)
+    start = np.tile([*[0.3] * p, *(np.array(theta) * 0.9), *[0.0] * constant], (len(ends), 1))
+    params, following, sigma2, settled = affine.refit_prefixes(w, ends, start, p, q, constant)
+    assert settled.all()
+    for i in (0, 50, 120):
+        want, variance, nxt = uncut(w, ends[i], start[i], p, q, constant)
+        assert params[i] == pytest.approx(want, abs=3e-6) and sigma2[i] == pytest.approx(variance, rel=1e-8)
+        assert following[i] == pytest.approx(nxt, abs=3e-6)
+
+
+@pytest.mark.parametrize("p,q,constant", [(0, 1, False), (2, 2, True)])
+def test_recursion_is_an_affine_map_of_the_state(p, q, constant):
+    """Slopes equal differences; stretches compose through their offsets and transfer matrices."""
+    w = arma(300, (0.5, 0.1)[:p], (0.4, 0.2)[:q])
+    k, rows = p + q + constant, affine.input_rows(w, p)[:-1]
+    at = np.array([0.4, 0.1][:p] + [0.3, 0.2][:q] + [0.7] * constant)
+
+    def terms(b):
+        r = affine.Recursion(b[None], p, q, constant)
+        return r.terms(r.sweep(rows)[0])[0]
+
+    recursion = affine.Recursion(at[None], p, q, constant)
+    values, end = recursion.sweep(rows)
+    middle, h = terms(at), 1e-4
+    assert middle[:, 0] == pytest.approx(residuals(w, at[:p], at[p:p + q], 0.0) - (0.7 if constant else 0.0), abs=1e-9)
+    for i in range(k):
+        step = np.eye(k)[i] * h
+        assert (terms(at + step) - terms(at - step))[:, 0] / (2 * h) == pytest.approx(middle[:, 1 + i], abs=1e-5)
+        for o, name in enumerate(recursion.further):
+            if name[-1] == i:
+                below = 1 + name[0] if len(name) == 2 else 1 + k + recursion.further.index(name[:-1])
+                assert (terms(at + step) - terms(at - step))[:, below] / (2 * h) == pytest.approx(middle[:, 1 + k + o], abs=2e-5)
+    first, state = recursion.sweep(rows[:137])
+    second, last = recursion.sweep(rows[137:], state)
+    assert np.concatenate([first, second], axis=1) == pytest.approx(values, abs=1e-9)
+    offset = recursion.sweep(rows[137:])[1]
+    assert (recursion.transfer(163) @ state[:, :, None])[:, :, 0] + offset == pytest.approx(end, abs=1e-9)
+    assert last == pytest.approx(end, abs=1e-9)
+
+
+def test_no_group_is_larger_than_a_chunk(make, monkeypatch):
+    """Packed chunks hold their rows and the few before them, whatever the history; the refit groups only chunk summaries."""
+    df = make({"near": np.cumsum(arma(900, (), (-0.98,), seed=6))})
+    seen = []
+    pack = arima.pack
+    monkeypatch.setattr(arima, "pack", lambda *a: seen.append(pack(*a)) or seen[-1])
+    steps = arima.rolling_steps(df, grid(df, [0], [1], [1]), max_p=0, max_d=1, max_q=1, chunk_rows=90)
+    assert all(r["settled"] for r in steps.collect())
+    sizes = [(r["chunk"], len(r["values"])) for r in seen[0].collect()]
+    assert sorted(c for c, _ in sizes) == list(range(10)) and max(n for _, n in sizes) == 91
+
+
+def test_long_history_takes_the_distributed_way(make):
+    """The same fits and forecasts in one chunk, in chunks and directly."""
+    w = arma(1500, (0.3,), (-0.97,), seed=11)
+    df = make({"a": w, "b": np.cumsum(arma(700, (), (-1.0,), seed=12)) + 40})
+    candidates = grid(df, [0, 1], [0, 1], [1])
+    options = dict(max_p=1, max_d=1, max_q=1)
+    one = {(r["series_id"], r["p"], r["d"]): r for r in arima.arima_fit(df, candidates, **options, chunk_rows=5000).collect()}
+    many = {(r["series_id"], r["p"], r["d"]): r for r in arima.arima_fit(df, candidates, **options, chunk_rows=200).collect()}
+    assert one.keys() == many.keys()
+    for key, r in one.items():
+        for column in ("ar", "ma", "const", "sigma2", "next_value"):
+            assert many[key][column] == pytest.approx(r[column], rel=1e-5, abs=1e-6), (key, column)
+        assert many[key]["settled"] == r["settled"]
+    steps = lambda rows: steps_of(arima.rolling_steps(df, candidates, **options, ratio=0.9, chunk_rows=rows))
+    whole, parts = steps(5000), steps(200)
+    assert whole.keys() == parts.keys()
+    for key, value in whole.items():
+        assert parts[key] == pytest.approx(value, rel=1e-5, abs=1e-5)
 
 
 def test_unsettled_fits_are_named(make, monkeypatch):
