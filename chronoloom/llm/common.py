@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
 
+#: Keys of 32 characters that are sent to every task rather than joined by shuffle, at most.
+BROADCAST_KEYS = 200_000
 #: Texts of one batch are worked on in runs of about this many bytes (a longer text is a run of its own).
 RUN_BYTES = 2_000_000
 
@@ -62,8 +64,9 @@ def without_texts(docs: DataFrame, text_col: str, judged: Callable[[DataFrame, s
     key = unused(docs, "text_key")
     of_text = F.coalesce(F.md5(F.col(f"`{text_col}`").cast("binary")), F.lit(""))
     rows = docs.withColumn(key, of_text if among is None else F.when(among, of_text))
-    gone = judged(rows, key).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return without(rows, key, checkpointed(gone)).drop(key)
+    gone = checkpointed(judged(rows, key).where("doc_id IS NOT NULL").select("doc_id").distinct())
+    # few keys go to the rows; many are joined by shuffle
+    return without(rows, key, F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone).drop(key)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, byte_texts, only, runs, without_texts
+from .common import by_value, byte_texts, only, runs
 
 UNDETERMINED = "und"
 #: Bytes that the network reads in one go; longer texts are several such stretches, all of them read.
@@ -196,6 +196,25 @@ def fit(docs: DataFrame, per_lang: int = 256, id_col: str = "doc_id", text_col:
     return train([text.encode() for _, text in sample], [lang for lang, _ in sample]) if sample else None
 
 
+def _shared(docs: DataFrame, network: Network | None):
+    """The network's arrays, sent to all tasks; plain values, since workers need not have this package."""
+    parts = None if network is None else tuple(getattr(network, f.name) for f in fields(network))
+    return docs.sparkSession.sparkContext.broadcast(parts)
+
+
+def _judged(net: Network | None, letter, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    texts, raw = column.to_pylist(), byte_texts(column)
+    lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    for a, b in runs(column):
+        rows = [i for i in range(a, b) if net is not None and texts[i] and letter(texts[i])]
+        if rows:
+            p = net.document_probabilities([raw[i] for i in rows])
+            for i, best, s in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
+                lang[i], score[i] = net.langs[best], min(float(s), 1.0)
+    return lang, score
+
+
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per input row, from the whole text; ``score`` is the mean probability over all bytes.
 
@@ -203,21 +222,14 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
     empty table gives an empty result.
     """
     by_value()
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = _shared(docs, network)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        net, letter = shared.value, regex.compile(r"\p{L}").search
+        net, letter = shared.value and Network(*shared.value), regex.compile(r"\p{L}").search
         for batch in batches:
-            texts, raw = batch.column(1).to_pylist(), byte_texts(batch.column(1))
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            for a, b in runs(batch.column(1)):
-                rows = [i for i in range(a, b) if net is not None and texts[i] and letter(texts[i])]
-                if rows:
-                    p = net.document_probabilities([raw[i] for i in rows])
-                    for i, best, s in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        lang[i], score[i] = net.langs[best], min(float(s), 1.0)
+            lang, score = _judged(net, letter, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
@@ -239,5 +251,16 @@ def known_language(docs: DataFrame, least: float = 0.3, per_lang: int = 256, id_
     network = fit(docs, per_lang, id_col, text_col, lang_col)
     if network is None:
         return docs
-    return without_texts(docs, text_col, lambda rows, key: predict(rows, network, key, text_col).where(
-        (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)))
+    by_value()
+    shared, at = _shared(docs, network), docs.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        net, letter = Network(*shared.value), regex.compile(r"\p{L}").search
+        for batch in batches:
+            lang, score = _judged(net, letter, batch.column(at))
+            yield batch.filter(pa.array((score >= least) & np.array([x != UNDETERMINED for x in lang], dtype=bool)))
+
+    # rows are judged and dropped where they are: nothing is shuffled
+    return docs.mapInArrow(task, docs.schema)

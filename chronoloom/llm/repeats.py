@@ -320,14 +320,16 @@ def repeated_windows(rows: DataFrame, size: int, window: int = 13) -> DataFrame:
     texts = rows.select("id", "salt", "text")
     counts = texts.mapInArrow(counted, "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
     overfull = [(r["level"], r["bucket"]) for r in counts.where(F.col("n") > GROUP_SUFFIXES // FINE).collect()]
-    routes = spark.sparkContext.broadcast(Routes(groups, overfull, window))
+    # plain values, since workers need not have this package
+    overfull = spark.sparkContext.broadcast(overfull)
 
     def repeated(parts: DataFrame, confirm: bool) -> DataFrame:
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            routes = Routes(groups, overfull.value, window)
             for k, (ids, salts, run) in enumerate(_runs(batches, window, confirm)):
-                yield _deal(TaskContext.get().partitionId() << 32 | k, ids, salts, run, routes.value, window)
+                yield _deal(TaskContext.get().partitionId() << 32 | k, ids, salts, run, routes, window)
 
         by_group = parts.mapInArrow(dealt, "group int, run long, " + ", ".join(f"{c} binary" for c in DEALT[2:])).groupBy("group")
         by_run = by_group.applyInArrow(lambda group: _repeats(group, window), "run long, " + ", ".join(f"{c} binary" for c in HITS[1:])).groupBy("run")

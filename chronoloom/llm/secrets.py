@@ -15,7 +15,7 @@ from .common import by_value, each_text, only
 
 #: Kinds of spans, in the order used for equal starts. The first three are plain patterns, the others are confirmed by their structure.
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "pkcs1", "pkcs8", "sec1", "openssh", "jwt")
+KINDS = (*BASE, "pkcs1", "pkcs8", "sec1", "openssh", "jwt", "dsa", "encrypted")
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -26,9 +26,9 @@ NAMES = ("passw", "secret", "token", "api")
 #: Anything may stand between the marks: ``armoured_kind`` sorts it out.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 #: Line ends and tabs written as escapes, also twice escaped, and escaped slashes.
-ESCAPED, SLASH = re.compile(r"\\+(?:[nrt]|u000[9aAdD])"), re.compile(r"\\+/")
+ESCAPED, SLASH = re.compile(r"(?<!\\)\\+(?:[nrt]|u000[9aAdD])"), re.compile(r"(?<!\\)\\+/")
 HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
-MARKS = re.compile(r"^[^A-Za-z0-9+/=_-]+|[^A-Za-z0-9+/=_-]+$")
+KEPT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")
 #: Ends and beginnings of string literals that are joined, with the operator between.
 JOINED = re.compile(r"""["'`][\s+.,;\\&_]*$|^[\s+.&]*["'`]""")
 
@@ -40,6 +40,8 @@ BASE64_KEY, HEXED_KEY = re.compile("M[A-P]|b3BlbnNzaC1rZXktdjE"), re.compile("30
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
 
 CONTAINER = b"openssh-key-v1\0"
+#: Object identifiers of password-based encryption begin with these (PKCS #5 and PKCS #12).
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
 
@@ -81,11 +83,16 @@ def key_kind(data: bytes | None) -> str | None:
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return None
     inner = elements(outer[0][1])
+    if inner and [tag for tag, _ in inner] == [SEQUENCE, OCTETS]:
+        algorithm = elements(inner[0][1])
+        return "encrypted" if algorithm and algorithm[0][0] == OID and algorithm[0][1].startswith(ENCRYPTION) and inner[1][1] else None
     if not inner or len(inner) < 2 or inner[0][0] != INTEGER or len(inner[0][1]) != 1:
         return None
     tags, version = [tag for tag, _ in inner], inner[0][1][0]
     if version <= 1 and len(inner) >= 9 and set(tags[:9]) == {INTEGER}:
         return "pkcs1"
+    if version == 0 and len(inner) == 6 and set(tags) == {INTEGER} and len(inner[1][1]) >= 64 and 16 <= len(inner[2][1]) <= 33:
+        return "dsa"
     if version <= 1 and len(inner) >= 3 and tags[1:3] == [SEQUENCE, OCTETS]:
         algorithm = elements(inner[1][1])
         return "pkcs8" if algorithm and algorithm[0][0] == OID and algorithm[0][1] else None
@@ -142,11 +149,21 @@ def _hexed_key(run: str) -> tuple[int, str] | None:
     return None
 
 
+def _inner(row: str) -> str:
+    """The row without the marks around it."""
+    first, end = 0, len(row)
+    while first < end and row[first] not in KEPT:
+        first += 1
+    while end > first and row[end - 1] not in KEPT:
+        end -= 1
+    return row[first:end]
+
+
 def armoured_kind(body: str) -> str | None:
     """The kind of key between armour marks: lines joined over white space, escaped line ends, quote marks and header lines."""
     split = SLASH.sub("/", ESCAPED.sub("\n", body)).splitlines()
     for literals in (False, True):
-        rows = [MARKS.sub("", JOINED.sub("", row) if literals else row) for row in split]
+        rows = [_inner(JOINED.sub("", row) if literals else row) for row in split]
         rows = [row for row in rows if not HEADER.match(row)]
         if kind := key_kind(decoded("".join("".join(rows).split()))):
             return kind

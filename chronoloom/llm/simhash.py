@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_value, byte_texts, checkpointed, only, spread, unused, without
+from .common import LOWER, by_value, byte_texts, checkpointed, only, spread, unused
 from .components import connected_components
 
 SEED = 42
@@ -173,15 +173,23 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without those whose id is not the smallest of their component.
+    """The input rows without near copies: of the rows whose texts are in one component, the one of the smallest id stays.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id stay: nothing names them.
+    Each row is judged by its own text, also where rows share an id. Among rows of the smallest id the one of the smallest text
+    key (MD5) stays, of rows that repeat both any one. A null id comes after all others. Null and empty texts are one component.
     """
-    groups = checkpointed(simhash_groups(docs, shingle, max_bits, id_col, text_col))
-    left = without(docs, id_col, groups.where("doc_id != component_id").select("doc_id").distinct())
-    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    key, name = unused(docs, "text_key"), unused(docs, "kept_key")
+    rows = docs.withColumn(key, F.coalesce(F.md5(F.col(f"`{text_col}`").cast("binary")), F.lit("")))
+    groups = simhash_groups(rows, shingle, max_bits, key, text_col).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("unnamed"), F.col(f"`{id_col}`").alias("id"))
+    texts = rows.groupBy(F.col(key).alias("key")).agg(F.min(own).alias("own"), F.count("*").alias("n"))
+    first = F.min(F.struct("own.unnamed", "own.id", "key")).alias("first")
+    kept = checkpointed(texts.join(groups, "key").groupBy("component_id").agg(first).select(
+        F.col("first.id").alias(f"{name}_id"), F.col("first.key").alias(name)))
+    left = rows.join(kept, (F.col(key) == F.col(name)) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{name}_id")), "left_semi")
+    twice = checkpointed(rows.groupBy(key, F.col(f"`{id_col}`").alias(f"{name}_id")).count().where("count > 1").select(F.col(key).alias(name)).distinct())
     if twice.isEmpty():
-        return left
-    name = unused(docs, "twice_id")
-    again = left.join(twice.toDF(name), F.col(f"`{id_col}`") == F.col(name), "left_semi")
-    return without(left, id_col, twice).unionByName(again.dropDuplicates([id_col]))
+        return left.drop(key)
+    # one of the rows that repeat id and text
+    again = left.join(twice, F.col(key) == F.col(name), "left_semi").dropDuplicates([key])
+    return left.join(twice, F.col(key) == F.col(name), "left_anti").unionByName(again).drop(key)

@@ -413,3 +413,53 @@ def test_op7_on_held_out_documents(spark, documents):
     assert np.mean([got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]) >= 0.97
 
 
+
+
+def test_runs_of_marks_take_linear_time():
+    """Long runs of backslashes, marks and quotes between armour marks."""
+    import time
+
+    for run in ("\\" * 2_000_000, "a" + "!" * 2_000_000 + "a", '"' * 2_000_000, " \\" * 1_000_000):
+        start = time.perf_counter()
+        assert structured("-----BEGIN PRIVATE KEY-----" + run + "-----END PRIVATE KEY-----") == []
+        assert time.perf_counter() - start < 20
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x80 | (size.bit_length() + 7) // 8]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+def test_encrypted_and_dsa_keys():
+    oid = bytes.fromhex("2a864886f70d01050d")
+    encrypted = der(0x30, der(0x30, der(0x06, oid), der(0x30, der(0x04, b"s" * 8))), der(0x04, b"\x91" * 160))
+    digest = der(0x30, der(0x30, der(0x06, bytes.fromhex("608648016503040201")), der(0x05)), der(0x04, b"h" * 32))
+    number = lambda n: der(0x02, b"\x01" + b"\x5a" * (n - 1))
+    dsa = der(0x30, der(0x02, b"\0"), number(128), number(20), number(128), number(128), number(20))
+    for data, kind in ((encrypted, "encrypted"), (dsa, "dsa"), (digest, None)):
+        assert secrets.key_kind(data) == kind
+        run = base64.b64encode(data).decode()
+        assert structured(f"key {run} end") == ([(4, 4 + len(run), kind)] if kind else [])
+
+
+def test_workers_without_the_package(tmp_path):
+    """Task functions and what they are sent are plain values: queries run where workers cannot import this package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from chronoloom.session import builder
+spark = builder("bare", **{{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": {str(tmp_path / "c")!r}}}).master("local[2]").getOrCreate()
+import __spark_entry__ as registered
+for name in ("op5_substring_dedup", "op7_language_id", "op12_phrases", "op13_hard_negatives", "rolling_ma1"):
+    print(name, registered.queries()[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
