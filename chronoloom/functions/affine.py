@@ -32,18 +32,19 @@ PIECES = 4
 MAX_ROUNDS = 40
 
 
-def derivatives(p: int, q: int) -> list[tuple[int, ...]]:
+def derivatives(p: int, q: int, order: int = 3) -> list[tuple[int, ...]]:
     """Parameters of each value of a recursion: e itself, first, second and third derivatives. Residuals are linear in phi."""
-    return [(), *[(i,) for i in range(p + q)], *[(i, j) for j in range(p, p + q) for i in range(j + 1)],
-            *[(i, j, k) for k in range(p, p + q) for j in range(p, k + 1) for i in range(j + 1)]]
+    names = [(), *[(i,) for i in range(p + q)], *[(i, j) for j in range(p, p + q) for i in range(j + 1)],
+             *[(i, j, k) for k in range(p, p + q) for j in range(p, k + 1) for i in range(j + 1)]]
+    return [name for name in names if len(name) <= order]
 
 
 class Recursion:
-    """The recursion of e and its derivatives up to third order for a stack of parameters."""
+    """The recursion of e and its derivatives up to an order for a stack of parameters."""
 
-    def __init__(self, params: np.ndarray, p: int, q: int, constant: bool):
+    def __init__(self, params: np.ndarray, p: int, q: int, constant: bool, order: int = 3):
         self.params, self.p, self.q, self.constant = params, p, q, constant
-        self.names = derivatives(p, q)
+        self.names = derivatives(p, q, order)
         at = {name: o for o, name in enumerate(self.names)}
         b, self.n_out = len(params), len(self.names)
         self.size = self.n_out * q
@@ -56,7 +57,7 @@ class Recursion:
                 if i >= p:
                     self.weights[:, o, at[name[:k] + name[k + 1:]] * q + i - p] -= 1.0
         self.step = np.zeros((b, self.size, self.size))
-        for o in range(self.n_out):
+        for o in range(self.n_out if q else 0):
             self.step[:, o * q] = self.weights[:, o]
             for lag in range(1, q):
                 self.step[:, o * q + lag, o * q + lag - 1] = 1.0
@@ -64,14 +65,16 @@ class Recursion:
         self.enter[:, 0, 0] = 1.0
         for i in range(p):
             self.enter[:, 0, 1 + i] = -params[:, i]
-            self.enter[:, 1 + i, 1 + i] = -1.0
+            if order:
+                self.enter[:, 1 + i, 1 + i] = -1.0
         self._blocks(max(BLOCK, q))
 
     def _blocks(self, rows: int) -> None:
         """What a block of rows answers to its inputs and to the state it starts from."""
         b, p, q, self.rows = len(self.params), self.p, self.q, rows
         inner = np.zeros((b, self.size, 1 + p))
-        inner[:, ::q] = self.enter
+        if q:
+            inner[:, ::q] = self.enter
         state = np.concatenate([np.broadcast_to(np.eye(self.size), (b, self.size, self.size)), inner], axis=2)
         answers = np.empty((b, rows, self.n_out, self.size + 1 + p))
         with np.errstate(all="ignore"):
@@ -108,7 +111,8 @@ class Recursion:
             values += (states @ self.of_state.transpose(0, 2, 1)).reshape(values.shape)
         values = values.reshape(b, blocks * rows, self.n_out)[:, :n]
         before = start.reshape(b, self.n_out, self.q).transpose(0, 2, 1)[:, ::-1]
-        last = np.concatenate([before, values], axis=1)[:, -self.q:]
+        last = np.concatenate([before, values], axis=1)
+        last = last[:, last.shape[1] - self.q:]
         return values, last[:, ::-1].transpose(0, 2, 1).reshape(b, self.size)
 
     def terms(self, values: np.ndarray) -> np.ndarray:

@@ -872,6 +872,28 @@ def load_model(spark, sf, folder):
                         rounded("next_value", 5))
 
 
+@query(f"""WITH RECURSIVE {EVENTS_IDX}, r AS (SELECT series_id, seq, n, value, 10.0::DOUBLE AS f FROM idx WHERE seq = 1
+  UNION ALL SELECT i.series_id, i.seq, i.n, i.value, 10 + 0.3 * r.value - 0.4 * (r.value - r.f)
+  FROM r JOIN idx i ON i.series_id = r.series_id AND i.seq = r.seq + 1)
+SELECT series_id, seq, n, round(f, 6) AS forecast, round(value - f, 6) AS residual FROM r WHERE seq > CAST(trunc(n * 0.7::DOUBLE) AS BIGINT)""")
+@in_scratch
+def follow(spark, sf, folder):
+    """Stored models go over the older rows, are stored with their state and forecast the newer ones, by chunks."""
+    rows, layout = events(spark, sf), store.Layout(folder)
+    number = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<double>")
+    models = rows.groupBy("series_id").agg(F.max("n").alias("n")).select(
+        "series_id", *[F.lit(v).cast("int").alias(c) for c, v in (("p", 1), ("d", 0), ("q", 1))], F.lit(10.0).alias("const"),
+        number([0.3]).alias("ar"), number([-0.4]).alias("ma"))
+    store.save_model(models, layout, "s")
+    older = rows.where(F.col("seq") <= F.floor(F.col("n").cast("double") * 0.7))
+    stages.follow(older, layout, "s", chunk_rows=256)
+    # the last rows alone: what lies before them comes from the stored state
+    newer = rows.where(F.col("seq") > F.floor(F.col("n").cast("double") * 0.65))
+    found = stages.follow(newer, layout, "s", chunk_rows=256)
+    seen = store.load_model(spark, layout, "s").select("series_id", "n")
+    return found.join(seen, "series_id").select("series_id", "seq", "n", rounded("forecast"), rounded(F.col("actual") - F.col("forecast"), 6, "residual"))
+
+
 def _stored_results(spark, sf, folder: str, stage: str) -> DataFrame:
     """Two runs of the closed-form search in a result table; the later one counts."""
     layout = store.Layout(folder)

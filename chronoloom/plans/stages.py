@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.arima import arima_fit
+from ..operators.carry import carry_forward, without_history
 from ..operators.evaluate import select_best
 from ..operators.index import as_series, index_series, some_rows
 from ..operators.prepare import check_schema, checked_sizes, fill_missing, truncate_value
 from ..operators.scale import ScaleStep, apply_scaler, scale_fit
 from ..operators.search import OrderGrid, order_search, score_candidates, suggest_orders
 from ..operators.split import chrono_split
+from ..session import checkpointed
 from ..sources import store
 from ..sources.files import read_series, write_series, write_split
 from ..sources.store import Layout
@@ -149,3 +151,24 @@ def retrain(spark: SparkSession, source: TableSource, table: str, columns: Seque
         store.write_result(best, layout, session_id, "retrain", run_ts, filled)
         _fit_and_save(current, orders, layout, session_id, run_ts)
     return store.newest(store.read_results(spark, layout), session_id, "retrain")
+
+
+def follow(series: DataFrame, layout: Layout, session_id: str, **options) -> DataFrame:
+    """One-step forecasts of the rows that the stored models have not seen, without a refit; the models are stored as they are after them.
+
+    ``series`` (series_id, seq, value) is numbered from the start of each series and may begin anywhere before the first new row. Models
+    stored without a state are run over all of it first.
+    """
+    spark = series.sparkSession
+    models = store.load_model(spark, layout, session_id).drop("trained_on", "version")
+    if "residuals" not in models.columns:
+        models = without_history(models)
+    else:
+        fresh = F.col("residuals").isNull()
+        empty = F.array().cast("array<double>")
+        models = models.withColumns({"n": F.when(fresh, 0).otherwise(F.col("n")).cast("bigint"), "last": F.coalesce("last", empty),
+                                     "residuals": F.coalesce("residuals", empty)})
+    forecasts, after = carry_forward(checkpointed(models), series, **options)
+    forecasts = checkpointed(forecasts)
+    store.save_model(after, layout, session_id)
+    return forecasts

@@ -85,6 +85,6 @@ def save_model(models: DataFrame, layout: Layout, session_id: str, run_ts: dt.da
 
 def load_model(spark: SparkSession, layout: Layout, session_id: str) -> DataFrame:
     """The latest model of each series."""
-    models = spark.read.parquet(layout.path("models", session_id))
+    models = spark.read.option("mergeSchema", True).parquet(layout.path("models", session_id))
     fields = [c for c in models.columns if c != "series_id"]
     return models.groupBy("series_id").agg(F.max_by(F.struct(*fields), "version").alias("m")).select("series_id", "m.*")
