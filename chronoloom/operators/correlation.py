@@ -113,6 +113,12 @@ def immediate_run(pairs: Column) -> Column:
     return F.when(pairs.isNotNull() & (run >= 1), F.sequence(F.lit(1), run)).otherwise(F.array().cast("array<int>"))
 
 
+def full_run(pairs: Column) -> Column:
+    """All significant lags, lag 0 included; empty for NULL."""
+    found = F.filter(F.transform(pairs, lambda p, i: F.when(F.abs(p["value"]) >= p["bound"], i)), lambda i: i.isNotNull())
+    return F.when(pairs.isNotNull(), found).otherwise(F.array().cast("array<int>"))
+
+
 def durbin_levinson(r: Column, lags: Column) -> Column:
     """Partial autocorrelations 1..lags from autocorrelations ``r`` (``r[0] = 1``)."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import absolute_percentage
 from ..session import checkpointed
 from . import arima
-from .correlation import acf_pairs, immediate_run, lag_products, pacf_pairs
+from .correlation import acf_pairs, full_run, immediate_run, lag_products, pacf_pairs
 from .difference import difference_by
 from .evaluate import ORDER, mape, select_best
 from .forecast import CLOSED_FORM, closed_form_forecasts, order_name
@@ -27,14 +27,16 @@ class OrderGrid:
     d: Sequence[int] | None = None
     q: Sequence[int] | None = None
     include_zero: bool = False  # add 0 to the p and q found in the data
+    full: bool = False  # all significant lags (0 among them), not only the first unbroken run of them
 
     @property
     def explicit(self) -> bool:
         return None not in (self.p, self.d, self.q)
 
 
-def suggest_orders(df: DataFrame, max_d: int | None = None) -> DataFrame:
-    """``(series_id, d, p_values, q_values)`` from unit-root test, PACF and ACF.
+def suggest_orders(df: DataFrame, max_d: int | None = None, full: bool = False) -> DataFrame:
+    """``(series_id, d, p_values, q_values)`` from unit-root test, PACF and ACF: the first unbroken run of significant lags, or
+    with ``full`` all significant lags and 0.
 
     ``d`` is NULL, and the ranges empty, for a series without an answer
     (constant, too short, or not stationary within ``max_d`` differences if that is given).
@@ -44,8 +46,8 @@ def suggest_orders(df: DataFrame, max_d: int | None = None) -> DataFrame:
     most = int(d.agg(F.max("d")).first()[0] or 0) if max_d is None else max_d
     flat = difference_by(held(attach(df, d), df), most)
     products = pacf_pairs(acf_pairs(lag_products(flat, keep="d")))
-    return products.select("series_id", "d", immediate_run(F.col("pacf")).alias("p_values"),
-                           immediate_run(F.col("acf")).alias("q_values"))
+    run = full_run if full else immediate_run
+    return products.select("series_id", "d", run(F.col("pacf")).alias("p_values"), run(F.col("acf")).alias("q_values"))
 
 
 def candidate_grid(series: DataFrame, grid: OrderGrid, suggestions: DataFrame | None = None) -> DataFrame:
@@ -148,7 +150,7 @@ def score_candidates(df: DataFrame, candidates: DataFrame, *, orders=None, **opt
 def order_search(df: DataFrame, grid: OrderGrid, *, max_d: int | None = None, **options) -> DataFrame:
     """Best order per series over the grid (see ``select_best`` for the columns)."""
     df = counted(df)
-    suggestions = None if grid.explicit else suggest_orders(df, max_d)
+    suggestions = None if grid.explicit else suggest_orders(df, max_d, grid.full)
     candidates = candidate_grid(df, grid, suggestions)
     orders = None
     if suggestions is not None:

@@ -546,6 +546,19 @@ def suggest_orders(spark, sf):
     return _suggested(search.suggest_orders(monthly(spark, sf)))
 
 
+SUGGEST_FULL = SUGGEST[:SUGGEST.index("runs AS (")] + """runs AS (SELECT series_id, 'p' AS kind, lag FROM pacf WHERE abs(value) >= bound
+  UNION ALL SELECT series_id, 'q', lag FROM acf WHERE abs(value) >= bound),
+lists AS (SELECT series_id, kind, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS lags FROM runs GROUP BY 1, 2)
+SELECT best_d.series_id, d, p.lags AS p_values, q.lags AS q_values
+FROM best_d JOIN lists p ON p.series_id = best_d.series_id AND p.kind = 'p' JOIN lists q ON q.series_id = best_d.series_id AND q.kind = 'q'"""
+
+
+@query(f"WITH RECURSIVE {MONTHLY_IDX}, {V_ALL}, {ADF}, {BEST_D}, {SUGGEST_FULL}")
+def suggest_orders_full(spark, sf):
+    """All significant lags as candidates."""
+    return _suggested(search.suggest_orders(monthly(spark, sf), full=True))
+
+
 @query(f"WITH RECURSIVE {EVENTS}, idx AS (SELECT * REPLACE (trunc(value) AS value) FROM ({INDEX.format(rows='raw', tie=', event_id')[8:-1]})), "
        f"{V_ALL.replace(' UNION ALL ' + NTH.format(d=2) + ' UNION ALL ' + NTH.format(d=3), '')}, {ADF}, {BEST_D}, {SUGGEST}")
 def suggest_orders_events(spark, sf):

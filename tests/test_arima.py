@@ -354,6 +354,16 @@ def test_candidates(make, spark, h):
     assert sorted(r[0] for r in some.collect()) == ["a"] * 6 + ["b"] * 2 + ["c"] * 4
 
 
+def test_full_ranges_as_candidates(make):
+    """All significant lags and 0, by themselves and through the grid."""
+    df = make({"a": arma(120, (0.7,), level=40, seed=1)})
+    run, every = (search.suggest_orders(df, full=full).first() for full in (False, True))
+    assert every["p_values"][0] == every["q_values"][0] == 0 and run["d"] == every["d"]
+    assert set(run["p_values"]) <= set(every["p_values"]) and set(run["q_values"]) <= set(every["q_values"])
+    best = search.order_search(df, search.OrderGrid(q=[0], full=True)).first()
+    assert best["n_candidates"] == len(every["p_values"])
+
+
 def test_search_is_no_worse_than_any_candidate(make):
     df = make({"a": arma(60, (0.5,), level=40, seed=1), "b": arma(50, (), (0.5,), level=40, seed=2)})
     candidates = grid(df, [0, 1], [0, 1], [0, 1])
