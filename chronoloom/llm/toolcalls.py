@@ -94,40 +94,76 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     ``calls`` (conv_id, call_id, parent_id, name, arguments as JSON text), ``results`` (conv_id, call_id, content); other columns
     are ignored. Calls and results meet in a hash join on their identifiers, results counted and reduced to the least
     content first, so that an identifier that very many rows share is one row. ``message`` is canonical JSON: sorted keys
-    at every level, no white space, null for arguments that do not parse and for a missing result.
+    at every level, no white space, the text as a string for arguments that do not parse, null for missing ones and for a missing result.
 
-    Rows that repeat an identifier are one call (the least of parent, name and arguments stands) and ``copies`` counts them. Null
+    Equal rows are one call or result. Of different calls that share an identifier the least of parent, name and arguments is linked, with the least
+    result, and ``copies`` and ``n_results`` count all of them; each other call and each other result is a row of its own, without a
+    place in the order (depth null), so that none is lost. All these rows have the error 'repeated id'. Null
     identifiers are dropped. A null conversation is a conversation of its own. ``errors`` lists what the schema of the call's
     name forbids ('unknown name', 'not an object', 'x:missing', 'x:type', 'x:range', 'x:unknown'), and 'no result', 'no parent',
-    'circle', 'no call'. Empty tables give no rows.
+    'circle', 'no call', 'repeated id'. Empty tables give no rows.
     """
     body = F.struct("parent_id", "name", "arguments")
     conv = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"))
     one = calls.where("call_id IS NOT NULL").select(conv.alias("conv"), F.col("conv_id").alias("shown"), "call_id", body.alias("body")).groupBy(
-        "conv", "call_id").agg(F.min("shown").alias("shown"), F.min("body").alias("body"), F.count("*").alias("copies"))
-    one = checkpointed(one.select(F.col("conv").alias("conv_id"), "call_id", "shown", "copies", "body.*"))
+        "conv", "call_id").agg(F.min("shown").alias("shown"), F.min("body").alias("body"), F.count("*").alias("copies"),
+                               (~F.min("body").eqNullSafe(F.max("body"))).alias("several"))
+    one = checkpointed(one.select(F.col("conv").alias("conv_id"), "call_id", "shown", "copies", "several", "body.*"))
     answers = results.where("call_id IS NOT NULL").select(conv.alias("conv"), F.col("conv_id").alias("shown"), "call_id", "content").groupBy(
-        "conv", "call_id").agg(F.min("shown").alias("r_shown"), F.count("*").alias("n_results"), F.min("content").alias("content")).withColumnRenamed("conv", "conv_id")
+        "conv", "call_id").agg(F.min("shown").alias("r_shown"), F.count("*").alias("n_results"), F.min("content").alias("content"),
+        (~F.min("content").eqNullSafe(F.max("content"))).alias("several_results")).withColumnRenamed("conv", "conv_id")
     depths = call_depths(one.select("conv_id", "call_id", "parent_id"))
     known = one.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("parent_there"))
     linked = (one.join(depths, ["conv_id", "call_id"]).join(known, ["conv_id", "parent_id"], "left")
               .join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left"))
-    arguments = F.to_json(F.try_parse_json(F.col("arguments")))
-    parts = (("arguments", F.coalesce(arguments, F.lit("null"))), ("id", _quoted(F.col("call_id"))), ("name", _quoted(F.col("name"))),
-             ("parent", _quoted(F.col("parent_id"))), ("result", _quoted(F.col("content"))))
-    message = F.concat(F.lit("{"), *[F.concat(F.lit(("," if k else "") + f'"{n}":'), c) for k, (n, c) in enumerate(parts)], F.lit("}"))
+    arguments = F.coalesce(F.to_json(F.try_parse_json(F.col("arguments"))), _quoted(F.col("arguments")))
+
+    def written(arguments: Column, name: Column, parent: Column, result: Column) -> Column:
+        parts = (("arguments", arguments), ("id", _quoted(F.col("call_id"))), ("name", name), ("parent", parent), ("result", result))
+        return F.concat(F.lit("{"), *[F.concat(F.lit(("," if k else "") + f'"{n}":'), c) for k, (n, c) in enumerate(parts)], F.lit("}"))
+
+    message = written(arguments, _quoted(F.col("name")), _quoted(F.col("parent_id")), _quoted(F.col("content")))
+    repeated = F.array_compact(F.array(F.when(F.col("several") | F.coalesce("several_results", F.lit(False)), "repeated id")))
     links = F.array_compact(F.array(
         F.when(F.col("n_results").isNull(), "no result"), F.when(F.col("depth").isNull(), "circle"),
         F.when(F.col("parent_id").isNotNull() & F.col("parent_there").isNull(), "no parent")))
     found = linked.select(
         F.col("shown").alias("conv_id"), "call_id", "parent_id", "name", "depth", "copies", F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.array_sort(links)).alias("errors"), message.alias("message"))
+        F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.array_sort(links), repeated).alias("errors"), message.alias("message"))
     lost = answers.join(one.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select(
         F.col("r_shown").alias("conv_id"), "call_id", F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("long").alias("depth"), F.lit(0).cast("long").alias("copies"), "n_results", F.array(F.lit("no call")).alias("errors"),
-        F.concat(F.lit('{"arguments":null,"id":'), _quoted(F.col("call_id")), F.lit(',"name":null,"parent":null,"result":'),
-                 _quoted(F.col("content")), F.lit("}")).alias("message"))
-    return found.unionByName(lost)
+        F.lit(None).cast("long").alias("depth"), F.lit(0).cast("long").alias("copies"), "n_results",
+        F.when(F.col("several_results"), F.array(F.lit("no call"), F.lit("repeated id"))).otherwise(F.array(F.lit("no call"))).alias("errors"),
+        written(F.lit("null"), F.lit("null"), F.lit("null"), _quoted(F.col("content"))).alias("message"))
+    if one.where("several").isEmpty() and answers.where("several_results").isEmpty():
+        return found.unionByName(lost)
+    # each further call and result, told from the linked one by its whole content, so that no identifier is a hot key
+    shown, none = F.col("shown").alias("conv_id"), F.lit(None).cast("string")
+    calls_of = calls.where("call_id IS NOT NULL").select(conv.alias("key"), F.col("conv_id").alias("shown"), "call_id", "parent_id", "name", "arguments").groupBy(
+        "key", "call_id", "parent_id", "name", "arguments").agg(F.min("shown").alias("shown"), F.count("*").alias("copies"))
+    linked_call = one.select(F.col("conv_id").alias("key"), *[F.col(c).alias(f"l_{c}") for c in ("call_id", "parent_id", "name", "arguments")])
+    further = _except(calls_of, linked_call, ("call_id", "parent_id", "name", "arguments")).select(
+        shown, "call_id", "parent_id", "name", F.lit(None).cast("long").alias("depth"), "copies", F.lit(0).cast("long").alias("n_results"),
+        F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.array(F.lit("repeated id"))).alias("errors"),
+        written(arguments, _quoted(F.col("name")), _quoted(F.col("parent_id")), F.lit("null")).alias("message"))
+    results_of = results.where("call_id IS NOT NULL AND content IS NOT NULL").select(
+        conv.alias("key"), F.col("conv_id").alias("shown"), "call_id", "content").groupBy(
+        "key", "call_id", "content").agg(F.min("shown").alias("shown"), F.count("*").alias("n_results"))
+    linked_result = answers.select(F.col("conv_id").alias("key"), F.col("call_id").alias("l_call_id"), F.col("content").alias("l_content"))
+    other = _except(results_of, linked_result, ("call_id", "content")).select(
+        shown, "call_id", none.alias("parent_id"), none.alias("name"), F.lit(None).cast("long").alias("depth"), F.lit(0).cast("long").alias("copies"),
+        "n_results", F.array(F.lit("repeated id")).alias("errors"),
+        written(F.lit("null"), F.lit("null"), F.lit("null"), _quoted(F.col("content"))).alias("message"))
+    return found.unionByName(lost).unionByName(further).unionByName(other)
+
+
+def _except(rows: DataFrame, linked: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows that are not in ``linked`` (key, l_...), compared in the key and all of these columns, null with null."""
+    linked = linked.withColumnRenamed("key", "l_key")
+    same = F.col("key") == F.col("l_key")
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"l_{c}"))
+    return rows.join(linked, same, "left_anti")
 
 
 #: What the turns of a conversation are as calls.

@@ -101,10 +101,13 @@ def test_calls_are_linked_ordered_and_written(spark):
     results = [(1, "root", "3"), (1, "root", "2"), (1, "stray", "?"), (None, "root", None), (2, None, "z")]
     out = toolcalls.link_calls(spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, name string, arguments string"),
                                spark.createDataFrame(results, "conv_id long, call_id string, content string"), SCHEMAS)
-    got = {(r["conv_id"], r["call_id"]): r for r in out.collect()}
-    assert len(got) == out.count() == 9
+    rows = out.collect()
+    other = [r for r in rows if r["depth"] is None and "repeated id" in r["errors"]]
+    got = {(r["conv_id"], r["call_id"]): r for r in rows if r not in other}
+    assert len(got) == len(rows) - 1 == 9
+    assert [(r["conv_id"], r["call_id"], json.loads(r["message"])["result"]) for r in other] == [(1, "root", "3")]
     root = got[1, "root"]
-    assert (root["depth"], root["copies"], root["n_results"], list(root["errors"])) == (0, 2, 2, [])
+    assert (root["depth"], root["copies"], root["n_results"], list(root["errors"])) == (0, 2, 2, ["repeated id"])
     assert root["message"] == '{"arguments":{"a":2,"b":1},"id":"root","name":"add","parent":null,"result":"2"}'
     assert got[1, "next"]["depth"] == 1 and list(got[1, "next"]["errors"]) == ["no result"]
     assert json.loads(got[1, "next"]["message"])["arguments"] == {"text": 'é"\n'}
@@ -113,10 +116,24 @@ def test_calls_are_linked_ordered_and_written(spark):
         assert got[1, name]["depth"] is None and "circle" in got[1, name]["errors"]
     assert list(got[1, "stray"]["errors"]) == ["no call"] and got[1, "stray"]["name"] is None
     assert got[None, "root"]["n_results"] == 1 and json.loads(got[None, "root"]["message"]) == {
-        "arguments": None, "id": "root", "name": "sing", "parent": None, "result": None}
+        "arguments": "{", "id": "root", "name": "sing", "parent": None, "result": None}
     assert list(got[2, "root"]["errors"]) == ["unknown name", "no result"]
 
 
+def test_no_call_and_no_result_is_lost(spark):
+    """Different calls and results of one identifier all come out, equal ones once; missing parts are compared as well."""
+    calls = [(1, "c0", None, "add", '{"a":1}'), (1, "c0", None, "add", '{"a":2}'), (1, "c0", "c0", None, None), (1, "c0", None, "add", '{"a":2}'),
+             (None, "c0", None, "add", '{"a":3}'), (None, "c0", None, "add", "{oops")]
+    results = [(1, "c0", "r1"), (1, "c0", "r2"), (1, "c0", "r2"), (1, "c0", None), (2, "s", "x"), (2, "s", "y")]
+    out = toolcalls.link_calls(spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, name string, arguments string"),
+                               spark.createDataFrame(results, "conv_id long, call_id string, content string"), SCHEMAS).collect()
+    written = [(r["conv_id"], json.loads(r["message"])) for r in out]
+    assert sorted(str((c, m["parent"], m["name"], m["arguments"])) for c, m in written if m["name"] or m["parent"]) == sorted(map(str, [
+        (1, None, "add", {"a": 1}), (1, None, "add", {"a": 2}), (1, "c0", None, None), (None, None, "add", {"a": 3}), (None, None, "add", "{oops")]))
+    assert sorted((c, m["result"]) for c, m in written if m["result"]) == [(1, "r1"), (1, "r2"), (2, "x"), (2, "y")]
+    assert all("repeated id" in r["errors"] for r in out)
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     rounds, real = [], toolcalls.checkpointed
     monkeypatch.setattr(toolcalls, "checkpointed", lambda df: (rounds.append(1), real(df))[1])
