@@ -29,7 +29,7 @@ REST = 2e-7
 CUT = 0.25
 #: Pieces of a run of refits that are too far from their anchor; each gets an anchor of its own.
 PIECES = 4
-MAX_ROUNDS = 40
+MAX_ROUNDS = 16
 
 
 def derivatives(p: int, q: int, order: int = 3) -> list[tuple[int, ...]]:

@@ -13,8 +13,8 @@ chunk and add it up; a fit then costs the same whatever the length of history.
   Hannan and Rissanen and refined by damped Gauss-Newton steps. With history no
   longer than M nothing is cut; beyond that the cut part decays like the
   M-th power of the largest moving-average root, and ``cut_matters`` says where
-  that is not small. Those fits go on in ``affine``, which runs the residual
-  recursion over all rows and so cuts nothing.
+  that is not small. Those fits go on without a cut: on short histories in
+  ``fit_whole``, row by row for a stack of fits, else in ``affine``.
 
 All functions work on stacks: A is (B, M+2, M+2), parameters are (B, ...).
 """
@@ -26,7 +26,7 @@ from collections.abc import Callable
 import numpy as np
 
 MAX_STEPS = 60
-TOLERANCE = 1e-12
+TOLERANCE = 1e-10
 # Share of a residual weight that may be cut off: its square is far below the rounding of the sum of squares.
 NEGLIGIBLE = 1e-8
 
@@ -259,3 +259,45 @@ def cut_matters(params: np.ndarray, history: np.ndarray, p: int, q: int, memory:
     largest = np.abs(np.linalg.eigvals(companion)).max(axis=1)
     with np.errstate(over="ignore"):
         return (history > memory) & (largest ** memory > NEGLIGIBLE)
+
+
+def _recursion(w: np.ndarray, ends: np.ndarray, params: np.ndarray, p: int, q: int, constant: bool):
+    """Sum of squares, half gradient, Gauss-Newton matrix and next value for histories ``w[:end]``, one recursion for all."""
+    n, k, burn = len(params), p + q + constant, burn_in(p, q)
+    phi, theta = params[:, :p], params[:, p:p + q]
+    level = params[:, -1] if constant else np.zeros(n)
+    s, slope, hess = np.zeros(n), np.zeros((n, k)), np.zeros((n, k, k))
+    past, past_slopes = np.zeros((n, q)), np.zeros((q, n, k))
+    following = np.zeros(n)
+    padded = np.concatenate([np.zeros(p), w, [0.0]])
+    with np.errstate(all="ignore"):
+        for t in range(int(ends.max(initial=0)) + 1):
+            lags = padded[t:t + p][::-1]
+            known = phi @ lags + np.einsum("bj,bj->b", theta, past)
+            at_end = ends == t
+            following[at_end] = (level + known)[at_end]
+            e = padded[t + p] - known
+            de = np.zeros((n, k))
+            de[:, :p], de[:, p:p + q] = -lags, -past
+            if constant:
+                de[:, -1] = 0.0
+            for j in range(q):
+                de -= theta[:, j, None] * past_slopes[j]
+            if t >= burn:
+                r, dr = np.where(t < ends, e - level, 0.0), np.where((t < ends)[:, None], de, 0.0)
+                if constant:
+                    dr[:, -1] = np.where(t < ends, -1.0, 0.0)
+                s += r * r
+                slope += r[:, None] * dr
+                hess += dr[:, :, None] * dr[:, None, :]
+            past = np.concatenate([e[:, None], past[:, :-1]], axis=1)
+            past_slopes = np.concatenate([de[None], past_slopes[:-1]])
+        bad = ~(np.isfinite(s) & np.isfinite(slope).all(axis=1) & np.isfinite(hess).all(axis=(1, 2)))
+    s[bad], slope[bad], hess[bad] = np.inf, 0.0, np.eye(k)
+    return s, slope, hess, following
+
+
+def fit_whole(w: np.ndarray, ends: np.ndarray, start: np.ndarray, p: int, q: int, constant: bool):
+    """Fits on the histories ``w[:end]`` without any cut: parameters, next values, residual variances and which settled."""
+    params, s, settled = descend(start, lambda trial, rows: _recursion(w, ends[rows], trial, p, q, constant)[:3], 1e-13)
+    return params, _recursion(w, ends, params, p, q, constant)[3], s / np.maximum(ends - burn_in(p, q), 1), settled

@@ -10,7 +10,7 @@ A refit costs the same at row 100 and at row 10^9, and chunks do not wait for
 each other. All orders that share a number of differences share the state.
 
 The state holds MEMORY lags. Moving-average fits for which lags beyond that
-matter, or that did not settle, go on from there without a cut: at once where the history lies in one chunk
+matter go on from there without a cut: at once where the history lies in one chunk
 (``functions.affine``), else in rounds over the chunks of the series concerned (``refit``).
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.affine import refit_prefixes
-from ..functions.arima import burn_in, cut_matters, fit, lagged_rows
+from ..functions.arima import burn_in, cut_matters, fit, fit_whole, lagged_rows
 from ..functions.columns import HOLDOUT_RATIO, holdout_point
 from ..session import checkpointed
 from .index import (chunk_rows_of, counted, few_series, longest_of, most_chunks, rechunk, shuffle_partitions, single_chunk,
@@ -31,6 +31,8 @@ from .refit import ORDER_KEYS, pack, refit
 
 # Lags in the state when an order has a moving-average part; fits that need more go on without a cut.
 MEMORY = 64
+# Up to this many rows a stack of uncut fits is cheaper row by row than by expansions; both give the same fits.
+SHORT_ROWS = 1_000
 # Rows of history that are added to a Gram matrix at a time.
 BLOCK_ROWS = 16_384
 # Chunks are smaller than elsewhere, because a row here costs a fit: a long series
@@ -263,6 +265,10 @@ def rolling_steps(df: DataFrame, candidates: DataFrame, *, max_p: int, max_d: in
     return _passes(rows, tasks, shape, max_p, max_d, max_q, scored, replay, STEP_SCHEMA, chunk_rows, redo)
 
 
+def _uncut(series: np.ndarray):
+    return fit_whole if len(series) <= SHORT_ROWS else refit_prefixes
+
+
 def _score(key, order, grams, history, heads, x, y, seq, series, w) -> pd.DataFrame:
     """Forecasts of one order for a stack of rows; ``series`` is the differenced history, if all of it is at hand."""
     p, d, q = order
@@ -272,9 +278,9 @@ def _score(key, order, grams, history, heads, x, y, seq, series, w) -> pd.DataFr
         # the residual is linear in the row, so forecast = value - residual
         forecast = y - np.einsum("bi,bi->b", v, x[:, :v.shape[1]])
         short = history <= burn_in(p, q)
-        more = ~short & (cut_matters(params, history, p, q, grams.shape[-1] - 2) | ~settled)
+        more = ~short & cut_matters(params, history, p, q, grams.shape[-1] - 2)
         if more.any() and series is not None:
-            _, following, _, settled[more] = refit_prefixes(series, history[more], params[more], p, q, d == 0)
+            _, following, _, settled[more] = _uncut(series)(series, history[more], params[more], p, q, d == 0)
             forecast[more] = y[more] - w[more] + following
         elif more.any():
             cut[np.flatnonzero(more)] = [list(x) for x in params[more]]
@@ -341,9 +347,9 @@ def _model(key, part: pd.DataFrame, task: pd.DataFrame, order, shape: _Shape, wh
         found, v, sigma2, settled = _fit_order(gram[None], history, _head_grams(state, shape), p, q, d)
         nxt = lagged_rows(np.append(w[-shape.memory:], 0.0), shape.memory)[-1]
         step = -float(v[0] @ nxt[:v.shape[1]])
-        if cut_matters(found, history, p, q, shape.memory)[0] or not settled[0]:
+        if cut_matters(found, history, p, q, shape.memory)[0]:
             if whole:
-                found, following, sigma2, settled = refit_prefixes(w[d:], history, found, p, q, d == 0)
+                found, following, sigma2, settled = _uncut(w[d:])(w[d:], history, found, p, q, d == 0)
                 step = float(following[0])
             else:
                 model["params"] = found[0].tolist()
