@@ -20,6 +20,8 @@ from ..session import use_checkpoint_dir
 BROADCAST_KEYS = 200_000
 #: Texts of one batch are worked on in runs of about this many bytes (a longer text is a run of its own).
 RUN_BYTES = 2_000_000
+#: Bytes of text that Spark sends a Python task at a time, at most about.
+BATCH_BYTES = 4_000_000
 
 LOWER = bytes(range(256)).lower()
 #: Bytes of words that white space (space and 0x09 to 0x0D) separates.
@@ -36,6 +38,16 @@ def by_value() -> None:
             cloudpickle.register_pickle_by_value(module)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark fill Arrow batches to BATCH_BYTES rather than to 10000 rows, whatever these hold; a limit that the session has stays.
+
+    A batch is held several times over outside the heap: where it is built, in the worker, and where its result is read. The
+    setting holds for whatever the session plans from here on. It changes no result.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -404,6 +404,22 @@ def test_rows_are_judged_by_their_own_text(odd, spark):
     assert not {"12345 67890", "12345"} & {r["text"] for r in kept.collect()}
 
 
+def test_language_id_holds_few_texts_at_a_time(spark, monkeypatch):
+    texts = [f"text {k} " + "some plain words " * 1200 for k in range(450)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    runs = langid.runs
+
+    def watched(column):
+        if column.nbytes > 6_000_000:
+            raise ValueError(f"{column.nbytes} bytes of text at once")
+        return runs(column)
+
+    monkeypatch.setattr(langid, "runs", watched)
+    kept = langid.known_language(df, per_lang=20)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == list(enumerate(texts))
+    assert {r["lang_pred"] for r in langid.identify(df.limit(300), per_lang=20).collect()} == {"en"}
+
+
 def test_op7_on_held_out_documents(spark, documents):
     got = {r["doc_id"]: r for r in registered.queries()["op7_language_id"](spark, SF).collect()}
     assert len(got) == len(documents)
