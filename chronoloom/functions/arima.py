@@ -26,7 +26,7 @@ from collections.abc import Callable
 import numpy as np
 
 MAX_STEPS = 60
-TOLERANCE = 1e-10
+TOLERANCE = 1e-12
 # Share of a residual weight that may be cut off: its square is far below the rounding of the sum of squares.
 NEGLIGIBLE = 1e-8
 
